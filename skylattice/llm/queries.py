@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import exact_dedup
+from skylattice.llm import exact_dedup, packing, word_bpe
 from skylattice.runtime import prepare, table
 
 
@@ -14,8 +15,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(prepare(spark), sf_dir, "documents"))
 
 
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digested(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pattern_packing": op4_pattern_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
 }
 
 ORACLES: dict[str, str] = {
