@@ -7,14 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import exact_dedup, packing, word_bpe
+from skylattice.llm import exact_dedup, language_id, main_text, packing, quality, toxicity, word_bpe
 from skylattice.runtime import prepare, table
 
 
+def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(prepare(spark), sf_dir, "pages"))
+
+
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(prepare(spark), sf_dir, "documents"))
 
 
+def op2_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(prepare(spark), sf_dir, "documents"))
+
+
+def op3_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,7 +40,11 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bitmask_language_id": op2_bitmask_language_id,
+    "op3_factorization_toxicity": op3_factorization_toxicity,
     "op4_pattern_packing": op4_pattern_packing,
+    "op5_tag_path_text": op5_tag_path_text,
+    "op7_attention_quality": op7_attention_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
 }
