@@ -35,11 +35,13 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("ul ol dl table tbody thead body html article section div main".split())
 CONTENT = frozenset(("article", "main"))
 #: Words of a class, id or role that name boilerplate.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|header|masthead|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
+NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|masthead|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|\s|/|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)display\s*:\s*none""", re.I)
+VALUE = re.compile(r"""(?<!style=)(?<!aria-hidden=)(?:"[^"]*"|'[^']*')""", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 MARKS = frozenset(".,;:!?…。，、！？؛،")
 
@@ -122,7 +124,11 @@ def boilerplate(name: str, attributes: str, stack: list[tuple[str, bool, int]])
         return True
     if not attributes or name in ("html", "body") or name in CONTENT:
         return False
-    return HIDDEN.search(attributes) is not None or any(NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+    if HIDDEN.search(VALUE.sub("", attributes)):
+        return True
+    if not any(n in CONTENT for n, _, _ in stack) and any(HEADER.search(a or b or c) for a, b, c in NAMED.findall(attributes)):
+        return True
+    return any(NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes))
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import exact_dedup, language_id, main_text, packing, quality, toxicity, word_bpe
+from skylattice.llm import exact_dedup, language_id, lexicon_print, main_text, packing, quality, toxicity, word_bpe
 from skylattice.runtime import prepare, table
 
 
@@ -15,6 +15,10 @@ def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(prepare(spark), sf_dir, "pages"))
 
 
+def op6_lexicon_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_print.fingerprints(table(prepare(spark), sf_dir, "documents"))
+
+
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_factorization_toxicity": op3_factorization_toxicity,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_tag_path_text": op5_tag_path_text,
+    "op6_lexicon_fingerprints": op6_lexicon_fingerprints,
     "op7_attention_quality": op7_attention_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
