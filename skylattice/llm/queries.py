@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import exact_dedup, language_id, lexicon_print, main_text, packing, quality, toxicity, word_bpe
+from skylattice.llm import bag_minhash, exact_dedup, language_id, lexicon_print, main_text, packing, quality, toxicity, word_bpe
 from skylattice.runtime import prepare, table
 
 
@@ -27,6 +27,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(prepare(spark), sf_dir, "documents"))
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_classes(table(prepare(spark), sf_dir, "documents"))
+
+
 def op2_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(prepare(spark), sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bag_minhash": op1_bag_minhash,
     "op2_bitmask_language_id": op2_bitmask_language_id,
     "op3_factorization_toxicity": op3_factorization_toxicity,
     "op4_pattern_packing": op4_pattern_packing,
