@@ -72,7 +72,7 @@ def word_shingles(hashes: np.ndarray, counts: np.ndarray, n: int = SHINGLE) -> t
     """48-bit hash of every shingle of n words and the text it is of; a text of fewer words is one shingle of them all."""
     of = np.repeat(np.arange(len(counts)), counts)
     total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-    for i in range(n):
+    for i in range(n if len(total) else 0):
         total += mix(hashes[i : len(hashes) - n + 1 + i] + np.uint64(i + 1)) * np.uint64(2 * i + 1)
     whole = of[: len(total)] == of[n - 1 :] if len(total) else np.zeros(0, bool)
     found, owner = mix(total[whole]), of[: len(total)][whole]

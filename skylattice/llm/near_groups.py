@@ -1,7 +1,8 @@
 """Groups of near copies from band keys: linear candidates, exact verification, distributed union-find.
 
-A bucket (the items with one band key) is never expanded into its pairs. Its members are compared with its least member first.
-Where the links found leave a bucket in several groups, each of its members is compared with the least member of the
+A bucket (the items with one band key) is never expanded into its pairs: its members are candidates of its least member only.
+Each item is compared first with the one candidate it shares most bands with, then with those of its candidates that
+this has left in other groups. Where the links found leave a bucket in several groups, each of its members is compared with the least member of the
 bucket's other groups in further rounds; what then still is apart is compared across, group against group, so no candidate link
 is lost. Groups of copies collapse in the first rounds, so little is left for the last one.
 
@@ -105,11 +106,25 @@ def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(several.select("band", "low"), "band")
 
 
+def split(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose items lie in different groups."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_groups(members: DataFrame, verify: Verify) -> DataFrame:
     """node, root of all items with a verified link. members: buckets(), written; verify: pairs(a, b) -> those that are near."""
-    asked = runtime.written(ordered(members.select(F.col("key").alias("a"), F.col("head").alias("b"))), "asked")
+    votes = members.where("key <> head").groupBy("key", "head").count()
+    first = votes.groupBy("key").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
+    asked = runtime.written(ordered(first.select(F.col("key").alias("a"), F.col("head").alias("b"))), "asked")
     edges = runtime.written(verify(asked), "edges")
     roots = components(edges)
+    others = split(ordered(votes.select(F.col("key").alias("a"), F.col("head").alias("b"))), roots)
+    others = runtime.written(others.join(asked, ["a", "b"], "left_anti"), "asked")
+    if not others.isEmpty():
+        asked = asked.unionByName(others)
+        edges = edges.unionByName(runtime.written(verify(others), "edges"))
+        roots = components(edges)
     for turn in range(ROUNDS + 1):
         left = runtime.written(apart(members, roots), "apart")
         if left.isEmpty():
