@@ -10,8 +10,9 @@ BANDS bands of ROWS places make a pair at similarity 0.8 a candidate with a chan
 shingle multisets of whole texts: overlap (sum of least weights / sum of largest) of 0.8 or more. Groups are connected components.
 
 Defined results: texts with the same words are one item; texts without a word (null as empty among them) are copies if they are
-the same text, and near nothing else. Rows that repeat a doc_id share its class, or the least class of their texts' classes each on its own.
-class_id is the least doc_id of the class (null ids count only where a class has no other). An empty table gives an empty result.
+the same text, and near nothing else. Rows that repeat doc_id and text are one document: alike in what they get. class_id is the
+least doc_id of the class (null ids come last). An empty table gives an empty result. Other columns pass through dedup(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -90,18 +91,18 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key, bands (null where the text has no word) of docs(doc_id, text)."""
+    """row, doc_id, key, bands (null where the text has no word) of docs(row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             hashes, counts = hashing.words(texts)
             element, of, weight = hashing.multiset(*hashing.word_shingles(hashes, counts))
             band = hashing.banded(signatures(element, of, weight, len(texts)), ROWS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()), mask=pa.array(counts == 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys(texts, hashes, counts)), lists], names=["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys(texts, hashes, counts)), lists], names=["row", "doc_id", "key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, bands array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key long, bands array<long>")
 
 
 def near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -122,20 +123,33 @@ def near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return salted_pairs(pairs, texts).mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """doc_id, class_id, class_size, kept: one row per document; the kept one of a class has the least doc_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = runtime.written(sketched(rows), "sketches")
+def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """row, doc_id, class_id, class_size, kept: one row per row of docs(row, doc_id, text)."""
+    items = runtime.written(sketched(docs), "sketches")
     members = runtime.written(buckets(items.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))), "buckets")
     wanted = members.select("key").distinct()
-    chosen = runtime.written(items.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    chosen = runtime.written(items.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")), "wanted")
     small = runtime.is_under(chosen, FEW)
-    texts = rows.join(F.broadcast(chosen) if small else chosen, "doc_id").select("key", "text").dropDuplicates(["key"])
+    texts = docs.select("row", "text").join(F.broadcast(chosen) if small else chosen, "row").select("key", "text").dropDuplicates(["key"])
     texts = runtime.written(texts, "texts")
     roots = near_groups(members, lambda pairs: near(pairs, texts, least))
-    sized = items.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    named = sized.join(roots, sized["key"] == roots["node"], "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    sized = items.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    named = sized.join(roots, sized["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     named = runtime.written(named, "named")
-    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    by_key = named.join(classes, "root").select("key", "class_id", "class_size")
-    return items.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    whole = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("class_size"))
+    by_key = named.join(whole, "root").select("key", "stays", "class_size")
+    return items.select("row", "doc_id", "key").join(by_key, "key").select("row", "doc_id", F.col("stays.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("stays.row")).alias("kept"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """doc_id, class_id, class_size, kept: one row per document; the kept one of a class has the least doc_id."""
+    return classes(runtime.with_row(docs, id_col, text_col), least).drop("row")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, with their own columns: one of each class."""
+    rows = runtime.with_row(docs, id_col, text_col)
+    kept = classes(rows, least).where("kept").select("row")
+    stay = rows.join(kept, "row", "left_semi").dropDuplicates(["row"])  # on the same partitioning: no further shuffle
+    return stay.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

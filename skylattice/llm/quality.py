@@ -159,3 +159,19 @@ def with_fold(docs: DataFrame, folds: int = 4, rest: int = 2) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels outside the held-out fold, then score every document."""
     return scored(with_fold(docs), learn(docs, labels))
+
+
+def kept(docs: DataFrame, model: Attention, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that score `least` or more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score([passages(t) for t in batch.column(at).to_pylist()]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def reject_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Learn from the labels outside the held-out fold, then leave the documents out that aren't predicted good."""
+    return kept(docs, learn(docs, labels))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import bag_minhash, exact_dedup, language_id, lexicon_print, main_text, packing, quality, toxicity, word_bpe
+from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, language_id, lexicon_print, main_text, packing, quality, toxicity, word_bpe
 from skylattice.runtime import prepare, table
 
 
@@ -43,6 +43,10 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.report(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digested(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lexicon_fingerprints": op6_lexicon_fingerprints,
     "op7_attention_quality": op7_attention_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
 }
 

@@ -152,3 +152,20 @@ def with_fold(docs: DataFrame, folds: int = 5, rest: int = 0) -> DataFrame:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels outside the held-out fold, then score every document."""
     return scored(with_fold(docs), learn(docs, labels))
+
+
+def kept(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that score under 0.5."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Memo(machine.kept_of)
+        for batch in batches:
+            yield batch.filter(pa.array([machine.score(sorted({i for w in words(t) for i in held[w]})) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Learn from the labels outside the held-out fold, then leave the documents out that are predicted toxic."""
+    return kept(docs, learn(docs, labels))
