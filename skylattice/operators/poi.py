@@ -12,36 +12,42 @@ from skylattice.functions.values import first_number, first_text, is_everything,
 COLUMNS = ("source_platform", "poi_id", "name", "type_code", "type_name", "address", "province", "city", "district", "lng", "lat", "raw_data", "metadata")
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """A string column that a provider may leave out."""
-    return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+class Fields:
+    """A provider's records by field name, case and all: names that differ in case alone are different fields, and any may be absent."""
 
+    def __init__(self, df: DataFrame) -> None:
+        self.names = {name: f"_c{i}" for i, name in enumerate(df.columns)}
+        self.df = df.toDF(*self.names.values()) if len(self.names) == len(df.columns) else df
 
-def raw_json(df: DataFrame, raw: str | None) -> Column:
-    """The record as it came: the column named, or all columns as JSON."""
-    return F.col(raw).cast("string") if raw else F.to_json(F.struct(*df.columns))
+    def __call__(self, name: str) -> Column:
+        return F.col(self.names[name]).cast("string") if name in self.names else F.lit(None).cast("string")
+
+    def raw(self, name: str | None) -> Column:
+        """The record as it came: the field named, or all fields as JSON."""
+        return self(name) if name else F.to_json(F.struct(*[F.col(c).alias(n) for n, c in self.names.items()]))
 
 
 def from_provider_a(df: DataFrame, platform: str = "a", metadata: Column | None = None, raw: str | None = None) -> DataFrame:
     """Records with `location` as "lng,lat". A bad coordinate gives null, the record stays."""
-    at, c = lng_lat(column(df, "location")), lambda n: column(df, n)
-    return df.select(
+    c = Fields(df)
+    at = lng_lat(c("location"))
+    return c.df.select(
         F.lit(platform).alias("source_platform"), c("id").alias("poi_id"), c("name").alias("name"), c("typecode").alias("type_code"), c("type").alias("type_name"),
         first_text(c("address"), c("addr")).alias("address"), c("pname").alias("province"), c("cityname").alias("city"), c("adname").alias("district"),
-        at["lng"].alias("lng"), at["lat"].alias("lat"), raw_json(df, raw).alias("raw_data"), (F.lit("{}") if metadata is None else metadata).alias("metadata"),
+        at["lng"].alias("lng"), at["lat"].alias("lat"), c.raw(raw).alias("raw_data"), (F.lit("{}") if metadata is None else metadata).alias("metadata"),
     )
 
 
 def from_provider_b(df: DataFrame, platform: str = "b", metadata: Column | None = None, raw: str | None = None, zero_is_missing: bool = False) -> DataFrame:
     """Records with several names for a field: the first that isn't missing counts."""
-    c = lambda n: column(df, n)
+    c = Fields(df)
     lng, lat = first_number(c("lon"), c("lng"), c("longitude"), zero_is_missing=zero_is_missing), first_number(c("lat"), c("latitude"), zero_is_missing=zero_is_missing)
     both = lng.isNotNull() & lat.isNotNull()
-    return df.select(
+    return c.df.select(
         F.lit(platform).alias("source_platform"), first_text(c("hotPointID"), c("id")).alias("poi_id"), c("name").alias("name"),
         first_text(c("typeCode"), c("typecode")).alias("type_code"), first_text(c("typeName"), c("type")).alias("type_name"),
         first_text(c("address"), c("addr")).alias("address"), c("province").alias("province"), c("city").alias("city"), first_text(c("county"), c("district")).alias("district"),
-        F.when(both, lng).alias("lng"), F.when(both, lat).alias("lat"), raw_json(df, raw).alias("raw_data"), (F.lit("{}") if metadata is None else metadata).alias("metadata"),
+        F.when(both, lng).alias("lng"), F.when(both, lat).alias("lat"), c.raw(raw).alias("raw_data"), (F.lit("{}") if metadata is None else metadata).alias("metadata"),
     )
 
 

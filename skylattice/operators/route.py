@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.functions.geo import METRES, Bounds, counts, grid
-from skylattice.operators.fences import points_in_fences
+from skylattice.operators.fences import points_in_fences, routes_across
 
 
 def nodes(spark: SparkSession, bounds: Bounds, cell_m: float, altitudes: list[float], fences: DataFrame | None = None, width: float = 0.5) -> DataFrame:
@@ -34,8 +34,8 @@ def nodes(spark: SparkSession, bounds: Bounds, cell_m: float, altitudes: list[fl
     )
 
 
-def neighbours(of: DataFrame) -> DataFrame:
-    """a, b, cost (metres) of nodes next to each other, edges and corners included."""
+def neighbours(of: DataFrame, fences: DataFrame | None = None, width: float = 0.5) -> DataFrame:
+    """a, b, cost (metres) of nodes next to each other, edges and corners included, unless a fence lies between them."""
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
     offset = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("ijk", s)]) for s in steps])).alias("o")
     near = of.select(F.col("node").alias("a"), F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), F.col("alt").alias("alt_a"), "i", "j", "k", offset)
@@ -43,7 +43,11 @@ def neighbours(of: DataFrame) -> DataFrame:
     joined = near.join(of.select(F.col("node").alias("b"), "i", "j", "k", "lat", "lng", "alt"), ["i", "j", "k"])
     dy, dz = (F.col("lat") - F.col("lat_a")) * METRES, F.col("alt") - F.col("alt_a")
     dx = (F.col("lng") - F.col("lng_a")) * METRES * F.cos(F.radians((F.col("lat") + F.col("lat_a")) / 2))
-    return joined.select("a", "b", F.sqrt(dx * dx + dy * dy + dz * dz).alias("cost"))
+    line = F.array(F.array("lng_a", "lat_a"), F.array("lng", "lat"))
+    links = joined.select("a", "b", F.sqrt(dx * dx + dy * dy + dz * dz).alias("cost"), line.alias("line"))
+    if fences is not None:
+        links = links.join(routes_across(links, fences, width).select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return links.drop("line")
 
 
 def cheapest(links: DataFrame, start: int, goal: int | None = None, straight: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
@@ -72,7 +76,7 @@ def cheapest(links: DataFrame, start: int, goal: int | None = None, straight: Da
     return best
 
 
-def flight_plan(free: DataFrame, start: tuple[float, float, float], goal: tuple[float, float, float]) -> DataFrame:
+def flight_plan(free: DataFrame, start: tuple[float, float, float], goal: tuple[float, float, float], fences: DataFrame | None = None) -> DataFrame:
     """step, lat, lng, alt from start to goal, both (lat, lng, alt): climb at the start, the cheapest way over free nodes, descent at the goal.
 
     Points that lie on a straight line between their neighbours are left out. Where no way exists the answer is the straight line.
@@ -93,7 +97,7 @@ def flight_plan(free: DataFrame, start: tuple[float, float, float], goal: tuple[
     dy, dz = (F.col("lat") - F.col("y")) * METRES, F.col("alt") - F.col("z")
     # nine tenths: longitudes shrink differently along the way, and the estimate must not be too long
     straight = free.crossJoin(F.broadcast(at)).select("node", (F.lit(0.9) * F.sqrt(dy * dy + dz * dz)).alias("left"))  # at is one row
-    way = cheapest(neighbours(free), a, b, straight).where(F.col("node") == b).select(F.posexplode("path").alias("pos", "node"), F.size("path").alias("n"))
+    way = cheapest(neighbours(free, fences), a, b, straight).where(F.col("node") == b).select(F.posexplode("path").alias("pos", "node"), F.size("path").alias("n"))
     points = way.join(free, "node").select("pos", "i", "j", "k", "lat", "lng", "alt")
     # the way is one list of nodes: bounded by the grid's diameter, so one window over it is small
     turn = W.partitionBy().orderBy("pos")

@@ -256,8 +256,8 @@ def lnglat_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS nothing FROM events")
 def raw_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records kept as JSON give their fields back."""
-    ev = runtime.table(spark, sf_dir, "events")
-    kept = ev.select("event_id", poi.raw_json(ev, "props").alias("raw"))
+    kept = poi.from_provider_a(runtime.table(spark, sf_dir, "events").withColumnRenamed("event_id", "id"), raw="props")
+    kept = kept.select(F.col("poi_id").cast("long").alias("event_id"), F.col("raw_data").alias("raw"))
     return kept.select("event_id", F.get_json_object("raw", "$.k").cast("long").alias("k"), F.get_json_object("raw", "$.none").alias("nothing"))
 
 
