@@ -164,12 +164,12 @@ def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """row, lines (the numbers of those that go) of the documents that lose a line; docs: row, doc_id, text."""
     lines = runtime.written(sketched(docs), "lines")
-    members = runtime.written(buckets(lines.where("bands is not null").select("key", "bands")), "line-buckets")
+    members = runtime.written(buckets(lines.where("bands is not null").select("key", F.lit(0).alias("size"), "bands")), "line-buckets")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     firsts = runtime.written(lines.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")), "line-keys")
     places = firsts.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
     texts = runtime.written(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
-    roots = near_groups(members, lambda pairs: alike(pairs, texts, least))
+    roots = near_groups(members, lambda pairs: alike(pairs, texts, least), least)
     named = firsts.join(roots, firsts["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
     repeated = runtime.written(named.join(groups, "root").select("key", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")
@@ -181,9 +181,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc (the row of docs), text (what stays of it), lines (the sorted numbers of the lines that went), one row per row of docs."""
     rows = runtime.with_row(docs, id_col, text_col)
     goes = dropped(rows.select("row", "doc_id", "text"), least)
-    joined = rows.join(goes, "row", "left")
-    stay = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")
-    return joined.select("doc", F.when(F.col("lines").isNull(), F.col("text")).otherwise(stay).alias("text"), F.sort_array(F.coalesce("lines", F.array().cast("array<int>"))).alias("lines"))
+    text = F.col(f"doc.`{text_col}`")  # the texts are shuffled once
+    stay = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    joined = rows.select("row", "doc").join(goes, "row", "left")
+    return joined.select("doc", F.when(F.col("lines").isNull(), text).otherwise(stay).alias("text"), F.sort_array(F.coalesce("lines", F.array().cast("array<int>"))).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
