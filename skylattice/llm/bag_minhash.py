@@ -6,7 +6,7 @@ Poisson process of points, of a rate that is its width times the signature's len
 points at or above w are thinned out. A signature place keeps its earliest point, so two signatures agree at a place with a chance
 that is exactly the weighted Jaccard similarity, and points later than any place needs are never made: the cost hardly depends on weights.
 
-BANDS bands of ROWS places make a pair at similarity 0.8 a candidate with a chance of 1 - 3e-6. Candidates are verified on the
+BANDS bands of ROWS places make a pair at similarity 0.8 a candidate with a chance of 1 - 7e-4, at 0.85 of 1 - 2e-5. Candidates are verified on the
 shingle multisets of whole texts: overlap (sum of least weights / sum of largest) of 0.8 or more. Groups are connected components.
 
 Defined results: texts with the same words are one item; texts without a word (null as empty among them) are copies if they are
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.llm import hashing
-from skylattice.llm.near_groups import buckets, near_groups, salted_pairs
+from skylattice.llm.near_groups import buckets, near_groups
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 24, 6
 PLACES = BANDS * ROWS
 #: Candidate texts up to this number are fetched with broadcast ids (16 bytes each); more of them by a shuffle.
 FEW = 1_000_000
@@ -77,62 +77,41 @@ def keys(texts: list[str | None], hashes: np.ndarray, counts: np.ndarray) -> np.
     return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in data), np.int64)
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of one text and their weights."""
-    element, of, weight = hashing.multiset(*hashing.word_shingles(*hashing.words([text])))
-    return element, weight
-
-
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """Sum of the least and sum of the largest weights of two bags."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = int(np.minimum(a[1][i], b[1][j]).sum())
-    return least, int(a[1].sum() + b[1].sum()) - least
+def shingle_ids(texts: list[str | None]) -> list[np.ndarray]:
+    """The shingles of each text as a set: the second, third ... occurrence of one counts as another, so overlaps of sets are those of multisets."""
+    element, of, weight = hashing.multiset(*hashing.word_shingles(*hashing.words(texts)))
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    found = hashing.mix(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(hashing.BASE))
+    edges = np.searchsorted(np.repeat(of, weight), np.arange(len(texts) + 1))
+    return [found[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """row, doc_id, key, bands (null where the text has no word) of docs(row, doc_id, text)."""
+    """row, doc_id, key, size (its shingles), bands (null where the text has no word) of docs(row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in hashing.slices(whole, 2)):
             texts = batch.column(2).to_pylist()
             hashes, counts = hashing.words(texts)
             element, of, weight = hashing.multiset(*hashing.word_shingles(hashes, counts))
+            size = np.bincount(of, weight, len(texts)).astype(np.int64)
             band = hashing.banded(signatures(element, of, weight, len(texts)), ROWS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()), mask=pa.array(counts == 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys(texts, hashes, counts)), lists], names=["row", "doc_id", "key", "bands"])
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key long, bands array<long>")
-
-
-def near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of pairs(a, b) whose texts overlap by `least` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            good = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                for key, text in ((a, x), (b, y)):
-                    if key not in held:
-                        held[key] = bag(text)
-                low, high = overlap(held[a], held[b])
-                good.append(high > 0 and low >= least * high - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys(texts, hashes, counts)), pa.array(size), lists], names=["row", "doc_id", "key", "size", "bands"])
 
-    return salted_pairs(pairs, texts).mapInArrow(run, "a long, b long")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key long, size long, bands array<long>")
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """row, doc_id, class_id, class_size, kept: one row per row of docs(row, doc_id, text)."""
     items = runtime.written(sketched(docs), "sketches")
-    members = runtime.written(buckets(items.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))), "buckets")
+    members = runtime.written(buckets(items.where("bands is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))), "buckets")
     wanted = members.select("key").distinct()
     chosen = runtime.written(items.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")), "wanted")
     small = runtime.is_under(chosen, FEW)
     texts = docs.select("row", "text").join(F.broadcast(chosen) if small else chosen, "row").select("key", "text").dropDuplicates(["key"])
     texts = runtime.written(texts, "texts")
-    roots = near_groups(members, lambda pairs: near(pairs, texts, least))
+    roots = near_groups(members, texts, shingle_ids, least)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     sized = items.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     named = sized.join(roots, sized["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))

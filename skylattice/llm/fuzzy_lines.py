@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skylattice import runtime
 from skylattice.llm.hashing import BASE, banded, mix
 from skylattice.llm.memo import Memo
-from skylattice.llm.near_groups import buckets, near_groups, salted_pairs
+from skylattice.llm.near_groups import buckets, near_groups
 
 SHINGLE = 8
 BANDS, ROWS = 11, 3
@@ -136,20 +136,10 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, "key long, row long, doc_id long, line int, bands array<long>")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Those of pairs(a, b) whose lines have a Jaccard similarity of `least` or more; texts: key, text (plain lines)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[int, set[str]] = {}
-            good = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = (held.get(k) or held.setdefault(k, shingles(plain(t))) for k, t in ((a, x), (b, y)))
-                shared = len(one & two)
-                good.append(shared >= least * (len(one) + len(two) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return salted_pairs(pairs, texts).mapInArrow(run, "a long, b long")
+def shingle_ids(lines: list[str | None]) -> list[np.ndarray]:
+    """The shingle set of each line as 64-bit hashes that hold within one task."""
+    found = (shingles(plain(x or "")) for x in lines)
+    return [np.fromiter(map(hash, x), np.int64, len(x)) for x in found]
 
 
 def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -167,9 +157,10 @@ def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     members = runtime.written(buckets(lines.where("bands is not null").select("key", F.lit(0).alias("size"), "bands")), "line-buckets")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     firsts = runtime.written(lines.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")), "line-keys")
-    places = firsts.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    wanted = members.select("key").distinct()
+    places = firsts.join(wanted, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
     texts = runtime.written(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
-    roots = near_groups(members, lambda pairs: alike(pairs, texts, least), least)
+    roots = near_groups(members, texts, shingle_ids, least)
     named = firsts.join(roots, firsts["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
     repeated = runtime.written(named.join(groups, "root").select("key", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")

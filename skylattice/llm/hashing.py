@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,3 +100,16 @@ def banded(signature: np.ndarray, rows: int) -> np.ndarray:
     for i in range(rows):
         key = mix(key + parts[:, :, i])
     return key.view(np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have about `most` bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    a, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield batch.slice(a, i - a)
+            a, total = i, 0
+        total += int(n) + 64
+    if a < batch.num_rows:
+        yield batch.slice(a)

@@ -2,9 +2,9 @@
 
 A bucket (the items with one band key) is never expanded into its pairs: its members are candidates of its least member only.
 Each item is compared first with the one candidate it shares most bands with, then with those of its candidates that
-this has left in other groups. Where the links found leave a bucket in several groups, each of its members is compared with the least member of the
-bucket's other groups in further rounds; what then still is apart is compared across, group against group, so no candidate link
-is lost. Groups of copies collapse in the first rounds, so little is left for the last one.
+this has left in other groups. Pairs whose sizes rule a link out are no candidates. Groups of copies collapse in these two rounds. Where
+they leave a bucket in several groups, its members meet block by block, so that no link is lost: two blocks are one task's input,
+compared as whole sets, and only links that join groups come out.
 
 Items are named by 64-bit keys of their content, so exact copies are one item.
 """
@@ -13,33 +13,39 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice import runtime
+from skylattice.llm.hashing import slices
 
-#: Rounds against least members, before what is left is compared across.
-ROUNDS = 3
+#: Members of a block of a bucket whose groups are compared with one another.
+BLOCK = 64
+#: Edges of one union-find task.
+TASK_EDGES = 1_000_000
 #: Pairs of a hot item that go to one salted part.
 PART = 256
 
-Verify = Callable[[DataFrame], DataFrame]
+Ids = Callable[[list[str | None]], list[np.ndarray]]
 
 
 def buckets(banded: DataFrame) -> DataFrame:
-    """band, key, head (the least key) of the buckets with two or more different items; banded: key, bands (an array)."""
+    """band, key, size, head (the least key), head_size of the buckets with two or more different items; banded: key, size, bands (an array)."""
     group = W.partitionBy("band").orderBy("key")
-    rows = banded.select("key", F.explode("bands").alias("band"))
-    seen = rows.select("band", "key", F.first("key").over(group).alias("head"), F.lag("key").over(group).alias("before"), F.lead("key").over(group).alias("after"))
+    rows = banded.select("key", "size", F.explode("bands").alias("band"))
+    first = F.first(F.struct("key", "size")).over(group).alias("first")
+    seen = rows.select("band", "key", "size", first, F.lag("key").over(group).alias("before"), F.lead("key").over(group).alias("after"))
     new = F.col("before").isNull() | (F.col("before") != F.col("key"))
     # a head whose next row is a repeat of itself may stand alone: the next step drops it, as it has no partner
-    return seen.where(new & ((F.col("key") != F.col("head")) | F.col("after").isNotNull())).select("band", "key", "head")
+    kept = seen.where(new & ((F.col("key") != F.col("first.key")) | F.col("after").isNotNull()))
+    return kept.select("band", "key", "size", F.col("first.key").alias("head"), F.col("first.size").alias("head_size"))
 
 
 def forest(edges: DataFrame) -> DataFrame:
-    """Union-find within each partition: the same components from at most one edge a node."""
+    """Union-find within each partition: the same components from at most one edge a node, from a node to the least of its own there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -63,20 +69,23 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def settled(now: DataFrame) -> bool:
+    """True if every node has one edge and no node with an edge is the end of another's."""
+    ends = now.select(F.col("a").alias("node"), F.lit(1).alias("starts"), F.lit(0).alias("ends")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))
+    return ends.groupBy("node").agg(F.sum("starts").alias("starts"), F.max("ends").alias("ends")).where("starts > 1 OR starts = 1 AND ends = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for every node of edges(a, b); roots themselves are left out.
+    """node, root (the least node of its component) for every node of edges(a, b), a written table; roots themselves are left out.
 
-    Union-find in each partition, then large-star and small-star steps between partitions until nothing changes; each
-    step groups with partial aggregation, so a node with many neighbours is no large group.
+    Union-find in tasks of about TASK_EDGES edges each, then large-star and small-star steps between tasks until every node points at its
+    root; each step groups with partial aggregation, so a node with many neighbours is no large group. Where one task has seen all
+    edges there is nothing left between tasks.
     """
     down = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = runtime.written(down(forest(edges)), "forest")
-    before = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == state or not state["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    now = runtime.written(forest(edges.coalesce(tasks)), "forest")
+    while tasks > 1 and not settled(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -84,6 +93,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         now = runtime.written(down(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))), "stars")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def grown(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """roots after further edges; those that hold so far stand for the edges that led to them."""
+    edges = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(edges)
 
 
 def salted_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -100,10 +116,10 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, key, root of the members of buckets of three and more that lie in two or more groups."""
+    """band, key, root of members of buckets of three and more that lie in two or more groups."""
     named = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     several = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    return named.join(several.select("band", "low"), "band")
+    return named.join(several.select("band"), "band", "left_semi")
 
 
 def split(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -112,37 +128,86 @@ def split(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def near_groups(members: DataFrame, verify: Verify) -> DataFrame:
-    """node, root of all items with a verified link. members: buckets(), written; verify: pairs(a, b) -> those that are near."""
-    votes = members.where("key <> head").groupBy("key", "head").count()
+def fits(one: str, two: str, least: float) -> Column:
+    """Sizes that leave room for a similarity: the smaller bag is at least that share of the larger."""
+    return F.least(one, two) >= F.lit(least) * F.greatest(one, two)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts' sets have a Jaccard similarity of `least` or more; texts: key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
+            named = dict(zip(a, text_a)) | dict(zip(b, text_b))
+            held = dict(zip(named, ids(list(named.values()))))
+            shared = np.array([len(np.intersect1d(held[i], held[j], assume_unique=True)) for i, j in zip(a, b)])
+            either = np.array([len(held[i]) + len(held[j]) for i, j in zip(a, b)]) - shared
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(shared >= least * either - 1e-9))
+
+    return salted_pairs(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def links(sets: list[np.ndarray], roots: list[int], least: float) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets in different groups, as few as join the same sets."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(place.max()) + 1, np.int64)
+    group = {r: r for r in roots}
+    found = []
+
+    def top(r: int) -> int:
+        while group[r] != r:
+            group[r] = group[group[r]]
+            r = group[r]
+        return r
+
+    for i in range(len(sets)):
+        own = place[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[place], starts)
+        mark[own] = 0
+        for j in np.flatnonzero(shared >= least * (sizes[i] + sizes - shared) - 1e-9):
+            if (a := top(roots[i])) != (b := top(roots[j])):
+                group[a] = b
+                found.append((i, int(j)))
+    return found
+
+
+def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFrame:
+    """a, b: links between the groups of each bucket, as few as join the same groups; left: apart().
+
+    The members of a bucket are dealt into blocks of about BLOCK, and each two blocks meet in one task, which compares whole sets at
+    once. Pairs are neither rows nor shuffled: a member goes to as many places as its bucket has blocks.
+    """
+    blocks = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("band", F.least("own", "other").alias("low_block"), F.greatest("own", "other").alias("high_block"), "key", "root")
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        found = links(ids(table.column("text").to_pylist()), table.column("root").to_pylist(), least)
+        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
+
+    return sent.join(texts, "key").groupBy("band", "low_block", "high_block").applyInArrow(run, "a long, b long")
+
+
+def near_groups(members: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFrame:
+    """node, root of all items with a verified link.
+
+    members: buckets(); texts: key, text of these; both written. ids: texts -> the set of each as distinct 64-bit numbers.
+    """
+    votes = members.where("key <> head").where(fits("size", "head_size", least)).groupBy("key", "head").count()
     first = votes.groupBy("key").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
     asked = runtime.written(ordered(first.select(F.col("key").alias("a"), F.col("head").alias("b"))), "asked")
-    edges = runtime.written(verify(asked), "edges")
-    roots = components(edges)
+    roots = grown(None, runtime.written(similar(asked, texts, ids, least), "edges"))
     others = split(ordered(votes.select(F.col("key").alias("a"), F.col("head").alias("b"))), roots)
     others = runtime.written(others.join(asked, ["a", "b"], "left_anti"), "asked")
     if not others.isEmpty():
-        asked = asked.unionByName(others)
-        edges = edges.unionByName(runtime.written(verify(others), "edges"))
-        roots = components(edges)
-    for turn in range(ROUNDS + 1):
-        left = runtime.written(apart(members, roots), "apart")
-        if left.isEmpty():
-            break
-        if turn < ROUNDS:
-            # the least member of each group but the first, against the members of the other groups before and after it
-            head = left.where("root <> low").groupBy("band").agg(F.min("root").alias("chosen"))
-            name = left.join(head, "band")
-            least = name.where("root = chosen").groupBy("band").agg(F.min("key").alias("b"))
-            pairs = name.where("root <> chosen").join(least, "band").select(F.col("key").alias("a"), "b")
-        else:
-            other = left.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
-            pairs = left.join(other, "band").where("root < root_b").select(F.col("key").alias("a"), "b")
-        new = ordered(pairs).join(asked, ["a", "b"], "left_anti")
-        new = runtime.written(new, "asked")
-        asked = asked.unionByName(new)
-        if new.isEmpty():
-            continue
-        edges = edges.unionByName(runtime.written(verify(new), "edges"))
-        roots = components(edges)
+        roots = grown(roots, runtime.written(similar(others, texts, ids, least), "edges"))
+    left = runtime.written(apart(members, roots), "apart")
+    if not left.isEmpty():
+        roots = grown(roots, runtime.written(across(left, texts, ids, least), "edges"))
     return roots
