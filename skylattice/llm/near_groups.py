@@ -181,10 +181,14 @@ def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFra
     The members of a bucket are dealt into blocks of about BLOCK, and each two blocks meet in one task, which compares whole sets at
     once. Pairs are neither rows nor shuffled: a member goes to as many places as its bucket has blocks.
     """
-    blocks = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = left.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("band", F.least("own", "other").alias("low_block"), F.greatest("own", "other").alias("high_block"), "key", "root")
+    sized = left.join(left.groupBy("band").agg(F.count("*").alias("n")), "band")
+    # the same few items often share several buckets: each set of up to BLOCK members is compared once
+    few = sized.where(F.col("n") <= BLOCK).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("members"))
+    few = few.select("members").distinct().select(F.xxhash64("members").alias("band"), F.lit(0).alias("low_block"), F.lit(0).alias("high_block"), F.explode("members").alias("m"))
+    dealt = sized.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    many = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("band", F.least("own", "other").alias("low_block"), F.greatest("own", "other").alias("high_block"), "key", "root")
+    sent = many.unionByName(few.select("band", "low_block", "high_block", "m.key", "m.root"))
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
