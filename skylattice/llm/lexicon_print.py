@@ -80,27 +80,50 @@ def slot(kind: int, term: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(term, 22 + 13 * kind), F.lit(SHARES[kind]))
 
 
-def folded(kept: Column) -> Column:
-    """Sorted distinct terms of one text -> sorted array of (sub-lexicon number << 40 | 40 bits of its terms' hash)."""
-    def members(k: int) -> Column:
-        return F.transform(F.filter(kept, lambda t: slot(k, t) < GROUPS), lambda t: F.struct((slot(k, t) + k * GROUPS).alias("s"), t.alias("t")))
-
-    ordered = F.sort_array(F.concat(*map(members, range(len(SHARES)))))
-    packed = lambda s, h: F.shiftleft(s, 40).bitwiseOR(h.bitwiseAND(F.lit((1 << 40) - 1)))
-    start = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<long>").alias("out"))
-    done = lambda acc: F.when(acc["s"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(packed(acc["s"], acc["h"]))))
-    step = lambda acc, x: F.when(acc["s"] == x["s"], F.struct(acc["s"].alias("s"), F.xxhash64(acc["h"], x["t"]).alias("h"), acc["out"].alias("out"))).otherwise(F.struct(x["s"].alias("s"), F.xxhash64(x["t"]).alias("h"), done(acc).alias("out")))
-    return F.aggregate(ordered, start, step, done)
-
-
-def printed(text: Column, lexicon_bits: Column) -> Column:
-    """The print of a text: its folded lexicon terms, or one negative number where it has none."""
-    every = terms(text)
+def members(kept: str, k: int) -> Column:
+    """The terms that a sub-lexicon of a kind holds; those of kind 0 hold all."""
+    return F.filter(kept, lambda t: slot(k, t) < GROUPS) if k else F.col(kept)
+
+
+def slots_of(column: str, k: int) -> Column:
+    return F.transform(column, lambda t: slot(k, t))
+
+
+def packed(column: str, k: int) -> Column:
+    """Each term as (sub-lexicon number << 55 | 55 bits of the term)."""
+    return F.transform(column, lambda t: F.shiftleft(slot(k, t) + k * GROUPS, 55).bitwiseOR(t.bitwiseAND(F.lit((1 << 55) - 1))))
+
+
+def printed(rows: DataFrame, text: str, out: str, bits: Column) -> DataFrame:
+    """rows and `out`, the print of a text column: sorted (sub-lexicon number << 40 | 40 bits of the hash of its sorted terms), or one negative number where there is no lexicon term.
+
+    A kind of which the text itself uses ENOUGH sub-lexicons is never compared at a denser share, so the denser kinds are left out.
+    Each step is a column that the next one uses more than once, so nothing is computed twice.
+    """
     low = lambda t, n: t.bitwiseAND(F.lit(n - 1))
-    held = lambda t: F.getbit(F.get(lexicon_bits, F.shiftright(low(t, SLOTS), 6).cast("int")), low(t, 64).cast("int")) == 1
-    lone = F.when(F.size(every) > 0, F.xxhash64(F.sort_array(every))).otherwise(F.xxhash64(text))
-    some = folded(F.filter(every, held))
-    return F.when(F.size(some) > 0, some).otherwise(F.array(-F.shiftrightunsigned(lone, 2) - 1))
+    held = lambda t: F.getbit(F.get(bits, F.shiftright(low(t, SLOTS), 6).cast("int")), low(t, 64).cast("int")) == 1
+    none = F.array().cast("array<bigint>")
+    kinds = range(len(SHARES))
+    made = rows.withColumn("_every", terms(F.col(text))).withColumn("_kept", F.filter("_every", held))
+    made = made.withColumns({f"_m{k}": members("_kept", k) for k in kinds})
+    made = made.withColumns({f"_u{k}": F.size(F.array_distinct(slots_of(f"_m{k}", k))) for k in kinds if k})
+    sparser = lambda k: [F.col(f"_u{j}") >= ENOUGH for j in kinds if j > k]
+    parts = []
+    for k in kinds:
+        part = packed(f"_m{k}", k)
+        for enough in sparser(k):
+            part = F.when(enough, none).otherwise(part)
+        parts.append(part)
+    made = made.withColumn("_all", F.sort_array(F.concat(*parts)))
+    number = lambda x: F.shiftright(x, 55)
+    at = lambda i: F.get("_all", i)
+    first = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: (i == 0) | (number(at(i)) != number(at(i - 1))))
+    made = made.withColumn("_starts", F.when(F.size("_all") > 0, first).otherwise(F.array().cast("array<int>")))
+    hashed = lambda a, j: F.xxhash64(F.slice(F.col("_all"), a + 1, F.coalesce(F.get("_starts", j + 1), F.size("_all")) - a))
+    some = F.transform("_starts", lambda a, j: F.shiftleft(number(at(a)), 40).bitwiseOR(hashed(a, j).bitwiseAND(F.lit((1 << 40) - 1))))
+    lone = F.when(F.size("_every") > 0, F.xxhash64(F.sort_array("_every"))).otherwise(F.xxhash64(F.col(text)))
+    found = F.when(F.size("_starts") > 0, some).otherwise(F.array(-F.shiftrightunsigned(lone, 2) - 1))
+    return made.select(*rows.columns, found.alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,7 +149,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.length("text")
     edit = F.expr("concat(left(text, length(text) - int(floor(length(text) / 4))), left(next_text, int(floor(length(text) / 4))))")
     made = spread.withColumn("next_text", F.coalesce(F.lead("text").over(order), "text")).withColumn("edited", edit)
-    made = made.select("part", "guest", "key", "text", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("text"), bits).alias("own"), printed(F.col("edited"), bits).alias("other"))
+    made = made.select("part", "guest", "key", "text", "edited", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    made = printed(printed(made, "text", "own", bits), "edited", "other", bits).drop("edited")
     made = made.withColumn("next", F.coalesce(F.lead("own").over(order), "own")).where(~F.col("guest"))
     shown = lambda c: F.array_join(F.transform(c, lambda e: F.lower(F.hex(e))), " ")
     return made.select("doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("other").alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
