@@ -6,7 +6,7 @@ Poisson process of points, of a rate that is its width times the signature's len
 points at or above w are thinned out. A signature place keeps its earliest point, so two signatures agree at a place with a chance
 that is exactly the weighted Jaccard similarity, and points later than any place needs are never made: the cost hardly depends on weights.
 
-BANDS bands of ROWS places make a pair at similarity 0.8 a candidate with a chance of 1 - 7e-4, at 0.85 of 1 - 2e-5. Candidates are verified on the
+BANDS bands of ROWS places make a pair at similarity 0.8 a candidate with a chance of 1 - 3e-6. Candidates are verified on the
 shingle multisets of whole texts: overlap (sum of least weights / sum of largest) of 0.8 or more. Groups are connected components.
 
 Defined results: texts with the same words are one item; texts without a word (null as empty among them) are copies if they are
@@ -30,7 +30,7 @@ from skylattice import runtime
 from skylattice.llm import hashing
 from skylattice.llm.near_groups import buckets, near_groups
 
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
 #: Candidate texts up to this number are fetched with broadcast ids (16 bytes each); more of them by a shuffle.
 FEW = 1_000_000
