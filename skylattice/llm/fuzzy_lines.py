@@ -37,6 +37,8 @@ LEAST = 0.8
 FILL = 8
 #: Characters sketched at once, so that very long texts need little memory.
 CHUNK = 1 << 18
+#: Lines of a block of a bucket: a few hundred bytes each.
+BLOCK = 512
 #: Lines to verify up to this number are fetched with broadcast ids (some 50 bytes each); more of them by a shuffle.
 FEW = 500_000
 
@@ -160,7 +162,7 @@ def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     wanted = members.select("key").distinct()
     places = firsts.join(wanted, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
     texts = runtime.written(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
-    roots = near_groups(members, texts, shingle_ids, least)
+    roots = near_groups(members, texts, shingle_ids, least, BLOCK)
     named = firsts.join(roots, firsts["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
     repeated = runtime.written(named.join(groups, "root").select("key", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from skylattice import runtime
 from skylattice.llm.hashing import slices
 
-#: Members of a block of a bucket whose groups are compared with one another.
-BLOCK = 64
+#: Members of a block of a bucket whose groups are compared with one another. A member is sent to as many places as its bucket has
+#: blocks, so blocks are as large as a task's memory allows: short texts take more.
+BLOCK = 256
 #: Edges of one union-find task.
 TASK_EDGES = 1_000_000
 #: Pairs of a hot item that go to one salted part.
@@ -175,17 +176,17 @@ def links(sets: list[np.ndarray], roots: list[int], least: float) -> list[tuple[
     return found
 
 
-def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFrame:
+def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int) -> DataFrame:
     """a, b: links between the groups of each bucket, as few as join the same groups; left: apart().
 
-    The members of a bucket are dealt into blocks of about BLOCK, and each two blocks meet in one task, which compares whole sets at
+    The members of a bucket are dealt into blocks of about `block`, and each two blocks meet in one task, which compares whole sets at
     once. Pairs are neither rows nor shuffled: a member goes to as many places as its bucket has blocks.
     """
     sized = left.join(left.groupBy("band").agg(F.count("*").alias("n")), "band")
-    # the same few items often share several buckets: each set of up to BLOCK members is compared once
-    few = sized.where(F.col("n") <= BLOCK).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("members"))
+    # the same few items often share several buckets: each set of up to `block` members is compared once
+    few = sized.where(F.col("n") <= block).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("members"))
     few = few.select("members").distinct().select(F.xxhash64("members").alias("band"), F.lit(0).alias("low_block"), F.lit(0).alias("high_block"), F.explode("members").alias("m"))
-    dealt = sized.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = sized.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     many = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("band", F.least("own", "other").alias("low_block"), F.greatest("own", "other").alias("high_block"), "key", "root")
     sent = many.unionByName(few.select("band", "low_block", "high_block", "m.key", "m.root"))
@@ -198,7 +199,7 @@ def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFra
     return sent.join(texts, "key").groupBy("band", "low_block", "high_block").applyInArrow(run, "a long, b long")
 
 
-def near_groups(members: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFrame:
+def near_groups(members: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int = BLOCK) -> DataFrame:
     """node, root of all items with a verified link.
 
     members: buckets(); texts: key, text of these; both written. ids: texts -> the set of each as distinct 64-bit numbers.
@@ -213,5 +214,5 @@ def near_groups(members: DataFrame, texts: DataFrame, ids: Ids, least: float) ->
         roots = grown(roots, runtime.written(similar(others, texts, ids, least), "edges"))
     left = runtime.written(apart(members, roots), "apart")
     if not left.isEmpty():
-        roots = grown(roots, runtime.written(across(left, texts, ids, least), "edges"))
+        roots = grown(roots, runtime.written(across(left, texts, ids, least, block), "edges"))
     return roots
