@@ -1,10 +1,10 @@
-"""Best-fit packing by patterns: few-document length patterns, repeat counts by non-negative least squares, residuals best-fit.
+"""Best-fit packing by patterns: length patterns, repeat counts by non-negative least squares, residuals best-fit.
 
-Only the histogram of piece lengths (at most `most` bins, whatever the input) reaches the driver. There, pairs and triples of
-lengths that fill a sequence (or nearly) are enumerated as patterns, their repeat counts are fitted to the histogram by
-non-negative least squares, rounded down and cut to what there is; what remains goes best-fit into sequences by length, again
-on counts alone. The outcome is, for each length, a short list of runs: so many pieces of that length, one in each of so many
-successive sequences, at one offset. A piece finds its run by its rank among the pieces of its length. Ranks are counted in
+Only the histogram of piece lengths (at most `most` bins, whatever the input) reaches the driver. There, patterns of any number of
+lengths that fill FULL of a sequence are enumerated, their repeat counts are fitted to the histogram by non-negative least
+squares, rounded down and cut to what there is; what remains goes best-fit into sequences by length, again on counts alone. Where
+best-fit alone needs fewer sequences, its plan is taken. The outcome is, for each length, a short list of runs: so many pieces of
+that length, dealt to so many successive sequences, from one offset on. A piece finds its run by its rank among the pieces of its length. Ranks are counted in
 salted parts (so a length that a third of all pieces share is no hot group) and offset by the parts' sizes.
 
 Defined results: null and empty texts are one piece with the end id alone. Repeated rows are packed each on its own. An empty
@@ -13,7 +13,8 @@ table gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import bisect
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,20 +27,37 @@ from skylattice.llm.piece_tokens import SEQUENCE, pieces
 #: Salted parts a length is dealt into, and the patterns offered to the fit for each length.
 PARTS = 512
 PATTERNS_OF_A_LENGTH = 6
+#: Share of a sequence that a pattern fills to be offered to the fit.
+FULL = 0.99
 
 
 def patterns(counts: dict[int, int], most: int) -> list[tuple[int, ...]]:
-    """Pairs and triples of present lengths, for each length the fullest few; lengths fall within a pattern."""
-    lengths = np.array(sorted(counts, reverse=True))
+    """Patterns of present lengths, repeats included, that fill at least FULL of a sequence, a few for each longest length; lengths fall within a pattern."""
+    lengths = sorted(counts, reverse=True)
     found: set[tuple[int, ...]] = set()
+
+    def fitting(room: int) -> int:
+        """The place of the longest length that fits."""
+        return bisect.bisect_left(lengths, -room, key=lambda n: -n)
+
+    def offer(starts: dict[int, int]) -> None:
+        """The pattern of these lengths and repeats, filled up with the longest lengths that fit, if it gets full."""
+        held = Counter(starts)
+        room = most - sum(n * k for n, k in starts.items())
+        while room and (at := fitting(room)) < len(lengths) and (k := min(room // lengths[at], counts[lengths[at]] - held[lengths[at]])) > 0:
+            held[lengths[at]] += k
+            room -= lengths[at] * k
+        if room <= (1 - FULL) * most:
+            found.add(tuple(sorted(held.elements(), reverse=True)))
+
     for a in lengths:
-        room = most - a
-        fits = lengths[(lengths <= room) & (lengths <= a)]
-        found.update((int(a), int(b)) for b in fits[:PATTERNS_OF_A_LENGTH])
-        for b in fits[:: max(1, len(fits) // PATTERNS_OF_A_LENGTH)]:
-            rest = lengths[(lengths <= room - b) & (lengths <= b)]
-            if len(rest):
-                found.add((int(a), int(b), int(rest[0])))
+        whole = min(most // a, counts[a])
+        for k in sorted({1, 2, whole // 2, whole - 1, whole} & set(range(1, whole + 1))):
+            room = most - a * k
+            fits = lengths[fitting(min(room, a - 1)) :]
+            offer({a: k})
+            for b in [*fits[:PATTERNS_OF_A_LENGTH], *fits[:: max(1, len(fits) // PATTERNS_OF_A_LENGTH)]]:
+                offer({a: k, b: 1})
     return sorted(found, reverse=True)
 
 
@@ -47,10 +65,10 @@ def fitted(chosen: list[tuple[int, ...]], counts: dict[int, int], rounds: int =
     """Repeat counts x >= 0 that minimise |A x - counts|^2, A[length, pattern] the pieces of a length in a pattern (projected, accelerated gradient steps; A is sparse)."""
     row = {n: i for i, n in enumerate(sorted(counts))}
     want = np.array([counts[n] for n in sorted(counts)], float)
-    at = np.array([row[n] for p in chosen for n in p])
-    of = np.array([j for j, p in enumerate(chosen) for _ in p])
-    apply = lambda x: np.bincount(at, x[of], len(want))
-    back = lambda y: np.bincount(of, y[at], len(chosen))
+    held = [(row[n], j, k) for j, p in enumerate(chosen) for n, k in Counter(p).items()]
+    at, of, times = (np.array(c) for c in zip(*held))
+    apply = lambda x: np.bincount(at, times * x[of], len(want))
+    back = lambda y: np.bincount(of, times * y[at], len(chosen))
     probe = np.ones(len(chosen))
     for _ in range(30):
         probe = back(apply(probe))
@@ -65,41 +83,57 @@ def fitted(chosen: list[tuple[int, ...]], counts: dict[int, int], rounds: int =
     return x
 
 
-def runs(counts: dict[int, int], most: int = SEQUENCE) -> dict[int, list[tuple[int, int, int, int]]]:
-    """For each length its runs (first rank, number, first sequence, offset), which use every piece once."""
-    left, used = dict(counts), defaultdict(int)
-    found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-    sequence = 0
+def best_fit(left: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and their repeats, which use every piece of left: the longest that is left, then whatever fits best, as often as there are such pieces."""
+    left, laid = dict(left), []
+    rest = sorted((n for n, c in left.items() if c), reverse=True)
+    while rest:
+        taken: dict[int, int] = {}
+        room = most
+        for n in rest:
+            if k := min(room // n, left[n]):
+                taken[n] = k
+                room -= n * k
+        times = min(left[n] // k for n, k in taken.items())
+        laid.append((tuple(n for n, k in taken.items() for _ in range(k)), times))
+        for n, k in taken.items():
+            left[n] -= k * times
+        rest = [n for n in rest if left[n]]
+    return laid
 
-    def lay(pattern: tuple[int, ...], times: int) -> None:
-        nonlocal sequence
-        offset = 0
-        for n in pattern:
-            found[n].append((used[n], times, sequence, offset))
-            used[n] += times
-            left[n] -= times
-            offset += n
-        sequence += times
 
-    for n in [n for n in left if n >= most]:
-        lay((n,), left[n])
-    partial = {n: c for n, c in left.items() if c}
-    if partial and (chosen := patterns(partial, most)):
-        repeats = np.floor(fitted(chosen, partial) + 1e-6).astype(int)
+def by_patterns(left: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Full patterns as often as the fit says, then best-fit."""
+    left, laid = dict(left), []
+    if left and (chosen := patterns(left, most)):
+        repeats = np.floor(fitted(chosen, left) + 1e-6).astype(int)
         for j in sorted(range(len(chosen)), key=lambda j: (most - sum(chosen[j]), j)):
-            need = {n: chosen[j].count(n) for n in chosen[j]}
+            need = Counter(chosen[j])
             if (times := min(int(repeats[j]), *(left[n] // k for n, k in need.items()))) > 0:
-                lay(chosen[j], times)
-    rest = sorted((n for n, c in left.items() if c), reverse=True)
-    while rest:  # the longest that is left, then whatever fits best, as often as there are such pieces
-        pattern, room = [], most
-        taken: dict[int, int] = defaultdict(int)
-        while (fit := next((n for n in rest if n <= room and left[n] > taken[n]), 0)):
-            pattern.append(fit)
-            taken[fit] += 1
-            room -= fit
-        lay(tuple(pattern), min(left[n] // k for n, k in taken.items()))
-        rest = [n for n in rest if left[n]]
+                laid.append((chosen[j], times))
+                for n, k in need.items():
+                    left[n] -= k * times
+    return laid + best_fit(left, most)
+
+
+def runs(counts: dict[int, int], most: int = SEQUENCE) -> dict[int, list[tuple[int, int, range, int]]]:
+    """For each length its runs (first rank, number, sequences, offset), which use every piece once.
+
+    The pieces of a run are dealt to its sequences in turn; where there are more of them, they follow one another from the offset on.
+    """
+    used: dict[int, int] = defaultdict(int)
+    found: dict[int, list[tuple[int, int, range, int]]] = defaultdict(list)
+    partial = {n: c for n, c in counts.items() if c and n < most}
+    laid = [((n,), c) for n, c in counts.items() if c and n >= most]
+    laid += min(by_patterns(partial, most), best_fit(partial, most), key=lambda plan: sum(times for _, times in plan))
+    sequence = 0
+    for pattern, times in laid:
+        offset = 0
+        for n, k in sorted(Counter(pattern).items(), reverse=True):
+            found[n].append((used[n], k * times, range(sequence, sequence + times), offset))
+            used[n] += k * times
+            offset += n * k
+        sequence += times
     return found
 
 
@@ -111,18 +145,19 @@ def packed(made: DataFrame, most: int = SEQUENCE) -> DataFrame:
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("from"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    laid = [(n, k, *r) for n, rs in runs(counts, most).items() for k, r in enumerate(sorted(rs))]
-    plan = spark.createDataFrame(laid, "length long, k int, first long, number long, sequence long, offset long")
-    plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "offset"))).alias("runs"))
+    laid = [(n, first, sequences.start, len(sequences), offset) for n, rs in runs(counts, most).items() for first, _, sequences, offset in rs]
+    plan = spark.createDataFrame(laid, "length long, first long, sequence long, sequences long, offset long")
+    plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "sequences", "offset"))).alias("runs"))
     ranked = made.withColumn("part", part).withColumn("row", F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece")))
     ranked = ranked.join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("from") + F.col("row") - 1).drop("part", "row", "from")
-    return ranked.join(F.broadcast(plan), "length").withColumn("run", last_run()).select(*made.columns, (F.col("run.sequence") + F.col("rank") - F.col("run.first")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+    found = ranked.join(F.broadcast(plan), "length").withColumn("run", last_run()).withColumn("nth", F.col("rank") - F.col("run.first"))
+    return found.select(*made.columns, F.expr("run.sequence + nth % run.sequences").alias("sequence_id"), F.expr("run.offset + nth div run.sequences * length").alias("offset"))
 
 
 def last_run():
-    """Of the sorted runs of a length the last one that starts at the rank or before: a binary search in 14 steps."""
+    """Of the sorted runs of a length the last one that starts at the rank or before: a binary search in 17 steps."""
     low = F.aggregate(
-        F.array(*[F.lit(1 << s) for s in range(13, -1, -1)]),
+        F.array(*[F.lit(1 << s) for s in range(16, -1, -1)]),
         F.lit(1),
         lambda at, jump: F.when((at + jump <= F.size("runs")) & (F.get("runs", at + jump - 1)["first"] <= F.col("rank")), at + jump).otherwise(at),
     )

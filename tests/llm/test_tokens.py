@@ -107,6 +107,33 @@ def test_runs_use_every_piece_once(seed):
     assert set(found) == set(counts)
 
 
+def sequences_used(counts):
+    """The number of sequences; every place in them is checked to be held once at most."""
+    spans = defaultdict(list)
+    for n, own in runs(counts, 1024).items():
+        for _, number, sequences, offset in own:
+            assert number % len(sequences) == 0
+            spans[sequences].append((offset, offset + n * (number // len(sequences))))
+    for own in spans.values():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] <= 1024
+        assert all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert sum(map(len, spans)) == max(s.stop for s in spans)
+    return sum(map(len, spans))
+
+
+def test_many_short_lengths():
+    assert sequences_used({100: 1_000_000}) == 100_000
+    assert sequences_used({1: 5_000_000}) == -(-5_000_000 // 1024)
+    r = np.random.default_rng(3)
+    short = {n: int(r.integers(1, 200_000)) for n in range(5, 342)}
+    hot = {n: int(r.integers(1, 2_000)) for n in range(1, 1025)} | {90: 3_000_000}
+    log = np.unique(np.minimum(1024, r.lognormal(4.5, 1, 1_000_000).astype(int) + 1), return_counts=True)
+    for counts in (short, hot, dict(zip(*(x.tolist() for x in log)))):
+        least = -(-sum(n * c for n, c in counts.items()) // 1024)
+        assert sequences_used(counts) <= least * 1.02
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "same", 5), (1, "same", 5), (None, None, None)], "doc_id long, text string, length int")
     made = packing.pack(docs, BYTES).collect()
