@@ -7,7 +7,8 @@ own spread. The paths that pass name the content; their deepest common element w
 element, and its blocks that lie in no boilerplate element are the text.
 
 Boilerplate elements are those of the fixed lists below: menus, headers and footers of the page, sidebars, forms, scripts, styles,
-and anything whose class, id or role says notice, advert, comment and the like.
+and anything whose class, id or role says notice, advert, comment and the like. Of a block only the pieces in such an inline
+element go; its other text stays.
 
 Defined results: null and empty html give an empty text and 0 characters. Unclosed and stray tags are tolerated, a `<` that
 starts no tag is text. Repeated rows give repeated results; an empty table an empty one.
@@ -48,11 +49,19 @@ MARKS = frozenset(".,;:!?…。，、！？؛،")
 
 @dataclass
 class Block:
-    """A run of text without a block element in it: where it lies, and whether that is boilerplate."""
+    """A run of text without a block element in it: where it lies, and whether its block elements are boilerplate.
+
+    asides are those of its parts that lie in a boilerplate inline element.
+    """
 
     path: tuple[str, ...]
     boiler: bool
     parts: list[str] = field(default_factory=list)
+    asides: set[int] = field(default_factory=set)
+
+    def line(self) -> str:
+        parts = (x for i, x in enumerate(self.parts) if i not in self.asides)
+        return SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 
 def blocks(page: str) -> list[Block]:
@@ -64,8 +73,10 @@ def blocks(page: str) -> list[Block]:
     def text(piece: str) -> None:
         nonlocal now
         if now is None:
-            now = Block(tuple(f"{n}.{k}" if n not in ("p", "li", "td", "tr", "th", "dt", "dd") else n for n, _, k in stack if n not in INLINE), any(b for _, b, _ in stack))
+            now = Block(tuple(f"{n}.{k}" if n not in ("p", "li", "td", "tr", "th", "dt", "dd") else n for n, _, k in stack if n not in INLINE), any(b for n, b, _ in stack if n not in INLINE))
             found.append(now)
+        if any(b for n, b, _ in stack if n in INLINE):
+            now.asides.add(len(now.parts))
         now.parts.append(piece)
 
     def shut(names: tuple[str, ...] | frozenset[str], within: frozenset[str]) -> None:
@@ -142,8 +153,7 @@ def extract(page: str | None) -> str:
     """The main text; its blocks joined by line breaks."""
     kept = []
     for b in blocks(page or ""):
-        line = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
-        if line and not b.boiler:
+        if not b.boiler and (line := b.line()):
             kept.append((b.path, line))
     if not kept:
         return ""

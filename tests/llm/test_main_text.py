@@ -29,6 +29,14 @@ def test_odd_markup():
     assert "x" * 50_000 in extract(f"<article><p>{'x' * 50_000}, end.</p></article>")
 
 
+def test_inline_boilerplate_takes_its_own_text_only():
+    body = """<article><p><a class="share">Send on</a> A long paragraph, which is the article, and stays whole.</p>
+<p><span class="notice">Note</span> Another long paragraph, of the article as well, and all of it counts.</p>
+<p>One more, with an <a class="ad">offer</a> in its middle, and it goes on and on.</p><p><span class="share">Send on</span></p></article>"""
+    want = "A long paragraph, which is the article, and stays whole.\nAnother long paragraph, of the article as well, and all of it counts.\nOne more, with an in its middle, and it goes on and on."
+    assert extract(page(body)) == want
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", page(BODY), 3), (1, "u", page(BODY), 3), (None, None, None, None)], "page_id long, url string, html string, text int")
     made = extracted(pages).collect()
