@@ -1,14 +1,18 @@
 """HTML extraction by tag-path ratios.
 
 A page's text blocks are grouped by their root-to-leaf tag path (formatting tags and void tags don't count; p, li and such close
-each other). For each path: letters per block and punctuation marks per block. Both series are smoothed over the paths in page
-order, fused by their geometric mean, weighted by where the path lies (inside article or main: twice), and thresholded by their
-own spread. The paths that pass name the content; their deepest common element with article, main or body is the content
-element, and its blocks that lie in no boilerplate element are the text.
+each other). For each path: letters outside links per block and punctuation marks outside links per block. Both series are
+smoothed over the paths in page order, fused by their geometric mean, weighted by where the path lies, and thresholded by their own spread:
+- The paths within a spread of the best are the content, and the sections that hold them are content nodes.
+- So are paths that reach NEAR of the best, wherever they lie, if they reach NEAR of the content's median without smoothing as well.
+- A content node's other blocks are kept unless most of their letters are links; a listed one is kept only by its own score.
+- A heading goes with the text that follows it, or with the article that holds content.
 
-Boilerplate elements are those of the fixed lists below: menus, headers and footers of the page, sidebars, forms, scripts, styles,
-and anything whose class, id or role says notice, advert, comment and the like. Of a block only the pieces in such an inline
-element go; its other text stays.
+Weights: inside article or main twice; LISTED for each boilerplate element around it. The fixed lists below (tag names, words of a
+class, id or role) only set this weight. An element that holds HOLDS of the high-scoring letters outside
+other listed ones, itself or with all that are listed for the same word, isn't boilerplate, whatever its name, unless an article or main
+has such letters in no listed element. Of a block only the pieces in an inline element with such a word go; its other text stays. What
+a browser shows no text of (scripts, styles, controls, hidden elements) is no text here either.
 
 Defined results: null and empty html give an empty text and 0 characters. Unclosed and stray tags are tolerated, a `<` that
 starts no tag is text. Repeated rows give repeated results; an empty table an empty one.
@@ -18,7 +22,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,11 +35,17 @@ from pyspark.sql import functions as F
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILER = frozenset("nav footer aside form script style noscript template head title button select option textarea input fieldset dialog menu iframe object svg canvas audio video map legend datalist".split())
+NO_TEXT = frozenset("script style noscript template head title button select option textarea input iframe object svg canvas audio video map datalist".split())
+BOILER = frozenset("nav footer aside form fieldset dialog menu legend".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "h1": ("h1",), "h2": ("h2",), "h3": ("h3",)}
 SCOPE = frozenset("ul ol dl table tbody thead body html article section div main".split())
 CONTENT = frozenset(("article", "main"))
+SECTIONS = CONTENT | frozenset("html body div section td th blockquote header footer nav aside form".split())
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: Weight of a path for each boilerplate element around it; share of the high-scoring letters that such an element doesn't hold;
+#: share of the best score that makes a path content by itself.
+LISTED, HOLDS, NEAR = 0.25, 0.8, 0.5
 #: Words of a class, id or role that name boilerplate.
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|masthead|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
 
@@ -47,44 +58,68 @@ SPACE = re.compile(r"\s+")
 MARKS = frozenset(".,;:!?…。，、！？؛،")
 
 
+@dataclass
+class Element:
+    name: str
+    number: int
+    hidden: bool
+    #: The name or word by which it is listed as boilerplate, or "".
+    word: str
+
+
 @dataclass
 class Block:
-    """A run of text without a block element in it: where it lies, and whether its block elements are boilerplate.
+    """A run of text without a block element in it: where it lies, in which listed block elements (number -> word), and its text.
 
-    asides are those of its parts that lie in a boilerplate inline element.
+    links and asides are those of its parts that lie in a link and in a listed inline element (number -> word).
     """
 
     path: tuple[str, ...]
-    boiler: bool
+    listed: dict[int, str]
     parts: list[str] = field(default_factory=list)
-    asides: set[int] = field(default_factory=set)
+    links: set[int] = field(default_factory=set)
+    asides: dict[int, dict[int, str]] = field(default_factory=dict)
 
-    def line(self) -> str:
-        parts = (x for i, x in enumerate(self.parts) if i not in self.asides)
-        return SPACE.sub(" ", html.unescape("".join(parts))).strip()
+    def text(self, places: Iterable[int]) -> str:
+        return SPACE.sub(" ", html.unescape("".join(self.parts[i] for i in places))).strip()
+
+
+@dataclass
+class Line:
+    """A block's text, that of it outside links, and its listed elements."""
+
+    path: tuple[str, ...]
+    text: str
+    plain: str
+    listed: dict[int, str]
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, number
+    stack: list[Element] = []
     serial, now = 0, None
 
     def text(piece: str) -> None:
         nonlocal now
+        if any(e.hidden for e in stack):
+            return
         if now is None:
-            now = Block(tuple(f"{n}.{k}" if n not in ("p", "li", "td", "tr", "th", "dt", "dd") else n for n, _, k in stack if n not in INLINE), any(b for n, b, _ in stack if n not in INLINE))
+            path = tuple(f"{e.name}.{e.number}" if e.name not in ("p", "li", "td", "tr", "th", "dt", "dd") else e.name for e in stack if e.name not in INLINE)
+            now = Block(path, {e.number: e.word for e in stack if e.word and e.name not in INLINE})
             found.append(now)
-        if any(b for n, b, _ in stack if n in INLINE):
-            now.asides.add(len(now.parts))
+        if any(e.name == "a" for e in stack):
+            now.links.add(len(now.parts))
+        if asides := {e.number: e.word for e in stack if e.word and e.name in INLINE}:
+            now.asides[len(now.parts)] = asides
         now.parts.append(piece)
 
     def shut(names: tuple[str, ...] | frozenset[str], within: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i].name in names:
                 del stack[i:]
                 return
-            if stack[i][0] in within:
+            if stack[i].name in within:
                 return
 
     at, size = 0, len(page)
@@ -109,9 +144,9 @@ def blocks(page: str) -> list[Block]:
                 continue
             now = None
         if m[1]:
-            if any(n == name for n, _, _ in stack):
-                i = max(i for i, (n, _, _) in enumerate(stack) if n == name)
-                if not inline or all(n in INLINE for n, _, _ in stack[i:]):
+            if any(e.name == name for e in stack):
+                i = max(i for i, e in enumerate(stack) if e.name == name)
+                if not inline or all(e.name in INLINE for e in stack[i:]):
                     del stack[i:]
             continue
         if name in CLOSES_P:
@@ -125,21 +160,21 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         serial += 1
-        stack.append((name, boilerplate(name, m[3], stack), serial))
+        stack.append(Element(name, serial, name in NO_TEXT or bool(HIDDEN.search(VALUE.sub("", m[3]))) and name not in ("html", "body"), listed(name, m[3], stack)))
     return found
 
 
-def boilerplate(name: str, attributes: str, stack: list[tuple[str, bool, int]]) -> bool:
-    """Headers count only outside the article: those inside hold its title."""
-    if name in BOILER or name == "header" and not any(n in CONTENT for n, _, _ in stack):
-        return True
+def listed(name: str, attributes: str, stack: list[Element]) -> str:
+    """The name or word by which an element is listed. Headers count only outside the article: those inside hold its title."""
+    outside = not any(e.name in CONTENT for e in stack)
+    if name in BOILER or name == "header" and outside:
+        return name
     if not attributes or name in ("html", "body") or name in CONTENT:
-        return False
-    if HIDDEN.search(VALUE.sub("", attributes)):
-        return True
-    if not any(n in CONTENT for n, _, _ in stack) and any(HEADER.search(a or b or c) for a, b, c in NAMED.findall(attributes)):
-        return True
-    return any(NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+        return ""
+    for value in ("".join(x) for x in NAMED.findall(attributes)):
+        if m := NAMES.search(value) or outside and HEADER.search(value):
+            return m[0].strip(" \t\n_-").lower()
+    return ""
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:
@@ -149,31 +184,83 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, bell / bell.sum(), mode="valid")
 
 
+def lines_of(page: str) -> list[Line]:
+    """The page's blocks with text. A block whose whole text lies in listed inline elements is listed itself; of others these pieces go."""
+    found = []
+    for b in blocks(page):
+        own = [i for i in range(len(b.parts)) if i not in b.asides]
+        names = b.listed
+        text = b.text(own)
+        if not text:
+            own, names = range(len(b.parts)), b.listed | {n: w for i, part in b.asides.items() if b.parts[i].strip() for n, w in part.items()}
+            text = b.text(own)
+        if text:
+            found.append(Line(b.path, text, b.text(i for i in own if i not in b.links), names))
+    return found
+
+
+def within(path: tuple[str, ...], names: frozenset[str]) -> tuple[str, ...]:
+    """The path of the innermost element of these names, or ()."""
+    return path[: max((i + 1 for i, e in enumerate(path) if e.partition(".")[0] in names), default=0)]
+
+
+def scores(lines: list[Line], paths: dict[tuple[str, ...], int]) -> tuple[np.ndarray, np.ndarray]:
+    """The fused ratios of each path, smoothed and not, without the weights of listed elements."""
+    letters, marks, count = (np.zeros(len(paths)) for _ in range(3))
+    for x in lines:
+        i = paths[x.path]
+        letters[i] += len(x.plain)
+        marks[i] += sum(map(x.plain.count, MARKS))
+        count[i] += 1
+    one, two = np.log1p(letters / count), np.log1p(marks / count) + 0.1
+    place = np.array([2.0 if within(p, CONTENT) else 1.0 for p in paths]) * (letters > 0)
+    return np.sqrt(smoothed(one) * smoothed(two)) * place, np.sqrt(one * two) * place
+
+
+def cleared(lines: list[Line], high: list[bool]) -> set[int]:
+    """Numbers of the listed elements that hold HOLDS of the high-scoring letters outside other listed elements, alone or with those of the same word; the fullest come first. None where an article or main has such letters."""
+    held = [(x.listed, len(x.plain), bool(within(x.path, CONTENT))) for x, h in zip(lines, high) if h]
+    words = {n: word for names, _, _ in held for n, word in names.items()}
+    free: set[int] = set()
+    for group in (lambda n: n, words.get):
+        mass: Counter = Counter()
+        for names, k, _ in held:
+            mass.update(dict.fromkeys({group(n) for n in names.keys() - free}, k))
+        for g, m in mass.most_common():
+            loose = [(k, marked) for names, k, marked in held if not names.keys() - free]
+            if m < HOLDS * (m + sum(k for k, _ in loose)) or any(marked for _, marked in loose):
+                break
+            free |= {n for n in words if group(n) == g}
+    return free
+
+
 def extract(page: str | None) -> str:
     """The main text; its blocks joined by line breaks."""
-    kept = []
-    for b in blocks(page or ""):
-        if not b.boiler and (line := b.line()):
-            kept.append((b.path, line))
-    if not kept:
+    lines = lines_of(page or "")
+    if not lines:
         return ""
-    paths = list(dict.fromkeys(p for p, _ in kept))
-    place = {p: i for i, p in enumerate(paths)}
-    letters, marks, count = (np.zeros(len(paths)) for _ in range(3))
-    for p, line in kept:
-        i = place[p]
-        letters[i] += len(line)
-        marks[i] += sum(map(line.count, MARKS))
-        count[i] += 1
-    fused = np.sqrt(smoothed(np.log1p(letters / count)) * smoothed(np.log1p(marks / count) + 0.1))
-    fused *= np.array([2.0 if any(e.partition(".")[0] in CONTENT for e in p) else 1.0 for p in paths])
-    chosen = [p for p, f in zip(paths, fused) if f >= fused.max() - fused.std()]
-    root = chosen[0]
-    for p in chosen[1:]:
-        root = root[: next((i for i, (a, b) in enumerate(zip(root, p)) if a != b), min(len(root), len(p)))]
-    while root and root[-1].partition(".")[0] not in CONTENT | {"body", "html"}:
-        root = root[:-1]
-    return "\n".join(line for p, line in kept if p[: len(root)] == root)
+    paths = {p: i for i, p in enumerate(dict.fromkeys(x.path for x in lines))}
+    fused, own = scores(lines, paths)
+    at = [paths[x.path] for x in lines]
+    free = cleared(lines, [fused[i] >= NEAR * fused.max() for i in at])
+    weight = np.array([LISTED ** sum(n not in free for n in x.listed) for x in lines])
+    fused, own = fused[at] * weight, own[at] * weight
+    best = fused.max()
+    if best <= 0:  # there is no text outside links
+        return "\n".join(x.text for x, w in zip(lines, weight) if w == 1)
+    passing = fused >= best - fused[np.unique(at, return_index=True)[1]].std()
+    alone = (fused >= NEAR * best) & (own >= NEAR * np.median(own[passing]))
+    nodes = {within(x.path, SECTIONS) for x, p in zip(lines, passing) if p}
+    articles = {a for p in nodes if (a := within(p, CONTENT))}
+    stays, follows = [False] * len(lines), False
+    for i in range(len(lines) - 1, -1, -1):
+        x = lines[i]
+        inside = weight[i] == 1 and (within(x.path, SECTIONS) in nodes or within(x.path, CONTENT) in articles)
+        if within(x.path, HEADINGS):
+            stays[i] = inside or bool(weight[i] == 1 and follows)
+        else:
+            follows = stays[i] = bool(passing[i] or alone[i] or inside and 2 * len(x.plain) >= len(x.text))
+    return "\n".join(x.text for x, stay in zip(lines, stays) if stay)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -37,6 +37,20 @@ def test_inline_boilerplate_takes_its_own_text_only():
     assert extract(page(body)) == want
 
 
+def test_scores_select_and_names_only_weigh():
+    loose = BODY.replace("article", "div")
+    extra = "<div class='x1'><ul><li><a href='/a'>Some other page</a></li><li><a href='/b'>And one more</a></li></ul></div>{}<div class='x2'><a href='/c'>Buy a car now</a></div><div class='x3'>Ring us</div>"
+    assert extract(page(extra.format(loose))) == WANT
+    for wrapper in ("<div class='layout has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='search page'><div id='login'>{}</div></div>", "<form>{}</form>"):
+        for body in (BODY, f"<main>{BODY}</main>", loose):
+            assert extract(page(wrapper.format(body))) == WANT
+            assert extract(f"<html><body>{wrapper.format(page(body))}</body></html>") == WANT
+    parts = "".join(f"<div class='widget text'><p>Paragraph {i} of the text, with some words, and some more of them.</p></div>" for i in range(9))
+    assert extract(page(parts)).count("Paragraph") == 9
+    comments = "<div class='comment'><p>A reader says this, and that, and more.</p></div>" * 100
+    assert extract(page(BODY + comments)) == WANT
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", page(BODY), 3), (1, "u", page(BODY), 3), (None, None, None, None)], "page_id long, url string, html string, text int")
     made = extracted(pages).collect()
