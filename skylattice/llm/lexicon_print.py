@@ -1,14 +1,16 @@
 """I-Match fingerprints with several randomised lexicons, in DataFrame functions only.
 
-The lexicon holds the terms (lower-cased runs of letters and digits) whose inverse document frequency, counted over all documents,
-lies in a chosen band: terms in at least RARE of the documents (and in two at least) and at most COMMON of them. A document's
+The lexicon holds the terms (lower-cased runs of letters and digits) whose inverse document frequency, counted over all distinct
+texts, lies in a chosen band: terms in at least RARE of the texts (and in two at least) and at most COMMON of them. So a group of
+copies, however large, counts as one text. A document's
 distinct lexicon terms are sorted and hashed once for each of several randomised sub-lexicons. A sub-lexicon keeps each term with
 a chance of 1/share; sparse ones survive edits of long texts, dense ones serve short texts. A fingerprint is the list of
 sub-lexicon numbers with their hashes; its likeness to another is the share of the sub-lexicons used by either whose hashes agree,
-taken at the sparsest share at which the two use at least ENOUGH sub-lexicons (else at the densest).
+taken at the sparsest share at which the two use at least ENOUGH sub-lexicons. A text that uses fewer even of the densest ones gets as many more over all its terms,
+whatever their frequency; two such texts are compared at these, in the same way (else at the densest).
 
-Equal texts have equal fingerprints. A text without a lexicon term gets one hash of its sorted terms (or of the text, if it has no
-term), marked as such: likeness 1 to its equal, 0 to others.
+Equal texts have equal fingerprints. A text without a term gets one hash of the text, marked as such: likeness 1 to its equal, 0 to
+others.
 
 Terms are hashed into SLOTS slots and document frequencies are counted by slot, so the lexicon is a bit map of fixed size at any
 corpus size; it is a constant of the plan, and membership is tested where a text is read. Terms that share a slot are in the
@@ -37,6 +39,12 @@ RARE, COMMON = 0.0005, 0.05
 SHARES = (64, 512, 4096)
 GROUPS = 64
 ENOUGH = 12
+#: Kinds over the lexicon, from the densest on; those over all terms follow, at the same shares.
+KINDS = len(SHARES)
+#: Bits of a term beside the number of its sub-lexicon.
+BITS = 54
+#: Lexicon terms of a text that are looked at to say whether it uses ENOUGH of the densest sub-lexicons.
+LOOK = 200
 #: Ranges of doc_id, a power of two.
 RANGES = 256
 LAST = (1 << 63) - 1
@@ -48,10 +56,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> list[int]:
-    """The bit map of the slots in the band, as 64-bit numbers; docs has text."""
-    total = docs.count()
+    """The bit map of the slots in the band, as 64-bit numbers; docs has text. Equal texts count once: their slots meet by a hash of the text, once from each task."""
     slots = F.array_distinct(F.transform(terms(F.col("text")), lambda t: t.bitwiseAND(F.lit(SLOTS - 1)).cast("int")))
-    counts = docs.select(F.explode(slots).alias("slot")).groupBy("slot").count()
+    total = docs.select(F.xxhash64("text")).distinct().count()
+    texts = docs.select(F.xxhash64("text").alias("text"), slots.alias("slots")).groupBy("text").agg(F.first("slots").alias("slots"))
+    counts = texts.select(F.explode("slots").alias("slot")).groupBy("slot").count()
     word = F.shiftright("slot", 6)
     band = counts.where(F.col("count").between(max(2, int(rare * total)), max(2, int(common * total))))
     bits = band.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("bits"))
@@ -85,17 +94,17 @@ def members(kept: str, k: int) -> Column:
     return F.filter(kept, lambda t: slot(k, t) < GROUPS) if k else F.col(kept)
 
 
-def slots_of(column: str, k: int) -> Column:
+def slots_of(column: str | Column, k: int) -> Column:
     return F.transform(column, lambda t: slot(k, t))
 
 
 def packed(column: str, k: int) -> Column:
-    """Each term as (sub-lexicon number << 55 | 55 bits of the term)."""
-    return F.transform(column, lambda t: F.shiftleft(slot(k, t) + k * GROUPS, 55).bitwiseOR(t.bitwiseAND(F.lit((1 << 55) - 1))))
+    """Each term as (sub-lexicon number << BITS | BITS bits of the term)."""
+    return F.transform(column, lambda t: F.shiftleft(slot(k % KINDS, t) + k * GROUPS, BITS).bitwiseOR(t.bitwiseAND(F.lit((1 << BITS) - 1))))
 
 
 def printed(rows: DataFrame, text: str, out: str, bits: Column) -> DataFrame:
-    """rows and `out`, the print of a text column: sorted (sub-lexicon number << 40 | 40 bits of the hash of its sorted terms), or one negative number where there is no lexicon term.
+    """rows and `out`, the print of a text column: sorted (sub-lexicon number << 40 | 40 bits of the hash of its sorted terms), or one negative number where there is no term.
 
     A kind of which the text itself uses ENOUGH sub-lexicons is never compared at a denser share, so the denser kinds are left out.
     Each step is a column that the next one uses more than once, so nothing is computed twice.
@@ -103,26 +112,27 @@ def printed(rows: DataFrame, text: str, out: str, bits: Column) -> DataFrame:
     low = lambda t, n: t.bitwiseAND(F.lit(n - 1))
     held = lambda t: F.getbit(F.get(bits, F.shiftright(low(t, SLOTS), 6).cast("int")), low(t, 64).cast("int")) == 1
     none = F.array().cast("array<bigint>")
-    kinds = range(len(SHARES))
     made = rows.withColumn("_every", terms(F.col(text))).withColumn("_kept", F.filter("_every", held))
-    made = made.withColumns({f"_m{k}": members("_kept", k) for k in kinds})
-    made = made.withColumns({f"_u{k}": F.size(F.array_distinct(slots_of(f"_m{k}", k))) for k in kinds if k})
-    sparser = lambda k: [F.col(f"_u{j}") >= ENOUGH for j in kinds if j > k]
+    # LOOK terms may use fewer sub-lexicons than all: then the kinds over all terms are there without need, never missing
+    used = F.size(F.array_distinct(slots_of(F.slice("_kept", 1, LOOK), 0)))
+    made = made.withColumn("_wide", F.when(used >= ENOUGH, none).otherwise(F.col("_every")))
     parts = []
-    for k in kinds:
-        part = packed(f"_m{k}", k)
-        for enough in sparser(k):
-            part = F.when(enough, none).otherwise(part)
-        parts.append(part)
+    for first, held_terms in ((0, "_kept"), (KINDS, "_wide")):
+        made = made.withColumns({f"_m{first + k}": members(held_terms, k) for k in range(KINDS)})
+        made = made.withColumns({f"_u{first + k}": F.size(F.array_distinct(slots_of(f"_m{first + k}", k))) for k in range(1, KINDS)})
+        for k in range(KINDS):
+            part = packed(f"_m{first + k}", first + k)
+            for j in range(k + 1, KINDS):
+                part = F.when(F.col(f"_u{first + j}") >= ENOUGH, none).otherwise(part)
+            parts.append(part)
     made = made.withColumn("_all", F.sort_array(F.concat(*parts)))
-    number = lambda x: F.shiftright(x, 55)
+    number = lambda x: F.shiftright(x, BITS)
     at = lambda i: F.get("_all", i)
     first = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: (i == 0) | (number(at(i)) != number(at(i - 1))))
     made = made.withColumn("_starts", F.when(F.size("_all") > 0, first).otherwise(F.array().cast("array<int>")))
     hashed = lambda a, j: F.xxhash64(F.slice(F.col("_all"), a + 1, F.coalesce(F.get("_starts", j + 1), F.size("_all")) - a))
     some = F.transform("_starts", lambda a, j: F.shiftleft(number(at(a)), 40).bitwiseOR(hashed(a, j).bitwiseAND(F.lit((1 << 40) - 1))))
-    lone = F.when(F.size("_every") > 0, F.xxhash64(F.sort_array("_every"))).otherwise(F.xxhash64(F.col(text)))
-    found = F.when(F.size("_starts") > 0, some).otherwise(F.array(-F.shiftrightunsigned(lone, 2) - 1))
+    found = F.when(F.size("_starts") > 0, some).otherwise(F.array(-F.shiftrightunsigned(F.xxhash64(F.col(text)), 2) - 1))
     return made.select(*rows.columns, found.alias(out))
 
 
@@ -130,7 +140,7 @@ def likeness(a: Column, b: Column) -> Column:
     """Of two prints, 0 to 1."""
     of = lambda x, k: F.filter(x, lambda e: (e >= 0) & (F.shiftright(e, 46) == k))
     out = None
-    for k in range(len(SHARES)):
+    for k in (*range(KINDS, 2 * KINDS), *range(KINDS)):
         one, two = of(a, k), of(b, k)
         numbers = lambda x: F.transform(x, lambda e: F.shiftright(e, 40))
         used, same = F.size(F.array_union(numbers(one), numbers(two))), F.size(F.array_intersect(one, two))

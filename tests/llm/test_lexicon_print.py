@@ -44,6 +44,19 @@ def test_edits_and_likeness(spark):
     assert sum(r["near_edited"] for r in some) > 3 * sum(r["near_next"] for r in some)
 
 
+def test_a_third_of_copies_and_short_texts(spark):
+    r = random.Random(4)
+    words = [f"r{i}" for i in range(900)]
+    hot = " ".join(r.choice(words) for _ in range(300))
+    near = hot.replace(hot.split()[7], "other", 1)
+    short = "common words of one short text that are in no other place here"
+    docs = [(i, hot) for i in range(60)] + [(60, near)] + [(100 + i, " ".join(r.choice(words) for _ in range(200))) for i in range(110)]
+    docs += [(1000, short), (1001, short + " now")]
+    made = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert made[0]["near_next"] == 1 and made[59]["near_next"] > 0.5 and made[60]["near_edited"] > 0.3
+    assert made[1000]["near_next"] > 0.5 and made[100]["near_next"] < 0.3
+
+
 def test_defined_results(spark):
     docs = spark.createDataFrame([(None, "b c d", 1), (None, "a b c", 1), (3, None, 1), (3, "x y z", 1)], "doc_id long, text string, fingerprint int")
     assert fingerprints(docs).count() == 4
