@@ -77,6 +77,19 @@ def test_as_brute_force(spark):
         assert r["text"] == (None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in r["lines"]))
 
 
+def test_one_character_edits(spark):
+    """Lines of 40 to 80 characters with one character changed are found, and strangers are not; nothing here knows of shingles."""
+    r = random.Random(11)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)).strip().center(n, "x") for n in range(40, 81) for _ in range(5)]
+    docs = [(i, line) for i, line in enumerate(lines)] + [(10_000, "Copyright 2021 Foo Inc. All rights reserved."), (10_001, "Copyright 2022 Foo Inc. All rights reserved.")]
+    for i, line in enumerate(lines):
+        k = r.randrange(len(line))
+        docs.append((1_000 + i, line[:k] + "#" + line[k + 1 :]))
+    made = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(made[i] == line for i, line in enumerate(lines)) and made[10_000] and not made[10_001]
+    assert sum(bool(made[1_000 + i]) for i in range(len(lines))) <= 0.02 * len(lines)
+
+
 def test_signatures_agree_as_often_as_shingles():
     r = random.Random(1)
     for n in (6, 30, 400):
