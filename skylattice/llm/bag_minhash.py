@@ -23,16 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.llm import hashing
-from skylattice.llm.near_groups import buckets, near_groups
+from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered
+from skylattice.llm.rows import with_row
 
 BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
-#: Candidate texts up to this number are fetched with broadcast ids (16 bytes each); more of them by a shuffle.
+#: Candidate texts up to this number are fetched with broadcast ids (some 50 bytes each); more of them by a shuffle.
 FEW = 1_000_000
 
 
@@ -70,11 +70,11 @@ def signatures(element: np.ndarray, of: np.ndarray, weight: np.ndarray, texts: i
     return best.view(np.uint64)
 
 
-def keys(texts: list[str | None], hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each text's words, or of the text itself where it has none."""
+def keys(texts: list[str | None], hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A 128-bit key of each text's words, or of the text itself where it has none."""
     ends = np.cumsum(counts)
     data = (hashes[e - n : e].tobytes() if n else b"raw" + (t or "").encode("utf-8", "surrogatepass") for t, e, n in zip(texts, ends, counts))
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in data), np.int64)
+    return [hashlib.blake2b(x, digest_size=16).digest() for x in data]
 
 
 def shingle_ids(texts: list[str | None]) -> list[np.ndarray]:
@@ -87,48 +87,61 @@ def shingle_ids(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """row, doc_id, key, size (its shingles), bands (null where the text has no word) of docs(row, doc_id, text)."""
+    """row, doc_id, content, key (64 bits of the content's 128), bands (null where the text has no word) of docs(row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in hashing.slices(whole, 2)):
             texts = batch.column(2).to_pylist()
             hashes, counts = hashing.words(texts)
             element, of, weight = hashing.multiset(*hashing.word_shingles(hashes, counts))
-            size = np.bincount(of, weight, len(texts)).astype(np.int64)
             band = hashing.banded(signatures(element, of, weight, len(texts)), ROWS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()), mask=pa.array(counts == 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys(texts, hashes, counts)), pa.array(size), lists], names=["row", "doc_id", "key", "size", "bands"])
+            content = keys(texts, hashes, counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary()), pa.array(np.frombuffer(b"".join(content), np.int64)[::2]), lists], names=["row", "doc_id", "content", "key", "bands"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key long, size long, bands array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row binary, doc_id long, content binary, key long, bands array<long>")
+
+
+def banded(items: DataFrame) -> DataFrame:
+    """near_groups.BANDED rows of sketched items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, at = np.unique(np.asarray(batch.column(0)), return_index=True)
+            yield banded_rows(key, np.asarray(batch.column(1).flatten()).reshape(-1, BANDS)[at])
+
+    return items.where("bands is not null").select("key", "bands").mapInArrow(run, BANDED)
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """row, doc_id, class_id, class_size, kept: one row per row of docs(row, doc_id, text)."""
     items = runtime.written(sketched(docs), "sketches")
-    members = runtime.written(buckets(items.where("bands is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))), "buckets")
-    wanted = members.select("key").distinct()
-    chosen = runtime.written(items.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")), "wanted")
+    found = runtime.written(candidates(banded(items)), "buckets")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    chosen = items.join(wanted, "key", "left_semi").groupBy("content").agg(F.min("row").alias("row"), F.first("key").alias("key"))
+    chosen = runtime.written(chosen, "wanted")
     small = runtime.is_under(chosen, FEW)
-    texts = docs.select("row", "text").join(F.broadcast(chosen) if small else chosen, "row").select("key", "text").dropDuplicates(["key"])
-    texts = runtime.written(texts, "texts")
-    roots = near_groups(members, texts, shingle_ids, least)
+    texts = docs.select("row", "text").join(F.broadcast(chosen) if small else chosen, "row").dropDuplicates(["content"])
+    texts = numbered(texts.select("content", "key", "text"), "texts")
+    roots = near_groups(found, texts, shingle_ids, least)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    sized = items.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    named = sized.join(roots, sized["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
-    named = runtime.written(named, "named")
-    whole = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("class_size"))
-    by_key = named.join(whole, "root").select("key", "stays", "class_size")
-    return items.select("row", "doc_id", "key").join(by_key, "key").select("row", "doc_id", F.col("stays.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("stays.row")).alias("kept"))
+    sized = items.groupBy("content").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    # the group of an item without links is named by its content, any other by its root
+    group = texts.select("content", "node").join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
+    named = runtime.written(sized.join(group, "content", "left").withColumn("group", F.coalesce("group", "content")), "named")
+    whole = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("class_size"))
+    by_content = named.join(whole, "group").select("content", "stays", "class_size")
+    return items.select("row", "doc_id", "content").join(by_content, "content").select("row", "doc_id", F.col("stays.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("stays.row")).alias("kept"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row per document; the kept one of a class has the least doc_id."""
-    return classes(runtime.with_row(docs, id_col, text_col), least).drop("row")
+    return classes(with_row(docs, id_col, text_col), least).drop("row")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with their own columns: one of each class."""
-    rows = runtime.with_row(docs, id_col, text_col)
+    rows = with_row(docs, id_col, text_col)
     kept = classes(rows, least).where("kept").select("row")
     stay = rows.join(kept, "row", "left_semi").dropDuplicates(["row"])  # on the same partitioning: no further shuffle
     return stay.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

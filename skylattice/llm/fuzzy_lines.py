@@ -1,13 +1,15 @@
 """Fuzzy line dedup by MinHash: character shingles, high-recall bands, exact Jaccard verification, one line kept per component.
 
 A line is compared in lower case with its white space as single spaces. Its shingles are all runs of SHINGLE characters (a shorter
-line is one shingle): 4, so that lines of 40 characters with one of them changed are at 0.8. Shingles are hashed into PLACES places in numbered rounds; a place keeps the least hash of the first round
-that fills it. Two lines agree at a place with a chance that is exactly their Jaccard similarity, and a line needs one round if it is
-long and a few if it is short. BANDS bands of ROWS places make lines at similarity 0.8 candidates with a chance of 1 - 4e-4.
+line is one shingle): 4, so that lines of 40 characters with one of them changed are at 0.8. Each shingle is hashed once, to one of
+PLACES places and a value; a place keeps its least value, and a place that no shingle fell on takes that of the first place of its
+own random order that has one. Two lines so agree at a place with a chance that is exactly their Jaccard similarity. Lines share many
+short shingles by chance (lines of 1,000 characters of one language up to a quarter), so bands have ROWS = 8 places: BANDS of them
+make lines at similarity 0.8 candidates with a chance of 98.8 %, at 0.85 of 99.95 %, and strangers at 0.25 with a chance of 4e-4.
 
 Candidates are verified on their exact shingle sets (0.8 or more), components come from distributed union-find, and of all lines of
-a component, exact copies included, only the first in order of doc_id, then line number, stays. Equal lines are one item from the
-start, so a line that a third of all documents hold is one row from each task at most where it is sketched.
+a component, exact copies included, only the first in order of doc_id, then line number, stays. Equal lines (by a 128-bit key) are
+one item from the start, and a task sketches such a line once.
 
 Defined results: blank lines are never compared and always stay; what stays is not altered. Null text stays null, empty text empty;
 a text that loses all its lines becomes empty. Rows that repeat doc_id and text are one document: alike in what they keep. Null
@@ -27,20 +29,23 @@ from pyspark.sql import functions as F
 from skylattice import runtime
 from skylattice.llm.hashing import BASE, banded, mix
 from skylattice.llm.memo import Memo
-from skylattice.llm.near_groups import buckets, near_groups
+from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered
+from skylattice.llm.rows import with_row
 
 SHINGLE = 4
-BANDS, ROWS = 11, 3
+BANDS, ROWS = 24, 8
 PLACES = BANDS * ROWS
 LEAST = 0.8
-#: Hashes that a line gets for each place in its first rounds, on average; the places this leaves empty are few.
-FILL = 8
 #: Characters sketched at once, so that very long texts need little memory.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
+#: Lines whose band rows a task makes at once, and lines it remembers as sketched.
+LINES, SEEN = 10_000, 500_000
 #: Lines of a block of a bucket: a few hundred bytes each.
 BLOCK = 512
 #: Lines to verify up to this number are fetched with broadcast ids (some 50 bytes each); more of them by a shuffle.
 FEW = 500_000
+#: For each place the order in which it looks at all places for a value, itself first.
+ORDERS = np.argsort(np.random.default_rng(4).random((PLACES, PLACES)) + 1 - np.eye(PLACES), axis=1)
 
 
 def plain(line: str) -> str:
@@ -48,9 +53,14 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def key_of(line: str) -> int:
-    """A 64-bit key of a plain line."""
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def key_of(line: str) -> bytes:
+    """A 128-bit key of a plain line."""
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def short(contents: list[bytes]) -> np.ndarray:
+    """64 bits of each 128-bit key."""
+    return np.frombuffer(b"".join(contents), np.int64)[::2]
 
 
 def shingles(line: str) -> set[str]:
@@ -76,103 +86,122 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, PLACES) of 64-bit values: round << 40 | hash."""
-    hashes, counts = shingle_hashes(lines)
-    starts = np.cumsum(counts) - counts
+    """(lines, PLACES) of 64-bit values."""
+    # a long line is sketched in segments that share SHINGLE - 1 characters
+    step = CHUNK - SHINGLE + 1
+    parts = [(i, x[a : a + CHUNK]) for i, x in enumerate(lines) for a in range(0, max(1, len(x) - SHINGLE + 1), step)]
     best = np.full(len(lines) * PLACES, ~np.uint64(0))
-    rounds = np.maximum(1, -(-FILL * PLACES // counts))
-    begun = np.zeros(len(lines), np.int64)
-    left = np.arange(len(lines))
-    while len(left):
-        # every shingle of a line once in each of its next rounds
-        n = counts[left] * rounds[left]
-        of = np.repeat(left, n)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        turn = (nth // counts[of] + begun[of]).astype(np.uint64)
-        x = mix(hashes[starts[of] + nth % counts[of]] + turn * np.uint64(BASE))
-        place = ((x >> np.uint64(40)) * np.uint64(PLACES) >> np.uint64(24)).astype(np.int64)
-        np.minimum.at(best, of * PLACES + place, turn << np.uint64(40) | x & np.uint64((1 << 40) - 1))
-        begun[left] += rounds[left]
-        rounds[left] *= 2
-        left = left[(best.reshape(-1, PLACES)[left] == ~np.uint64(0)).any(1)]
+    a, size = 0, 0
+    for b, (_, x) in enumerate(parts, 1):
+        size += len(x)
+        if size >= CHUNK or b == len(parts):
+            hashes, counts = shingle_hashes([x for _, x in parts[a:b]])
+            of = np.repeat(np.array([i * PLACES for i, _ in parts[a:b]]), counts)
+            place = ((hashes >> np.uint64(32)) * np.uint64(PLACES) >> np.uint64(32)).astype(np.int64)
+            np.minimum.at(best, of + place, hashes * np.uint64(BASE) >> np.uint64(1))
+            a, size = b, 0
+    none = ~np.uint64(0)
+    empty = np.flatnonzero(best == none)
+    source, start, orders = best.copy(), empty - empty % PLACES, empty % PLACES * PLACES
+    for nth in range(1, PLACES):
+        if not len(empty):
+            break
+        value = source.take(start + ORDERS.take(orders + nth))
+        best[empty] = value
+        left = value == none
+        empty, start, orders = empty[left], start[left], orders[left]
     return best.reshape(-1, PLACES)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) band keys of plain lines."""
-    found, a, size = [np.zeros((0, BANDS), np.int64)], 0, 0
-    for i, line in enumerate(lines):
-        size += max(len(line), FILL * PLACES)
-        if size >= CHUNK or i == len(lines) - 1:
-            found.append(banded(signatures(lines[a : i + 1]), ROWS))
-            a, size = i + 1, 0
-    return np.concatenate(found)
+def keyed(docs: DataFrame) -> DataFrame:
+    """content (the 128-bit key), key (64 bits of it), row, doc_id, line of every line that isn't blank; docs: row, doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Memo(key_of, 50_000)
+        for batch in batches:
+            content, of, number = [], [], []
+            for n, text in enumerate(batch.column(2).to_pylist()):
+                for i, line in enumerate((text or "").split("\n")):
+                    if line := plain(line):
+                        content.append(keys[line] if len(line) < 100 else key_of(line))
+                        of.append(n)
+                        number.append(i)
+            at = pa.array(of, pa.int32())
+            columns = [pa.array(content, pa.binary()), pa.array(short(content)), batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["content", "key", "row", "doc_id", "line"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "content binary, key long, row binary, doc_id long, line int")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """key, row, doc_id, line, bands of every line that isn't blank; docs: row, doc_id, text. bands is null where the task has sketched such a line before."""
+    """near_groups.BANDED rows of the lines that aren't blank, each line once from a task (or once more, if it comes back very late)."""
+
+    def banded_lines(keys: list[bytes], lines: list[str]) -> pa.RecordBatch:
+        return banded_rows(short(keys), banded(signatures(lines), ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seen = Memo(key_of), Memo(lambda key: [], 500_000)
+        seen, keys, lines = Memo(lambda key: [], SEEN), [], []
         for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                rows, new, at = [], [], []
-                for row, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(a, 100).columns)):
-                    for i, line in enumerate((text or "").split("\n")):
-                        if line := plain(line):
-                            key = keys[line] if len(line) < 100 else key_of(line)
-                            rows.append((key, row, doc_id, i))
-                            if not (mark := seen[key]):
-                                mark.append(True)
-                                new.append(line)
-                                at.append(len(rows) - 1)
-                if not rows:
-                    continue
-                band = sketches(new)
-                fresh = np.zeros(len(rows), np.int32)
-                fresh[at] = BANDS
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32)), pa.array(band.ravel()), mask=pa.array(fresh == 0))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*columns, lists], names=["key", "row", "doc_id", "line", "bands"])
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "key long, row long, doc_id long, line int, bands array<long>")
+            for text in batch.column(0).to_pylist():
+                for line in (text or "").split("\n"):
+                    if line := plain(line):
+                        key = key_of(line)
+                        if not (mark := seen[key]):
+                            mark.append(True)
+                            keys.append(key)
+                            lines.append(line)
+                if len(lines) >= LINES:
+                    yield banded_lines(keys, lines)
+                    keys, lines = [], []
+        if lines:
+            yield banded_lines(keys, lines)
+
+    return docs.select("text").mapInArrow(run, BANDED)
 
 
 def shingle_ids(lines: list[str | None]) -> list[np.ndarray]:
-    """The shingle set of each line as 64-bit hashes that hold within one task."""
-    found = (shingles(plain(x or "")) for x in lines)
-    return [np.fromiter(map(hash, x), np.int64, len(x)) for x in found]
+    """The shingle set of each line as sorted 64-bit hashes."""
+    hashes, counts = shingle_hashes([plain(x or "") or " " for x in lines])
+    of = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, of))
+    hashes = hashes[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    hashes, edges = hashes[new], np.searchsorted(of[new], np.arange(len(counts) + 1))
+    return [hashes[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """key, text of the lines at places(key, row, line); docs: row, text."""
-    wanted = places.groupBy("row").agg(F.collect_list(F.struct("key", "line")).alias("lines"))
+    """content, key, text of the lines at places(content, key, row, line); docs: row, text."""
+    wanted = places.groupBy("row").agg(F.collect_list(F.struct("content", "key", "line")).alias("lines"))
     small = runtime.is_under(places, FEW)
     found = docs.select("row", "text").join(F.broadcast(wanted) if small else wanted, "row")
     split = found.select(F.split("text", "\n", -1).alias("parts"), F.explode("lines").alias("at"))
-    return split.select(F.col("at.key").alias("key"), F.get("parts", F.col("at.line")).alias("text")).dropDuplicates(["key"])
+    return split.select("at.content", "at.key", F.get("parts", F.col("at.line")).alias("text")).dropDuplicates(["content"])
 
 
 def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """row, lines (the numbers of those that go) of the documents that lose a line; docs: row, doc_id, text."""
-    lines = runtime.written(sketched(docs), "lines")
-    members = runtime.written(buckets(lines.where("bands is not null").select("key", F.lit(0).alias("size"), "bands")), "line-buckets")
+    found = runtime.written(candidates(sketched(docs)), "line-buckets")
+    lines = runtime.written(keyed(docs), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
-    firsts = runtime.written(lines.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")), "line-keys")
-    wanted = members.select("key").distinct()
-    places = firsts.join(wanted, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
-    texts = runtime.written(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
-    roots = near_groups(members, texts, shingle_ids, least, BLOCK)
-    named = firsts.join(roots, firsts["key"] == roots["node"], "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
-    groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
-    repeated = runtime.written(named.join(groups, "root").select("key", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")
-    goes = lines.select("key", "row", "line").join(repeated, "key").where((F.col("row") != F.col("stay_row")) | (F.col("line") != F.col("stay_line")))
+    firsts = runtime.written(lines.groupBy("content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first("key").alias("key")), "line-keys")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    places = firsts.join(wanted, "key", "left_semi").select("content", "key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    texts = numbered(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
+    roots = near_groups(found, texts, shingle_ids, least, BLOCK)
+    # the group of a line without links is named by its content, any other by its root
+    group = texts.select("content", "node").join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
+    named = firsts.join(group, "content", "left").where("group is not null or n > 1").select("content", "first", "n", F.coalesce("group", "content").alias("group"))
+    groups = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
+    repeated = runtime.written(named.join(groups, "group").select("content", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")
+    goes = lines.select("content", "row", "line").join(repeated, "content").where((F.col("row") != F.col("stay_row")) | (F.col("line") != F.col("stay_line")))
     return goes.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """doc (the row of docs), text (what stays of it), lines (the sorted numbers of the lines that went), one row per row of docs."""
-    rows = runtime.with_row(docs, id_col, text_col)
+    rows = with_row(docs, id_col, text_col)
     goes = dropped(rows.select("row", "doc_id", "text"), least)
     text = F.col(f"doc.`{text_col}`")  # the texts are shuffled once
     stay = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")

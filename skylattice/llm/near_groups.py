@@ -1,12 +1,15 @@
 """Groups of near copies from band keys: linear candidates, exact verification, distributed union-find.
 
-A bucket (the items with one band key) is never expanded into its pairs: its members are candidates of its least member only.
-Each item is compared first with the one candidate it shares most bands with, then with those of its candidates that
-this has left in other groups. Pairs whose sizes rule a link out are no candidates. Groups of copies collapse in these two rounds. Where
-they leave a bucket in several groups, its members meet block by block, so that no link is lost: two blocks are one task's input,
-compared as whole sets, and only links that join groups come out.
+A bucket (the items with one band key) is never expanded into its pairs: its members are candidates of its least member only. Each
+batch names the least member of its part of a bucket itself and sends that one alone to the bucket; the others travel by keys of
+their own. So a bucket that a third of all items share gets a row from each batch at most.
 
-Items are named by 64-bit keys of their content, so exact copies are one item.
+Candidate pairs are verified on whole sets and united. Where a bucket is then still in several groups, those of its members outside
+its largest group (the strays) meet all its members block by block, so that no link is lost. Two blocks are one task's input: parity
+sketches of the sets bound each pair's difference from below, pairs that this leaves are compared as whole sets.
+
+Candidates are named by 64-bit keys of their content, and a key that two contents share only means more candidates: nodes of the
+verified graph are numbered rows of `texts`, one for each content.
 """
 
 from __future__ import annotations
@@ -15,34 +18,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.llm.hashing import slices
+from skylattice.llm.hashing import mix, slices
 
-#: Members of a block of a bucket whose groups are compared with one another. A member is sent to as many places as its bucket has
-#: blocks, so blocks are as large as a task's memory allows: short texts take more.
+#: Members of a block of a bucket whose groups are compared with one another.
 BLOCK = 256
 #: Edges of one union-find task.
 TASK_EDGES = 1_000_000
 #: Pairs of a hot item that go to one salted part.
 PART = 256
+#: Schema of banded(): at is the key by which a row travels; band is null where it is that key, head where it isn't known yet.
+BANDED = "at long, key long, head long, band long"
 
 Ids = Callable[[list[str | None]], list[np.ndarray]]
 
 
-def buckets(banded: DataFrame) -> DataFrame:
-    """band, key, size, head (the least key), head_size of the buckets with two or more different items; banded: key, size, bands (an array)."""
-    group = W.partitionBy("band").orderBy("key")
-    rows = banded.select("key", "size", F.explode("bands").alias("band"))
-    first = F.first(F.struct("key", "size")).over(group).alias("first")
-    seen = rows.select("band", "key", "size", first, F.lag("key").over(group).alias("before"), F.lead("key").over(group).alias("after"))
-    new = F.col("before").isNull() | (F.col("before") != F.col("key"))
-    # a head whose next row is a repeat of itself may stand alone: the next step drops it, as it has no partner
-    kept = seen.where(new & ((F.col("key") != F.col("first.key")) | F.col("after").isNotNull()))
-    return kept.select("band", "key", "size", F.col("first.key").alias("head"), F.col("first.size").alias("head_size"))
+def banded_rows(keys: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
+    """Rows of BANDED for items with different keys and their (items, bands) band keys."""
+    band, key = bands.ravel(), np.repeat(keys, bands.shape[1])
+    ranked = np.sort(band)
+    shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    # few bands come twice in a batch: only their rows are grouped
+    some = np.flatnonzero(np.isin(band, shared)) if len(shared) else np.zeros(0, np.int64)
+    at, head = band.copy(), key.copy()
+    if len(some):
+        low = np.full(len(shared), np.iinfo(np.int64).max)
+        group = np.searchsorted(shared, band[some])
+        np.minimum.at(low, group, key[some])
+        head[some] = low[group]
+        some = some[head[some] != key[some]]
+        at[some] = mix(band[some].view(np.uint64) ^ mix(key[some].view(np.uint64))).view(np.int64)
+    alone = np.ones(len(band), bool)
+    alone[some] = False
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(key), pa.array(head, mask=alone), pa.array(band, mask=alone)], names=["at", "key", "head", "band"])
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """band, a, b: each member a of a bucket of two or more items, and a lesser one, b; rows: BANDED."""
+    first = F.first("key").over(W.partitionBy("at").orderBy("key"))
+    return rows.select(F.coalesce("band", "at").alias("band"), F.col("key").alias("a"), F.coalesce("head", first).alias("b")).where("a <> b")
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -97,64 +115,73 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grown(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+def grown(roots: DataFrame, new: DataFrame) -> DataFrame:
     """roots after further edges; those that hold so far stand for the edges that led to them."""
-    edges = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return components(edges)
+    return components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def salted_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) with text_a and text_b from texts(key, text). b may be in very many pairs: its text is copied to parts of PART pairs."""
+    """node_a, node_b, text_a, text_b of pairs(a, b). b may be in very many pairs: its text is copied to parts of PART pairs."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     left = pairs.join(many, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    left = left.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "part", "text_a")
-    right = many.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b")
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-
-
-def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, key, root of members of buckets of three and more that lie in two or more groups."""
-    named = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    several = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    return named.join(several.select("band"), "band", "left_semi")
-
-
-def split(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose items lie in different groups."""
-    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def fits(one: str, two: str, least: float) -> Column:
-    """Sizes that leave room for a similarity: the smaller bag is at least that share of the larger."""
-    return F.least(one, two) >= F.lit(least) * F.greatest(one, two)
+    left = left.join(texts.select(F.col("key").alias("a"), F.col("node").alias("node_a"), F.col("text").alias("text_a")), "a").select("b", "part", "node_a", "text_a")
+    right = many.join(texts.select(F.col("key").alias("b"), F.col("node").alias("node_b"), F.col("text").alias("text_b")), "b").select("b", "node_b", "text_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["b", "part"]).select("node_a", "node_b", "text_a", "text_b")
+
+
+def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sets' elements as numbers from 0 on, where each set starts, and its size."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes) - sizes, sizes
+
+
+def alike(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """For pairs of places in sets (one, two) whether their Jaccard similarity is `least` or more. Pairs with the same `two` are compared together."""
+    at, starts, sizes = places(sets)
+    good = np.zeros(len(one), bool)
+    mark = np.zeros(int(at.max()) + 1 if len(at) else 1, np.int64)
+    order = np.argsort(two, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(two[order])) + 1):
+        j = two[part[0]]
+        own = at[starts[j] : starts[j] + sizes[j]]
+        mark[own] = 1
+        shared = np.array([mark[at[starts[i] : starts[i] + sizes[i]]].sum() for i in one[part]])
+        mark[own] = 0
+        good[part] = shared >= least * (sizes[one[part]] + sizes[j] - shared) - 1e-9
+    return good
 
 
 def similar(pairs: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataFrame:
-    """Those of pairs(a, b) whose texts' sets have a Jaccard similarity of `least` or more; texts: key, text."""
+    """Edges a, b (nodes) of those of pairs(a, b), keys, whose texts' sets have a Jaccard similarity of `least` or more; texts: node, key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
             a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
             named = dict(zip(a, text_a)) | dict(zip(b, text_b))
-            held = dict(zip(named, ids(list(named.values()))))
-            shared = np.array([len(np.intersect1d(held[i], held[j], assume_unique=True)) for i, j in zip(a, b)])
-            either = np.array([len(held[i]) + len(held[j]) for i, j in zip(a, b)]) - shared
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(shared >= least * either - 1e-9))
+            place = {n: i for i, n in enumerate(named)}
+            good = alike(ids(list(named.values())), np.array([place[x] for x in a]), np.array([place[x] for x in b]), least) if a else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
 
     return salted_pairs(pairs, texts).mapInArrow(run, "a long, b long")
 
 
-def links(sets: list[np.ndarray], roots: list[int], least: float) -> list[tuple[int, int]]:
-    """Places (i, j) of similar sets in different groups, as few as join the same sets."""
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each set: bit i is the parity of its elements that hash to i. As many bits as the largest set has elements, 8,192 at most."""
+    bits = 1 << min(13, max(8, int(max((len(x) for x in sets), default=1)).bit_length()))
+    rows = np.zeros((len(sets), bits), bool)
+    for row, x in zip(rows, sets):
+        row[:] = np.bincount((mix(x.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(rows, axis=1).view(np.uint64)
+
+
+def links(sets: list[np.ndarray], roots: list[int], strays: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places (i, j), i a stray, of similar sets in different groups, as few as join the same sets.
+
+    The number of differing parities is at most the number of elements that only one of two sets has, and that is at most
+    (1 - least) / (1 + least) of both sizes if they are similar.
+    """
     sizes = np.array([len(x) for x in sets])
-    starts = np.cumsum(sizes) - sizes
-    _, place = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(int(place.max()) + 1, np.int64)
+    sketch = parities(sets)
     group = {r: r for r in roots}
     found = []
 
@@ -164,55 +191,74 @@ def links(sets: list[np.ndarray], roots: list[int], least: float) -> list[tuple[
             r = group[r]
         return r
 
-    for i in range(len(sets)):
-        own = place[starts[i] : starts[i] + sizes[i]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[place], starts)
-        mark[own] = 0
-        for j in np.flatnonzero(shared >= least * (sizes[i] + sizes - shared) - 1e-9):
+    for i in np.flatnonzero(strays):
+        apart = np.bitwise_count(sketch ^ sketch[i]).sum(1)
+        most = (1 - least) / (1 + least) * (sizes + sizes[i]) + 1e-9
+        for j in np.flatnonzero((apart <= most) & (np.abs(sizes - sizes[i]) <= most)):
             if (a := top(roots[i])) != (b := top(roots[j])):
-                group[a] = b
-                found.append((i, int(j)))
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= least * (sizes[i] + sizes[j] - shared) - 1e-9:
+                    group[a] = b
+                    found.append((int(i), int(j)))
     return found
 
 
+def unsettled(found: DataFrame, pairs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, node, root, stray of the members of buckets of three and more that lie in two or more groups; a stray isn't of the bucket's largest group."""
+    nodes = texts.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    a, b = (nodes.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    failed = pairs.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b").distinct()
+    ordered = found.select("band", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    bands = ordered.join(failed.withColumn("failed", F.lit(1)), ["a", "b"], "left").groupBy("band").agg(F.max("failed").alias("failed"), F.count("*").alias("n")).where("failed = 1 AND n > 1")
+    rows = runtime.written(ordered.join(bands.select("band"), "band", "left_semi"), "unsettled")
+    members = rows.select("band", F.col("a").alias("key")).unionByName(rows.select("band", F.col("b").alias("key"))).distinct()
+    members = members.join(nodes, "key").select("band", "node", "root")
+    counts = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
+    return members.join(counts.where("groups > 1"), "band").select("band", "node", "root", (F.col("root") != F.col("main")).alias("stray"))
+
+
 def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int) -> DataFrame:
-    """a, b: links between the groups of each bucket, as few as join the same groups; left: apart().
+    """a, b: links between the groups of each bucket, as few as join the same groups; left: unsettled(), a written table.
 
-    The members of a bucket are dealt into blocks of about `block`, and each two blocks meet in one task, which compares whole sets at
-    once. Pairs are neither rows nor shuffled: a member goes to as many places as its bucket has blocks.
+    The strays of a bucket are dealt into blocks of about `block`, and so are all its members; a block of strays meets each block of
+    members in one task, which compares whole sets. Pairs are neither rows nor shuffled: a member goes to as many places as its
+    bucket has blocks of strays, a stray also to each block of members.
     """
-    sized = left.join(left.groupBy("band").agg(F.count("*").alias("n")), "band")
+    sized = left.join(left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")), "band")
     # the same few items often share several buckets: each set of up to `block` members is compared once
-    few = sized.where(F.col("n") <= block).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("members"))
-    few = few.select("members").distinct().select(F.xxhash64("members").alias("band"), F.lit(0).alias("low_block"), F.lit(0).alias("high_block"), F.explode("members").alias("m"))
-    dealt = sized.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    many = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("band", F.least("own", "other").alias("low_block"), F.greatest("own", "other").alias("high_block"), "key", "root")
-    sent = many.unionByName(few.select("band", "low_block", "high_block", "m.key", "m.root"))
+    few = sized.where(F.col("n") <= block).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "root", "stray"))).alias("members"))
+    few = few.select("members").distinct().select(F.xxhash64("members").alias("band"), F.lit(0).alias("one"), F.lit(0).alias("two"), F.explode("members").alias("m"))
+    few = few.select("band", "one", "two", "m.node", "m.root", "m.stray")
+    many = sized.where(F.col("n") > block).withColumn("ones", F.ceil(F.col("strays") / block).cast("int")).withColumn("twos", F.ceil(F.col("n") / block).cast("int"))
+    many = many.withColumn("own_one", F.pmod(F.xxhash64("node"), F.col("ones")).cast("int")).withColumn("own_two", F.pmod(F.xxhash64("node"), F.col("twos")).cast("int"))
+    member = many.select("band", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("one"), F.col("own_two").alias("two"), "node", "root", F.lit(False).alias("stray"))
+    stray = many.where("stray").select("band", F.col("own_one").alias("one"), F.explode(F.sequence(F.lit(0), F.col("twos") - 1)).alias("two"), "node", "root", F.lit(True).alias("stray"))
+    sent = few.unionByName(member).unionByName(stray)
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_pylist()
-        found = links(ids(table.column("text").to_pylist()), table.column("root").to_pylist(), least)
-        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
+        node = table.column("node").to_pylist()
+        sets = ids(table.column("text").to_pylist())
+        found = links(sets, table.column("root").to_pylist(), np.asarray(table.column("stray")), least)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
-    return sent.join(texts, "key").groupBy("band", "low_block", "high_block").applyInArrow(run, "a long, b long")
+    return sent.join(texts.select("node", "text"), "node").groupBy("band", "one", "two").applyInArrow(run, "a long, b long")
 
 
-def near_groups(members: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int = BLOCK) -> DataFrame:
+def near_groups(found: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int = BLOCK) -> DataFrame:
     """node, root of all items with a verified link.
 
-    members: buckets(); texts: key, text of these; both written. ids: texts -> the set of each as distinct 64-bit numbers.
+    found: candidates(); texts: node, key, text of every item whose key is in found; both written. ids: texts -> the set of each as distinct 64-bit numbers.
     """
-    votes = members.where("key <> head").where(fits("size", "head_size", least)).groupBy("key", "head").count()
-    first = votes.groupBy("key").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
-    asked = runtime.written(ordered(first.select(F.col("key").alias("a"), F.col("head").alias("b"))), "asked")
-    roots = grown(None, runtime.written(similar(asked, texts, ids, least), "edges"))
-    others = split(ordered(votes.select(F.col("key").alias("a"), F.col("head").alias("b"))), roots)
-    others = runtime.written(others.join(asked, ["a", "b"], "left_anti"), "asked")
-    if not others.isEmpty():
-        roots = grown(roots, runtime.written(similar(others, texts, ids, least), "edges"))
-    left = runtime.written(apart(members, roots), "apart")
+    pairs = runtime.written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    # contents that share a key are candidates of one another
+    same = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
+    roots = components(runtime.written(similar(pairs.unionByName(same), texts, ids, least).where("a <> b"), "edges"))
+    left = runtime.written(unsettled(found, pairs, texts, roots), "left")
     if not left.isEmpty():
         roots = grown(roots, runtime.written(across(left, texts, ids, least, block), "edges"))
     return roots
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with `node`, a number of each, as a written table."""
+    return runtime.written(rows.withColumn("node", F.monotonically_increasing_id()), name)
