@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.llm import hashing
-from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered
+from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered, parts_for
 from skylattice.llm.rows import with_row
 
 BANDS, ROWS = 24, 4
@@ -81,7 +81,7 @@ def shingle_ids(texts: list[str | None]) -> list[np.ndarray]:
     """The shingles of each text as a set: the second, third ... occurrence of one counts as another, so overlaps of sets are those of multisets."""
     element, of, weight = hashing.multiset(*hashing.word_shingles(*hashing.words(texts)))
     nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-    found = hashing.mix(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(hashing.BASE))
+    found = hashing.mix(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(hashing.BASE)) & hashing.ELEMENT
     edges = np.searchsorted(np.repeat(of, weight), np.arange(len(texts) + 1))
     return [found[a:b] for a, b in zip(edges, edges[1:])]
 
@@ -103,12 +103,13 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def banded(items: DataFrame) -> DataFrame:
-    """near_groups.BANDED rows of sketched items."""
+    """near_groups.BANDED rows of sketched items, a written table."""
+    parts = parts_for(items.count(), BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, at = np.unique(np.asarray(batch.column(0)), return_index=True)
-            yield banded_rows(key, np.asarray(batch.column(1).flatten()).reshape(-1, BANDS)[at])
+            yield banded_rows(key, np.asarray(batch.column(1).flatten()).reshape(-1, BANDS)[at], parts)
 
     return items.where("bands is not null").select("key", "bands").mapInArrow(run, BANDED)
 
@@ -121,13 +122,14 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     chosen = items.join(wanted, "key", "left_semi").groupBy("content").agg(F.min("row").alias("row"), F.first("key").alias("key"))
     chosen = runtime.written(chosen, "wanted")
     small = runtime.is_under(chosen, FEW)
-    texts = docs.select("row", "text").join(F.broadcast(chosen) if small else chosen, "row").dropDuplicates(["content"])
+    texts = docs.select("row", "text").join(F.broadcast(chosen) if small else chosen, "row")
+    # rows that repeat give a text several nodes, which near_groups() unites as they share a key
     texts = numbered(texts.select("content", "key", "text"), "texts")
     roots = near_groups(found, texts, shingle_ids, least)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     sized = items.groupBy("content").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     # the group of an item without links is named by its content, any other by its root
-    group = texts.select("content", "node").join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
+    group = texts.groupBy("content").agg(F.min("node").alias("node")).join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
     named = runtime.written(sized.join(group, "content", "left").withColumn("group", F.coalesce("group", "content")), "named")
     whole = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("class_size"))
     by_content = named.join(whole, "group").select("content", "stays", "class_size")

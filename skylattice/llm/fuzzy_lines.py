@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.llm.hashing import BASE, banded, mix
+from skylattice.llm.hashing import BASE, ELEMENT, banded, mix, multiset
 from skylattice.llm.memo import Memo
-from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered
+from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered, parts_for
 from skylattice.llm.rows import with_row
 
 SHINGLE = 4
@@ -133,11 +133,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, "content binary, key long, row binary, doc_id long, line int")
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """near_groups.BANDED rows of the lines that aren't blank, each line once from a task (or once more, if it comes back very late)."""
+def sketched(docs: DataFrame, parts: int) -> DataFrame:
+    """near_groups.BANDED rows, in so many parts, of the lines that aren't blank, each line once from a task (or once more, if it comes back very late)."""
 
     def banded_lines(keys: list[bytes], lines: list[str]) -> pa.RecordBatch:
-        return banded_rows(short(keys), banded(signatures(lines), ROWS))
+        return banded_rows(short(keys), banded(signatures(lines), ROWS), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, keys, lines = Memo(lambda key: [], SEEN), [], []
@@ -160,15 +160,14 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def shingle_ids(lines: list[str | None]) -> list[np.ndarray]:
-    """The shingle set of each line as sorted 64-bit hashes."""
-    hashes, counts = shingle_hashes([plain(x or "") or " " for x in lines])
-    of = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, of))
-    hashes = hashes[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    hashes, edges = hashes[new], np.searchsorted(of[new], np.arange(len(counts) + 1))
-    return [hashes[a:b] for a, b in zip(edges, edges[1:])]
+    """The shingle set of each line as sorted 48-bit hashes."""
+    found = []
+    for a in range(0, len(lines), 1000):
+        hashes, counts = shingle_hashes([plain(x or "") or " " for x in lines[a : a + 1000]])
+        element, of, _ = multiset(hashes & ELEMENT, np.repeat(np.arange(len(counts)), counts))
+        edges = np.searchsorted(of, np.arange(len(counts) + 1)).tolist()
+        found += [element[i:j] for i, j in zip(edges, edges[1:])]
+    return found
 
 
 def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -177,21 +176,22 @@ def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     small = runtime.is_under(places, FEW)
     found = docs.select("row", "text").join(F.broadcast(wanted) if small else wanted, "row")
     split = found.select(F.split("text", "\n", -1).alias("parts"), F.explode("lines").alias("at"))
-    return split.select("at.content", "at.key", F.get("parts", F.col("at.line")).alias("text")).dropDuplicates(["content"])
+    return split.select("at.content", "at.key", F.get("parts", F.col("at.line")).alias("text"))
 
 
 def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """row, lines (the numbers of those that go) of the documents that lose a line; docs: row, doc_id, text."""
-    found = runtime.written(candidates(sketched(docs)), "line-buckets")
     lines = runtime.written(keyed(docs), "lines")
+    found = runtime.written(candidates(sketched(docs, parts_for(lines.count(), BANDS))), "line-buckets")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     firsts = runtime.written(lines.groupBy("content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first("key").alias("key")), "line-keys")
     wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     places = firsts.join(wanted, "key", "left_semi").select("content", "key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    # rows that repeat give a text several nodes, which near_groups() unites as they share a key
     texts = numbered(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
     roots = near_groups(found, texts, shingle_ids, least, BLOCK)
     # the group of a line without links is named by its content, any other by its root
-    group = texts.select("content", "node").join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
+    group = texts.groupBy("content").agg(F.min("node").alias("node")).join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
     named = firsts.join(group, "content", "left").where("group is not null or n > 1").select("content", "first", "n", F.coalesce("group", "content").alias("group"))
     groups = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
     repeated = runtime.written(named.join(groups, "group").select("content", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")

@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-ELEMENT = np.uint64((1 << 48) - 1)
+ELEMENT_BITS = 48
+ELEMENT = np.uint64((1 << ELEMENT_BITS) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE = np.random.default_rng(20240601).integers(0, 1 << 64, 256, np.uint64)

@@ -1,8 +1,8 @@
 """Groups of near copies from band keys: linear candidates, exact verification, distributed union-find.
 
 A bucket (the items with one band key) is never expanded into its pairs: its members are candidates of its least member only. Each
-batch names the least member of its part of a bucket itself and sends that one alone to the bucket; the others travel by keys of
-their own. So a bucket that a third of all items share gets a row from each batch at most.
+batch names the least member of its share of a bucket itself and sends that one alone to the bucket; the others are settled. So a
+bucket that a third of all items share gets an entry from each batch at most. Entries travel in arrays, dealt into parts by band key.
 
 Candidate pairs are verified on whole sets and united. Where a bucket is then still in several groups, those of its members outside
 its largest group (the strays) meet all its members block by block, so that no link is lost. Two blocks are one task's input: parity
@@ -18,12 +18,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.llm.hashing import mix, slices
+from skylattice.llm.hashing import ELEMENT, ELEMENT_BITS, slices
 
 #: Members of a block of a bucket whose groups are compared with one another.
 BLOCK = 256
@@ -31,36 +31,66 @@ BLOCK = 256
 TASK_EDGES = 1_000_000
 #: Pairs of a hot item that go to one salted part.
 PART = 256
-#: Schema of banded(): at is the key by which a row travels; band is null where it is that key, head where it isn't known yet.
-BANDED = "at long, key long, head long, band long"
+#: Entries (a band key and an item's key) of a part of the band keys.
+PART_ENTRIES = 1 << 18
+#: Schema of banded_rows(): entries of one part; head is null where it isn't known yet.
+BANDED = "part long, band array<long>, key array<long>, head array<long>"
 
 Ids = Callable[[list[str | None]], list[np.ndarray]]
 
 
-def banded_rows(keys: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
-    """Rows of BANDED for items with different keys and their (items, bands) band keys."""
-    band, key = bands.ravel(), np.repeat(keys, bands.shape[1])
+def parts_for(items: int, bands: int) -> int:
+    """Parts into which the band keys of so many items are dealt."""
+    return max(1, -(-items * bands // PART_ENTRIES))
+
+
+def heads(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries that share their band with a lesser key, and the least key of that band."""
     ranked = np.sort(band)
     shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    # few bands come twice in a batch: only their rows are grouped
     some = np.flatnonzero(np.isin(band, shared)) if len(shared) else np.zeros(0, np.int64)
-    at, head = band.copy(), key.copy()
-    if len(some):
-        low = np.full(len(shared), np.iinfo(np.int64).max)
-        group = np.searchsorted(shared, band[some])
-        np.minimum.at(low, group, key[some])
-        head[some] = low[group]
-        some = some[head[some] != key[some]]
-        at[some] = mix(band[some].view(np.uint64) ^ mix(key[some].view(np.uint64))).view(np.int64)
-    alone = np.ones(len(band), bool)
-    alone[some] = False
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(key), pa.array(head, mask=alone), pa.array(band, mask=alone)], names=["at", "key", "head", "band"])
+    group = np.searchsorted(shared, band[some])
+    low = np.full(len(shared), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, key[some])
+    head = low[group]
+    return some[head != key[some]], head[head != key[some]]
+
+
+def banded_rows(keys: np.ndarray, bands: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of BANDED for items with different keys and their (items, bands) band keys.
+
+    The first member of each bucket here travels to the bucket's part. The others are settled: they go to parts in turn.
+    """
+    band, key = bands.ravel(), np.repeat(keys, bands.shape[1])
+    some, head = heads(band, key)
+    rest = np.ones(len(band), bool)
+    rest[some] = False
+    part = (band[rest].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    lists = [(part[order], band[rest][order], key[rest][order], None), (np.arange(len(some)) % parts, band[some], key[some], head)]
+    found = []
+    for at, *columns in lists:
+        at, columns = (at, columns) if columns[2] is None else (np.sort(at), [c[np.argsort(at, kind="stable")] for c in columns])
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        edges = pa.array(np.append(starts, len(at)).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(edges, pa.array(c)) if c is not None else pa.nulls(len(starts), pa.list_(pa.int64())) for c in columns]
+        found.append(pa.RecordBatch.from_arrays([pa.array(at[starts]), *arrays], names=["part", "band", "key", "head"]))
+    return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if len(band) else found[0]
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """band, a, b: each member a of a bucket of two or more items, and a lesser one, b; rows: BANDED."""
-    first = F.first("key").over(W.partitionBy("at").orderBy("key"))
-    return rows.select(F.coalesce("band", "at").alias("band"), F.col("key").alias("a"), F.coalesce("head", first).alias("b")).where("a <> b")
+
+    def run(table: pa.Table) -> pa.Table:
+        known = pa.compute.is_valid(table.column("head"))
+        settled, open_ = table.filter(known), table.filter(pa.compute.invert(known))
+        flat = lambda t, c: np.asarray(pa.compute.list_flatten(t.column(c)))
+        band, key = flat(open_, "band"), flat(open_, "key")
+        some, head = heads(band, key)
+        columns = [(band[some], flat(settled, "band")), (key[some], flat(settled, "key")), (head, flat(settled, "head"))]
+        return pa.table(dict(zip(("band", "a", "b"), (pa.array(np.concatenate(c), pa.int64()) for c in columns))))
+
+    return rows.groupBy("part").applyInArrow(run, "band long, a long, b long")
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -129,25 +159,20 @@ def salted_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["b", "part"]).select("node_a", "node_b", "text_a", "text_b")
 
 
-def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All sets' elements as numbers from 0 on, where each set starts, and its size."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    return np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes) - sizes, sizes
-
-
 def alike(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
-    """For pairs of places in sets (one, two) whether their Jaccard similarity is `least` or more. Pairs with the same `two` are compared together."""
-    at, starts, sizes = places(sets)
+    """For pairs of places in sets (one, two) whether their Jaccard similarity is `least` or more."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    small, large = np.minimum(sizes[one], sizes[two]), np.maximum(sizes[one], sizes[two])
     good = np.zeros(len(one), bool)
-    mark = np.zeros(int(at.max()) + 1 if len(at) else 1, np.int64)
-    order = np.argsort(two, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(two[order])) + 1):
-        j = two[part[0]]
-        own = at[starts[j] : starts[j] + sizes[j]]
-        mark[own] = 1
-        shared = np.array([mark[at[starts[i] : starts[i] + sizes[i]]].sum() for i in one[part]])
-        mark[own] = 0
-        good[part] = shared >= least * (sizes[one[part]] + sizes[j] - shared) - 1e-9
+    open_ = np.flatnonzero(small >= least * large - 1e-9)
+    for some in np.array_split(open_, max(1, -(-int((small + large)[open_].sum()) // (1 << 20)))):
+        # an element that both sets of a pair hold comes twice with the number of the pair
+        both = [x for p in some for x in (sets[one[p]], sets[two[p]])]
+        if both:
+            pair = np.repeat(np.arange(len(some), dtype=np.uint64), (small + large)[some]) << np.uint64(ELEMENT_BITS)
+            every = np.sort(np.concatenate(both).view(np.uint64) & ELEMENT | pair)
+            shared = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(ELEMENT_BITS)).astype(np.int64), minlength=len(some))
+            good[some] = shared >= least * (small[some] + large[some] - shared) - 1e-9
     return good
 
 
@@ -167,11 +192,10 @@ def similar(pairs: DataFrame, texts: DataFrame, ids: Ids, least: float) -> DataF
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
     """A row of 64-bit words for each set: bit i is the parity of its elements that hash to i. As many bits as the largest set has elements, 8,192 at most."""
-    bits = 1 << min(13, max(8, int(max((len(x) for x in sets), default=1)).bit_length()))
-    rows = np.zeros((len(sets), bits), bool)
-    for row, x in zip(rows, sets):
-        row[:] = np.bincount((mix(x.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(rows, axis=1).view(np.uint64)
+    sizes = [len(x) for x in sets]
+    bits = 1 << min(13, max(8, max(sizes, default=1).bit_length()))
+    place = (np.concatenate(sets).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64) + np.repeat(np.arange(len(sets)) * bits, sizes)
+    return np.packbits(np.bincount(place, minlength=len(sets) * bits).reshape(len(sets), bits) & 1, axis=1).view(np.uint64)
 
 
 def links(sets: list[np.ndarray], roots: list[int], strays: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -191,15 +215,15 @@ def links(sets: list[np.ndarray], roots: list[int], strays: np.ndarray, least: f
             r = group[r]
         return r
 
-    for i in np.flatnonzero(strays):
+    for i in np.flatnonzero(strays).tolist():
         apart = np.bitwise_count(sketch ^ sketch[i]).sum(1)
         most = (1 - least) / (1 + least) * (sizes + sizes[i]) + 1e-9
-        for j in np.flatnonzero((apart <= most) & (np.abs(sizes - sizes[i]) <= most)):
+        for j in np.flatnonzero((apart <= most) & (np.abs(sizes - sizes[i]) <= most)).tolist():
             if (a := top(roots[i])) != (b := top(roots[j])):
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if shared >= least * (sizes[i] + sizes[j] - shared) - 1e-9:
                     group[a] = b
-                    found.append((int(i), int(j)))
+                    found.append((i, j))
     return found
 
 
@@ -225,29 +249,36 @@ def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int
     bucket has blocks of strays, a stray also to each block of members.
     """
     sized = left.join(left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")), "band")
-    # the same few items often share several buckets: each set of up to `block` members is compared once
+    # the same few items often share several buckets: each set of up to `block` members is compared once, many such sets in a task
     few = sized.where(F.col("n") <= block).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "root", "stray"))).alias("members"))
-    few = few.select("members").distinct().select(F.xxhash64("members").alias("band"), F.lit(0).alias("one"), F.lit(0).alias("two"), F.explode("members").alias("m"))
-    few = few.select("band", "one", "two", "m.node", "m.root", "m.stray")
+    tasks = max(1, left.count() // (16 * block))
+    few = few.select("members").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("m"))
+    few = few.select(F.pmod("bucket", F.lit(tasks)).alias("task"), "bucket", "m.node", "m.root", "m.stray")
     many = sized.where(F.col("n") > block).withColumn("ones", F.ceil(F.col("strays") / block).cast("int")).withColumn("twos", F.ceil(F.col("n") / block).cast("int"))
     many = many.withColumn("own_one", F.pmod(F.xxhash64("node"), F.col("ones")).cast("int")).withColumn("own_two", F.pmod(F.xxhash64("node"), F.col("twos")).cast("int"))
     member = many.select("band", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("one"), F.col("own_two").alias("two"), "node", "root", F.lit(False).alias("stray"))
     stray = many.where("stray").select("band", F.col("own_one").alias("one"), F.explode(F.sequence(F.lit(0), F.col("twos") - 1)).alias("two"), "node", "root", F.lit(True).alias("stray"))
-    sent = few.unionByName(member).unionByName(stray)
+    met = member.unionByName(stray).select(F.xxhash64("band", "one", "two").alias("task"), F.xxhash64("band", "one", "two").alias("bucket"), "node", "root", "stray")
 
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_pylist()
-        sets = ids(table.column("text").to_pylist())
-        found = links(sets, table.column("root").to_pylist(), np.asarray(table.column("stray")), least)
-        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
+        table = table.sort_by("bucket")
+        node, root, stray = (np.asarray(table.column(c)) for c in ("node", "root", "stray"))
+        text = dict(zip(node.tolist(), table.column("text").to_pylist()))
+        sets = dict(zip(text, ids(list(text.values()))))
+        edges = np.flatnonzero(np.diff(np.asarray(table.column("bucket")))) + 1
+        found = []
+        for at in np.split(np.arange(len(node)), edges):
+            here = node[at].tolist()
+            found += [(here[i], here[j]) for i, j in links([sets[x] for x in here], root[at].tolist(), stray[at], least)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return sent.join(texts.select("node", "text"), "node").groupBy("band", "one", "two").applyInArrow(run, "a long, b long")
+    return few.unionByName(met).join(texts.select("node", "text"), "node").groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def near_groups(found: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int = BLOCK) -> DataFrame:
     """node, root of all items with a verified link.
 
-    found: candidates(); texts: node, key, text of every item whose key is in found; both written. ids: texts -> the set of each as distinct 64-bit numbers.
+    found: candidates(); texts: node, key, text of every item whose key is in found; both written. ids: texts -> the set of each as distinct numbers of ELEMENT_BITS bits.
     """
     pairs = runtime.written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     # contents that share a key are candidates of one another
