@@ -7,13 +7,15 @@ from typing import Any
 
 
 class Memo(dict):
-    """memo[key] is make(key); at most 2 x most results are held, and frequent keys survive."""
+    """memo[key] is make(key); at most 2 x most results are held, and frequent keys survive. Strings of over `longest` characters aren't held."""
 
-    def __init__(self, make: Callable[[Any], Any], most: int = 250_000) -> None:
+    def __init__(self, make: Callable[[Any], Any], most: int = 250_000, longest: int = 100) -> None:
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key: Any) -> Any:
+        if isinstance(key, str) and len(key) > self.longest:
+            return self.make(key)
         found = self.old.pop(key, None)
         if found is None:
             found = self.make(key)

@@ -5,7 +5,7 @@ lengths that fill FULL of a sequence are enumerated, their repeat counts are fit
 squares, rounded down and cut to what there is; what remains goes best-fit into sequences by length, again on counts alone. Where
 best-fit alone needs fewer sequences, its plan is taken. The outcome is, for each length, a short list of runs: so many pieces of
 that length, dealt to so many successive sequences, from one offset on. A piece finds its run by its rank among the pieces of its length. Ranks are counted in
-salted parts (so a length that a third of all pieces share is no hot group) and offset by the parts' sizes.
+salted parts of about PART pieces (so a length that a third of all pieces share is no hot group) and offset by the parts' sizes.
 
 Defined results: null and empty texts are one piece with the end id alone. Repeated rows are packed each on its own. An empty
 table gives an empty result. Only the id and text columns are read.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from skylattice import runtime
 from skylattice.llm.piece_tokens import SEQUENCE, pieces
 
-#: Salted parts a length is dealt into, and the patterns offered to the fit for each length.
-PARTS = 512
+#: Pieces of a salted part of a length, and the patterns offered to the fit for each length.
+PART = 200_000
 PATTERNS_OF_A_LENGTH = 6
 #: Share of a sequence that a pattern fills to be offered to the fit.
 FULL = 0.99
@@ -140,11 +140,12 @@ def runs(counts: dict[int, int], most: int = SEQUENCE) -> dict[int, list[tuple[i
 def packed(made: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """made's rows (with a column length) and their sequence_id and offset. made is read three times: pass a written table."""
     spark = made.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
+    counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = F.lit([-(-counts.get(n, 1) // PART) for n in range(most + 1)])
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(parts, F.col("length").cast("int"))).cast("int")
     sizes = made.groupBy("length", part.alias("part")).count()
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("from"))
-    counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     laid = [(n, first, sequences.start, len(sequences), offset) for n, rs in runs(counts, most).items() for first, _, sequences, offset in rs]
     plan = spark.createDataFrame(laid, "length long, first long, sequence long, sequences long, offset long")
     plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "sequences", "offset"))).alias("runs"))

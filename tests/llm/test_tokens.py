@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from skylattice.llm import packing, word_bpe
 from skylattice.llm.packing import runs
+from skylattice.llm.piece_tokens import Encoder
 from skylattice.runtime import table
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +53,35 @@ def test_forced_boundaries_as_library(spark):
     assert codec.decode([320, 10**9, 49406]) == want.decode([320, 49406], skip_special_tokens=False)
 
 
+def test_any_code_point_as_library():
+    r = random.Random(4)
+    planes = [(0x20, 0x250), (0x300, 0x3000), (0x1C80, 0x1C90), (0xA700, 0xAB70), (0x10000, 0x12700), (0x1D000, 0x1E700), (0x30000, 0x40000), (0x200B, 0x200C)]
+    some = ["".join(chr(r.randrange(*r.choice(planes))) for _ in range(8)) for _ in range(1500)]
+    words, pieces, codec, encoder = library(WORDS), library(BYTES), word_bpe.Codec(WORDS), Encoder(BYTES)
+    for text in some:
+        assert codec.encode(text)[1] == " ".join(map(str, words.encode(text, add_special_tokens=False).ids)), ascii(text)
+        assert encoder.encode(text) == np.array(pieces.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
+def test_runs_of_white_space_as_library():
+    r = random.Random(6)
+    some = ["".join(r.choice(["a", "b'", "'s", " ", " ", "\n", "\t", "\u3000", "\x1c", "7", "."]) for _ in range(12)) for _ in range(3000)]
+    words, pieces, codec, encoder = library(WORDS), library(BYTES), word_bpe.Codec(WORDS), Encoder(BYTES)
+    for text in some:
+        assert codec.encode(text)[1] == " ".join(map(str, words.encode(text, add_special_tokens=False).ids)), ascii(text)
+        assert encoder.encode(text) == np.array(pieces.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
+def test_very_long_fragments():
+    codec, want = word_bpe.Codec(WORDS), library(WORDS)
+    r = random.Random(8)
+    for text in ("ab" * 20_000, "a" * 40_000, "".join(r.choice("aeinorst") for _ in range(30_000))):
+        assert codec.encode(text)[1] == " ".join(map(str, want.encode(text, add_special_tokens=False).ids))
+    began = time.perf_counter()
+    assert codec.encode("ab" * 500_000)[0] > 0
+    assert time.perf_counter() - began < 60
+
+
 def check_packed(rows, docs):
     """Every document's ids are there, cut only where too long; sequences are gapless and within the limit."""
     want, by_doc, by_sequence = library(BYTES), defaultdict(list), defaultdict(list)
