@@ -4,8 +4,8 @@ One bit-sliced Bloom filter serves all languages: each slot holds a mask with a
 over its slots, tell at once which languages contain it. A text's n-grams are looked up and counted for each language (popcounts),
 the counts are corrected for the slice's share of false positives, and the largest wins.
 
-The filters hold each language's GRAMS most frequent byte n-grams (those that it only quotes left out), counted over the whole texts of at most SAMPLE training
-documents a language. Both are parameters, so the filter's size never grows with the input.
+The filters hold each language's byte n-grams (those that it only quotes left out), counted over the whole texts of about SAMPLE
+training documents a language: a documented bound of the fit alone, so the filter's size never grows with the input.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learned; ties go to the language that
 sorts first. Repeated rows get the same result; an empty table gives an empty result. Languages beyond 64 are refused.
@@ -20,13 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skylattice.llm.learning import held_out, sampled_ids
+from skylattice.llm.learning import class_counts, held_out, sampled_ids
 
 SAMPLE = 3000
-GRAMS = 20_000
 #: A language contains an n-gram if the n-gram's share there is within this factor of its largest share: texts quote other languages.
 LEAST = 2.0
 #: Slots of the filter, as a power of two, and slots an n-gram takes. An n-gram has four bytes.
@@ -51,7 +49,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL\pM]+", " ")
     front, back, glue = (pa.scalar(x, pa.large_string()) for x in (" ", "   ", ""))
     framed = pc.binary_join_element_wise(front, low, back, glue)
-    letter = np.asarray(pc.not_equal(pc.utf8_trim_whitespace(low), ""))
+    letter = np.asarray(pc.match_substring_regex(low, r"\pL"))
     ends = np.frombuffer(framed.buffers()[1], np.int64)[framed.offset : framed.offset + len(framed) + 1]
     data = np.frombuffer(framed.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint32)
     starts = ends - ends[0]
@@ -89,19 +87,9 @@ class Filters:
     false: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[str, int]]) -> Filters:
-        """rows: (language, n-gram)."""
-        langs = sorted({r[0] for r in rows})
-        if len(langs) > 64:
-            raise ValueError("more than 64 languages")
-        masks = np.zeros(1 << SLOT_BITS, np.uint64)
-        false = []
-        for i, lang in enumerate(langs):
-            held = np.array([r[1] for r in rows if r[0] == lang], np.int64).astype(np.uint32)
-            for at in slots(held):
-                np.bitwise_or.at(masks, at, np.uint64(1 << i))
-            false.append(float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) ** HASHES)
-        return Filters(langs, masks, np.array(false))
+    def of(langs: list[str], masks: np.ndarray) -> Filters:
+        share = [float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))]
+        return Filters(langs, masks, np.array(share) ** HASHES)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         found, starts, letter = grams(texts)
@@ -122,17 +110,30 @@ class Filters:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, letter)], np.where(letter, np.clip(share, 0, 1), 0)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filters:
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """docs: doc_id, text, lang of the documents that may be learned from."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = F.broadcast(sampled_ids(usable, "doc_id", "lang", sample).select("doc_id").distinct())  # at most 64 x sample ids
+    known = class_counts(usable, "lang")
+    ids = F.broadcast(sampled_ids(usable, "doc_id", "lang", known, sample).select("doc_id").distinct())  # some 64 x sample ids at most
     counts = count_grams(usable.join(ids, "doc_id", "left_semi")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     counts = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    counts = counts.withColumn("largest", F.max("share").over(W.partitionBy("gram"))).where(F.col("share") * LEAST >= F.col("largest"))
-    order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top).select("lang", "gram")
-    return Filters.of([(r["lang"], r["gram"]) for r in kept.collect()])
+    largest = counts.groupBy("gram").agg(F.max("share").alias("largest"))
+    kept = counts.join(largest, "gram").where(F.col("share") * LEAST >= F.col("largest")).select("lang", "gram")
+    langs = sorted(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit = {lang: np.uint64(1 << i) for i, lang in enumerate(langs)}
+        for batch in batches:
+            mask = np.array([bit[x] for x in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            for at in slots(np.asarray(batch.column(1)).astype(np.uint32)):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(mask)], names=["slot", "mask"])
+
+    # one row for each slot of the filter at most
+    held = kept.mapInArrow(run, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros(1 << SLOT_BITS, np.uint64)
+    masks[held.column("slot").to_numpy()] = held.column("mask").to_numpy().view(np.uint64)
+    return Filters.of(langs, masks)
 
 
 def predicted(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -1,19 +1,21 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is described by shares of kinds of characters and by how much its
-words repeat, and encoded by a small tanh layer; gated attention (tanh times sigmoid) weighs the passages, and the weighted mean
+A document is a bag of passages of PASSAGE words. Each passage is described by the shares of its words that hash to each of WORDS
+buckets, by shares of kinds of characters and by how much its words repeat, and encoded by a small tanh layer; gated attention (tanh times sigmoid) weighs the passages, and the weighted mean
 of their codes is scored. Labels are of documents alone: the attention learns which passages decide.
 
-It is fitted on at most SAMPLE labelled documents of each label, whose passages Spark describes; only these numbers reach the
-driver. Scoring reads whole texts.
+It is fitted on about SAMPLE labelled documents of each label, and on FITTED passages of each at most, spread evenly over its text (bounds
+of the fit alone); Spark describes these passages, and only the numbers reach the driver. Scoring reads all passages of whole texts.
 
 Defined results: a null text, or one without a word, scores 0 (there is no passage to judge). Labels other than 0 and 1 and null
 ids are not learned from; with fewer than two kinds of label every document that has words scores the label that there is, or 1.
-Repeated labels each count. An empty table gives an empty result.
+A label that a document has several times counts once, and of rows that repeat an id one text is learned from; each such row is
+scored. Very long texts are scored whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -23,33 +25,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice import runtime
-from skylattice.llm.learning import fold, held_out, sampled_ids
+from skylattice.llm.learning import fold, held_out, sampled_texts
+from skylattice.llm.memo import Memo
 
 SAMPLE = 4000
+FITTED = 32
 PASSAGE = 64
+#: Buckets of hashed words.
+WORDS = 128
 CODE, GATE = 12, 8
 #: Kinds of bytes whose shares describe a passage.
 KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"-()", b"!", b"|", b"#$%&*", b"<>[]{}=/\\~^_+@`", bytes(range(128, 256)), b" ")
-FACTS = len(KINDS) + 4
+FACTS = len(KINDS) + 4 + WORDS
 TABLE = np.zeros((256, len(KINDS)), np.float32)
 for _i, _kind in enumerate(KINDS):
     TABLE[list(_kind), _i] = 1
 
 
-def passages(text: str | None) -> np.ndarray:
-    """A row of facts for each passage."""
+def bucket(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
+
+
+def passages(text: str | None, buckets: dict[str, int], most: int = 0) -> np.ndarray:
+    """A row of facts for each passage, or for `most` of them; buckets: a memo of bucket()."""
     split = text.split() if text else []
-    shares, facts = [], []
-    for a in range(0, len(split), PASSAGE):
+    starts = list(range(0, len(split), PASSAGE))
+    if 0 < most < len(starts):
+        starts = [starts[i * len(starts) // most] for i in range(most)]
+    if not starts:
+        return np.zeros((0, FACTS), np.float32)
+    shares, facts = np.empty((len(starts), 256)), np.empty((len(starts), 4), np.float32)
+    words = np.zeros((len(starts), WORDS), np.float32)
+    for i, a in enumerate(starts):
         part = split[a : a + PASSAGE]
         data = " ".join(part).encode("utf-8", "surrogatepass")
-        shares.append(np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data))
         n = len(part)
-        facts.append((len(set(part)) / n, sum(map(eq, part, part[1:])) / n, min(2.0, len(data) / n / 10), n / PASSAGE))
-    if not facts:
-        return np.zeros((0, FACTS), np.float32)
-    return np.concatenate([np.asarray(shares, np.float32) @ TABLE, np.asarray(facts, np.float32)], axis=1)
+        shares[i] = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
+        words[i] = np.bincount([buckets[w] for w in part], minlength=WORDS) / n
+        facts[i] = len(set(part)) / n, sum(map(eq, part, part[1:])) / n, min(2.0, len(data) / n / 10), n / PASSAGE
+    return np.concatenate([shares.astype(np.float32) @ TABLE, facts, words], axis=1)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,27 +140,28 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, rest: int = 2, sam
     """labels: doc_id, quality. Learns only from ids outside the held-out fold."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     usable = usable.where(F.col("label").isin(0, 1) & (fold("doc_id", folds) != rest))
-    chosen = F.broadcast(sampled_ids(usable, "doc_id", "label", sample))  # at most 2 x sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Memo(bucket)
         for batch in batches:
-            found = [passages(t).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
+            found = [passages(t, held, FITTED).astype("<f2").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "facts"])
 
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(chosen, "doc_id")
+    taken = sampled_texts(docs, usable, sample)
     rows = taken.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, facts binary").where(F.length("facts") > 0).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"]))
     if not rows:
         return fit([np.zeros((1, FACTS), np.float32)], np.ones(1))
-    return fit([np.frombuffer(r["facts"], "<f4").reshape(-1, FACTS) for r in rows], np.array([r["label"] for r in rows], float))
+    return fit([np.frombuffer(r["facts"], "<f2").astype(np.float32).reshape(-1, FACTS) for r in rows], np.array([r["label"] for r in rows], float))
 
 
 def scored(docs: DataFrame, model: Attention, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of docs(doc_id, text, held_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Memo(bucket)
         for batch in batches:
-            score = model.score([passages(t) for t in batch.column(1).to_pylist()])
+            score = model.score([passages(t, held) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= least).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -166,8 +181,9 @@ def kept(docs: DataFrame, model: Attention, least: float = 0.7, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Memo(bucket)
         for batch in batches:
-            yield batch.filter(pa.array(model.score([passages(t) for t in batch.column(at).to_pylist()]) >= least))
+            yield batch.filter(pa.array(model.score([passages(t, held) for t in batch.column(at).to_pylist()]) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 
