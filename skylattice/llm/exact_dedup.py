@@ -1,9 +1,9 @@
 """Exact dedup with a heavy-hitter split, in DataFrame functions only.
 
 A frequent-items sketch (Misra-Gries counters, `approx_top_k`) proposes the digests that may be frequent; an exact count verifies
-them. The verified winners are few by construction (at most HEAVY), so they are broadcast and their copies are settled where they
-are read, without a shuffle. All other digests are shuffled once; by the sketch's guarantee none of them holds more than about
-rows / COUNTERS rows, so no task gets a large group.
+them. All digests that the sketch still counts are proposed, COUNTERS at most whatever their rank, so the winners are broadcast and
+their copies are settled where they are read, without a shuffle. All other digests are counted with partial aggregation and joined
+with their counts; by the sketch's guarantee none of them holds more than 3.5 / COUNTERS of the rows.
 
 Defined results: null text counts as empty text. Rows with a null doc_id come after all others. Of rows that repeat both doc_id
 and text one stays (keep_id is the same for all of them). An empty table gives an empty result. Only the id and text columns are
@@ -13,14 +13,12 @@ read, so extra columns can have any names.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice import runtime
 
-#: Counters of the sketch (a power of two), and how many digests at most are broadcast.
+#: Counters of the sketch (a power of two): so many digests at most are broadcast.
 COUNTERS = 4096
-HEAVY = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -34,8 +32,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """The frequent digests with exact counts and the row that stays; at most HEAVY rows."""
-    sketch = rows.agg(F.expr(f"approx_top_k(text_sha256, {HEAVY}, {COUNTERS})").alias("top"))
+    """The frequent digests with exact counts and the row that stays; at most COUNTERS rows."""
+    sketch = rows.agg(F.expr(f"approx_top_k(text_sha256, {COUNTERS}, {COUNTERS})").alias("top"))
     found = sketch.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
     counted = rows.join(F.broadcast(found), "text_sha256").groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order()).alias("first"))
     return counted.where("group_size > 1")
@@ -51,6 +49,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heavy = runtime.written(winners(rows), "winners")
     settled = rows.join(F.broadcast(heavy), "text_sha256")
     rest = rows.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    group = W.partitionBy("text_sha256")
-    rest = rest.withColumn("group_size", F.count("*").over(group)).withColumn("first", F.min(order()).over(group))
+    groups = rest.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order()).alias("first"))
+    rest = rest.join(groups, "text_sha256")
     return settled.unionByName(rest).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256")

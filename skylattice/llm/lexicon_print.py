@@ -16,10 +16,11 @@ Terms are hashed into SLOTS slots and document frequencies are counted by slot,
 corpus size; it is a constant of the plan, and membership is tested where a text is read. Terms that share a slot are in the
 lexicon or out of it together.
 
-The next document in order of doc_id is found without sorting everything in one task: quantiles of doc_id (real ids) split the
-order into ranges, and the first row of each range is also sent to the range before it.
+The next document in order of doc_id is found without sorting everything in one task: quantiles of doc_id (real ids), as many as
+the rows ask for, split the order into ranges, and the first row of each range is also sent to the range before it.
 
-Defined results: null text counts as empty. Rows without an id come last. Rows that repeat an id follow one another in order of
+Defined results: null text counts as empty. Rows without an id come last, in order of a
+hash of their text, which is split into ranges of its own. Rows that repeat an id follow one another in order of
 text. A single row is its own next document. An empty table gives an empty result.
 """
 
@@ -45,9 +46,8 @@ KINDS = len(SHARES)
 BITS = 54
 #: Lexicon terms of a text that are looked at to say whether it uses ENOUGH of the densest sub-lexicons.
 LOOK = 200
-#: Ranges of doc_id, a power of two.
-RANGES = 256
-LAST = (1 << 63) - 1
+#: Ranges of the order: at least and at most, and rows of one between these.
+RANGES, MOST_RANGES, ROWS_OF_A_RANGE = 256, 8192, 10_000
 
 
 def terms(text: Column) -> Column:
@@ -69,19 +69,27 @@ def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> list
 
 
 def ranged(docs: DataFrame) -> DataFrame:
-    """docs with `part`, the range of its key, and `guest`: a row whose key starts a range comes twice, once as the guest of the range before (the first of all: of the last)."""
-    edges = docs.agg(F.min("key").alias("least"), F.percentile_approx("key", [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("at")).first()
-    if edges["least"] is None:
+    """docs with `part`, the range of (no_id, key), and `guest`: a row whose key starts a range comes twice, once as the guest of the range before (the first of all: of the last)."""
+    counts = {r["no_id"]: r["count"] for r in docs.groupBy("no_id").count().collect()}
+    sides, first = [], 0
+    for no_id in sorted(counts):
+        ranges = min(MOST_RANGES, max(RANGES, counts[no_id] // ROWS_OF_A_RANGE))
+        edges = docs.where(F.col("no_id") == no_id).agg(F.min("key").alias("least"), F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("at")).first()
+        starts = sorted({edges["least"], *edges["at"]})
+        held = F.from_json(F.lit(str(starts)), "array<bigint>")
+        jumps = F.array(*[F.lit(1 << s) for s in range(len(starts).bit_length() - 1, -1, -1)])
+        # a binary search for the last start that is at most the key, from 0
+        place = F.aggregate(jumps, F.lit(0), lambda at, j: F.when((at + j < len(starts)) & (F.get(held, at + j) <= F.col("key")), at + j).otherwise(at))  # noqa: B023
+        sides.append((no_id, first, held, place))
+        first += len(starts)
+    if not sides:
         return docs.withColumn("part", F.lit(0)).withColumn("guest", F.lit(False))
-    starts = sorted({edges["least"], *edges["at"]})
-    held = F.from_json(F.lit(str(starts)), "array<bigint>")
-    jumps = F.array(*[F.lit(1 << s) for s in range(len(starts).bit_length() - 1, -1, -1)])
-    # a binary search for the last start that is at most the key, from 0
-    place = F.aggregate(jumps, F.lit(0), lambda at, j: F.when((at + j < len(starts)) & (F.get(held, at + j) <= F.col("key")), at + j).otherwise(at))
+    of = lambda values: F.coalesce(*[F.when(F.col("no_id") == no_id, v) for (no_id, *_), v in zip(sides, values)])
     home = F.struct(F.col("at").alias("part"), F.lit(False).alias("guest"))
-    before = F.struct(F.pmod(F.col("at") - 1, F.lit(len(starts))).alias("part"), F.lit(True).alias("guest"))
-    copies = F.when(F.get(held, F.col("at")) == F.col("key"), F.array(home, before)).otherwise(F.array(home))
-    return docs.withColumn("at", place).withColumn("copy", F.explode(copies)).select(*docs.columns, "copy.part", "copy.guest")
+    before = F.struct(F.pmod(F.col("at") - 1, F.lit(first)).alias("part"), F.lit(True).alias("guest"))
+    starts_it = of([F.get(held, F.col("at") - begin) == F.col("key") for _, begin, held, _ in sides])
+    placed = docs.withColumn("at", of([place + begin for _, begin, _, place in sides]))
+    return placed.withColumn("copy", F.explode(F.when(starts_it, F.array(home, before)).otherwise(F.array(home)))).select(*docs.columns, "copy.part", "copy.guest")
 
 
 def slot(kind: int, term: Column) -> Column:
@@ -151,15 +159,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"no_id": F.col("doc_id").isNull(), "key": F.coalesce("doc_id", F.xxhash64("text"))})
     bits = F.from_json(F.lit(str(lexicon(rows))), "array<bigint>")
     spread = ranged(rows)
     # the guest of a range comes after its residents; that of the last range is the very first document
-    order = W.partitionBy("part").orderBy("guest", "key", "text")
+    order = W.partitionBy("part").orderBy("guest", "no_id", "key", "text")
     n = F.length("text")
     edit = F.expr("concat(left(text, length(text) - int(floor(length(text) / 4))), left(next_text, int(floor(length(text) / 4))))")
     made = spread.withColumn("next_text", F.coalesce(F.lead("text").over(order), "text")).withColumn("edited", edit)
-    made = made.select("part", "guest", "key", "text", "edited", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    made = made.select("part", "guest", "no_id", "key", "text", "edited", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     made = printed(printed(made, "text", "own", bits), "edited", "other", bits).drop("edited")
     made = made.withColumn("next", F.coalesce(F.lead("own").over(order), "own")).where(~F.col("guest"))
     shown = lambda c: F.array_join(F.transform(c, lambda e: F.lower(F.hex(e))), " ")
