@@ -15,7 +15,7 @@ has such letters in no listed element. Of a block only the pieces in an inline e
 a browser shows no text of (scripts, styles, controls, hidden elements) is no text here either.
 
 Defined results: null and empty html give an empty text and 0 characters. Unclosed and stray tags are tolerated, a `<` that
-starts no tag is text. Repeated rows give repeated results; an empty table an empty one.
+starts no tag is text. Pages of any length and depth take about linear time. Repeated rows give repeated results; an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -58,13 +58,37 @@ SPACE = re.compile(r"\s+")
 MARKS = frozenset(".,;:!?…。，、！？؛،")
 
 
-@dataclass
+@dataclass(slots=True)
+class Path:
+    """A root-to-leaf tag path, as a node of the tree of all paths of a page; content, section and heading are the innermost ones of its elements that are such."""
+
+    content: Path | None = None
+    section: Path | None = None
+    heading: bool = False
+    children: dict[str, Path] = field(default_factory=dict)
+
+    def child(self, name: str, number: int) -> Path:
+        """The path of an element in this one; elements that repeat within a list or text share theirs."""
+        label = name if name in ("p", "li", "td", "tr", "th", "dt", "dd") else f"{name}.{number}"
+        if (found := self.children.get(label)) is None:
+            found = self.children[label] = Path(self.content, self.section, self.heading or name in HEADINGS)
+            if name in CONTENT:
+                found.content = found
+            if name in SECTIONS:
+                found.section = found
+        return found
+
+
+@dataclass(slots=True)
 class Element:
+    """An open element, with what it takes over from those around it: listed and asides are listed block and inline elements (number -> word)."""
+
     name: str
-    number: int
     hidden: bool
-    #: The name or word by which it is listed as boilerplate, or "".
-    word: str
+    link: bool
+    path: Path
+    listed: dict[int, str]
+    asides: dict[int, str]
 
 
 @dataclass
@@ -74,7 +98,7 @@ class Block:
     links and asides are those of its parts that lie in a link and in a listed inline element (number -> word).
     """
 
-    path: tuple[str, ...]
+    path: Path
     listed: dict[int, str]
     parts: list[str] = field(default_factory=list)
     links: set[int] = field(default_factory=set)
@@ -88,7 +112,7 @@ class Block:
 class Line:
     """A block's text, that of it outside links, and its listed elements."""
 
-    path: tuple[str, ...]
+    path: Path
     text: str
     plain: str
     listed: dict[int, str]
@@ -97,28 +121,35 @@ class Line:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in page order."""
     found: list[Block] = []
-    stack: list[Element] = []
+    root = Element("", False, False, Path(), {}, {})
+    stack: list[Element] = [root]
+    inside: Counter[str] = Counter()  # open elements by name: an end tag without one costs nothing
     serial, now = 0, None
 
     def text(piece: str) -> None:
         nonlocal now
-        if any(e.hidden for e in stack):
+        top = stack[-1]
+        if top.hidden:
             return
         if now is None:
-            path = tuple(f"{e.name}.{e.number}" if e.name not in ("p", "li", "td", "tr", "th", "dt", "dd") else e.name for e in stack if e.name not in INLINE)
-            now = Block(path, {e.number: e.word for e in stack if e.word and e.name not in INLINE})
+            now = Block(top.path, top.listed)
             found.append(now)
-        if any(e.name == "a" for e in stack):
+        if top.link:
             now.links.add(len(now.parts))
-        if asides := {e.number: e.word for e in stack if e.word and e.name in INLINE}:
-            now.asides[len(now.parts)] = asides
+        if top.asides:
+            now.asides[len(now.parts)] = top.asides
         now.parts.append(piece)
 
+    def close(i: int) -> None:
+        inside.subtract(e.name for e in stack[i:])
+        del stack[i:]
+
     def shut(names: tuple[str, ...] | frozenset[str], within: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+        if not any(inside[n] for n in names):
+            return
+        for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
-                del stack[i:]
-                return
+                return close(i)
             if stack[i].name in within:
                 return
 
@@ -144,10 +175,12 @@ def blocks(page: str) -> list[Block]:
                 continue
             now = None
         if m[1]:
-            if any(e.name == name for e in stack):
-                i = max(i for i, e in enumerate(stack) if e.name == name)
-                if not inline or all(e.name in INLINE for e in stack[i:]):
-                    del stack[i:]
+            if inside[name]:
+                i = len(stack) - 1
+                while stack[i].name != name and (not inline or stack[i].name in INLINE):
+                    i -= 1
+                if stack[i].name == name:
+                    close(i)
             continue
         if name in CLOSES_P:
             shut(("p",), frozenset(("article", "section", "div", "td", "li", "blockquote", "body")))
@@ -160,13 +193,18 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         serial += 1
-        stack.append(Element(name, serial, name in NO_TEXT or bool(HIDDEN.search(VALUE.sub("", m[3]))) and name not in ("html", "body"), listed(name, m[3], stack)))
+        top = stack[-1]
+        hidden = top.hidden or name in NO_TEXT or bool(HIDDEN.search(VALUE.sub("", m[3]))) and name not in ("html", "body")
+        word = listed(name, m[3], top.path.content is None)
+        own = {serial: word} if word else {}
+        path, block_words, inline_words = (top.path, top.listed, top.asides | own) if inline else (top.path.child(name, serial), top.listed | own if own else top.listed, top.asides)
+        stack.append(Element(name, hidden, top.link or name == "a", path, block_words, inline_words))
+        inside[name] += 1
     return found
 
 
-def listed(name: str, attributes: str, stack: list[Element]) -> str:
+def listed(name: str, attributes: str, outside: bool) -> str:
     """The name or word by which an element is listed. Headers count only outside the article: those inside hold its title."""
-    outside = not any(e.name in CONTENT for e in stack)
     if name in BOILER or name == "header" and outside:
         return name
     if not attributes or name in ("html", "body") or name in CONTENT:
@@ -199,27 +237,23 @@ def lines_of(page: str) -> list[Line]:
     return found
 
 
-def within(path: tuple[str, ...], names: frozenset[str]) -> tuple[str, ...]:
-    """The path of the innermost element of these names, or ()."""
-    return path[: max((i + 1 for i, e in enumerate(path) if e.partition(".")[0] in names), default=0)]
-
-
-def scores(lines: list[Line], paths: dict[tuple[str, ...], int]) -> tuple[np.ndarray, np.ndarray]:
+def scores(lines: list[Line], paths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The fused ratios of each path, smoothed and not, without the weights of listed elements."""
     letters, marks, count = (np.zeros(len(paths)) for _ in range(3))
     for x in lines:
-        i = paths[x.path]
+        i = paths[id(x.path)]
         letters[i] += len(x.plain)
         marks[i] += sum(map(x.plain.count, MARKS))
         count[i] += 1
     one, two = np.log1p(letters / count), np.log1p(marks / count) + 0.1
-    place = np.array([2.0 if within(p, CONTENT) else 1.0 for p in paths]) * (letters > 0)
+    marked = {paths[id(x.path)] for x in lines if x.path.content}
+    place = np.array([2.0 if i in marked else 1.0 for i in range(len(paths))]) * (letters > 0)
     return np.sqrt(smoothed(one) * smoothed(two)) * place, np.sqrt(one * two) * place
 
 
 def cleared(lines: list[Line], high: list[bool]) -> set[int]:
     """Numbers of the listed elements that hold HOLDS of the high-scoring letters outside other listed elements, alone or with those of the same word; the fullest come first. None where an article or main has such letters."""
-    held = [(x.listed, len(x.plain), bool(within(x.path, CONTENT))) for x, h in zip(lines, high) if h]
+    held = [(x.listed, len(x.plain), x.path.content is not None) for x, h in zip(lines, high) if h]
     words = {n: word for names, _, _ in held for n, word in names.items()}
     free: set[int] = set()
     for group in (lambda n: n, words.get):
@@ -239,9 +273,9 @@ def extract(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    paths = {p: i for i, p in enumerate(dict.fromkeys(x.path for x in lines))}
+    paths = {p: i for i, p in enumerate(dict.fromkeys(id(x.path) for x in lines))}
     fused, own = scores(lines, paths)
-    at = [paths[x.path] for x in lines]
+    at = [paths[id(x.path)] for x in lines]
     free = cleared(lines, [fused[i] >= NEAR * fused.max() for i in at])
     weight = np.array([LISTED ** sum(n not in free for n in x.listed) for x in lines])
     fused, own = fused[at] * weight, own[at] * weight
@@ -250,13 +284,13 @@ def extract(page: str | None) -> str:
         return "\n".join(x.text for x, w in zip(lines, weight) if w == 1)
     passing = fused >= best - fused[np.unique(at, return_index=True)[1]].std()
     alone = (fused >= NEAR * best) & (own >= NEAR * np.median(own[passing]))
-    nodes = {within(x.path, SECTIONS) for x, p in zip(lines, passing) if p}
-    articles = {a for p in nodes if (a := within(p, CONTENT))}
+    nodes = {id(x.path.section) for x, p in zip(lines, passing) if p}
+    articles = {id(x.path.content) for x, p in zip(lines, passing) if p and x.path.content}
     stays, follows = [False] * len(lines), False
     for i in range(len(lines) - 1, -1, -1):
         x = lines[i]
-        inside = weight[i] == 1 and (within(x.path, SECTIONS) in nodes or within(x.path, CONTENT) in articles)
-        if within(x.path, HEADINGS):
+        inside = weight[i] == 1 and (id(x.path.section) in nodes or id(x.path.content) in articles)
+        if x.path.heading:
             stays[i] = inside or bool(weight[i] == 1 and follows)
         else:
             follows = stays[i] = bool(passing[i] or alone[i] or inside and 2 * len(x.plain) >= len(x.text))

@@ -1,5 +1,7 @@
 """Main text of pages: structure, references, boilerplate, odd markup."""
 
+import time
+
 from skylattice.llm.main_text import extract, extracted
 from skylattice.runtime import table
 
@@ -51,6 +53,26 @@ def test_scores_select_and_names_only_weigh():
     assert extract(page(BODY + comments)) == WANT
 
 
+def test_ratios_decide_where_no_name_does():
+    """Nothing here has a telling tag or class: only text and marks per path tell links and captions from the text."""
+    links = "<div>" + "".join(f"<span><a href='/{i}'>Another page {i}</a></span><br>" for i in range(30)) + "</div>"
+    text = "".join(f"<p>Sentence {i}, which says something, goes on for a while, and ends.</p>" for i in range(6))
+    want = "\n".join(f"Sentence {i}, which says something, goes on for a while, and ends." for i in range(6))
+    assert extract(f"<body>{links}<div>{text}</div>{links}<div>Map</div></body>") == want
+
+
+def test_two_articles():
+    one, two = (f"<article><p>{w} article, with its own words, and quite some of them, as it is.</p></article>" for w in ("First", "Second"))
+    assert extract(page(one + two)).count("article, with its own words") == 2
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for deep in ("<div>" * 20_000 + "some text, here." + "</div>" * 20_000, "<div>word<p>" * 20_000, "<b>" * 20_000 + "some text, here." + "</i>" * 20_000):
+        began = time.perf_counter()
+        assert extract(f"<body>{deep}")
+        assert time.perf_counter() - began < 20
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", page(BODY), 3), (1, "u", page(BODY), 3), (None, None, None, None)], "page_id long, url string, html string, text int")
     made = extracted(pages).collect()
