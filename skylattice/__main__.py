@@ -27,6 +27,16 @@ def bounds(args: argparse.Namespace) -> Bounds:
     return Bounds(*sides)
 
 
+def around(args: argparse.Namespace) -> tuple[float, float, float] | None:
+    """The place and radius of a run around one place, which must all be there or none."""
+    place = (args.lat, args.lng, args.radius_m)
+    if all(x is None for x in place):
+        return None
+    if any(x is None for x in place):
+        raise SystemExit("a place needs --lat, --lng and --radius-m")
+    return place
+
+
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="skylattice", description=__doc__)
     sub = main.add_subparsers(dest="command", required=True)
@@ -40,6 +50,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--region")
         for side in Bounds._fields:
             p.add_argument(f"--{side.replace('_', '-')}", type=float)
+        for place in ("--lat", "--lng", "--radius-m"):
+            p.add_argument(place, type=float, help="a run around one place instead of a region")
         p.add_argument("--cell-m", type=float, default=dimensions.CELL_BY_LEVEL["city"])
         if name == "points":
             p.add_argument("--provider", choices=("a", "b"), default="a")
@@ -62,15 +74,21 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             sinks.save_table(flat, args.table)
         flat.orderBy("type_code").show(1000, truncate=False)
     elif args.command == "points":
-        area = bounds(args)
+        place = around(args)
+        area = None if place else bounds(args)
         unify = poi.from_provider_a if args.provider == "a" else poi.from_provider_b
         points = poi.with_keyword(unify(spark.read.json(args.input)), args.keyword)
-        found = pipelines.region_points(points, area, args.cell_m, name=args.city, level="city" if args.city else None)
-        sinks.save_table(found.drop("idx"), args.table)
+        if place:
+            found = pipelines.points_around(points, *place)
+        else:
+            found = pipelines.region_points(points, area, args.cell_m, name=args.city, level="city" if args.city else None).drop("idx")
+        sinks.save_table(found, args.table)
     elif args.command == "zones":
-        area = bounds(args)
+        place = around(args)
+        area = None if place else bounds(args)
         found = zones.features(zones.at_levels(spark.read.schema(zones.SCHEMA).json(args.input)))
-        sinks.save_table(zones.table_rows(pipelines.region_zones(found, area, args.cell_m)), args.table)
+        found = pipelines.zones_around(found, *place) if place else pipelines.region_zones(found, area, args.cell_m)
+        sinks.save_table(zones.table_rows(found), args.table)
     else:
         there = catalog.objects(spark, [args.source])
         if args.list:

@@ -63,39 +63,57 @@ def points_in_fences(points: DataFrame, fences: DataFrame, width: float = 0.5) -
     return points_in_rectangles(points, fences, width).where(in_polygons(F.col("lng"), F.col("lat"), F.col("polygons")))
 
 
+PIECES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
 def boxed(lines: DataFrame, margin_m: float = 0.0) -> DataFrame:
-    """lines(line: array of [lng, lat]) with the sides of their boxes, grown by a margin."""
+    """lines(line: array of [lng, lat]) with their pieces (a lone point is one of no length) and the sides of their boxes, grown by a margin."""
     of = lambda k: F.transform("line", lambda p: F.get(p, F.lit(k)))
+    x, y = (F.get(F.get("line", F.lit(0)), F.lit(k)) for k in (0, 1))
+    point = F.array(F.struct(x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))).cast(PIECES)
     dlat = margin_m / METRES
-    grown = lines.withColumn("lat_min", F.array_min(of(1)) - dlat).withColumn("lat_max", F.array_max(of(1)) + dlat)
+    grown = lines.withColumn("pieces", F.when(F.size("line") == 1, point).otherwise(edges(F.col("line"))))
+    grown = grown.withColumn("lat_min", F.array_min(of(1)) - dlat).withColumn("lat_max", F.array_max(of(1)) + dlat)
     dlng = F.lit(dlat) / F.cos(F.radians(F.least(F.greatest(F.abs("lat_min"), F.abs("lat_max")), F.lit(89.0))))
-    return grown.withColumn("lng_min", F.array_min(of(0)) - dlng).withColumn("lng_max", F.array_max(of(0)) + dlng)
+    return grown.withColumn("margin_lng", dlng).withColumn("lng_min", F.array_min(of(0)) - dlng).withColumn("lng_max", F.array_max(of(0)) + dlng)
+
+
+def met(routes: DataFrame, fences: DataFrame, margin_m: float, width: float) -> DataFrame:
+    """Pairs of routes and fences whose boxes meet, with `near`, the route's pieces that meet the fence's grown box, and `sides_of`, the fence's pieces.
+
+    Both sides' pieces are columns before the join, so no piece is made twice.
+    """
+    ready = fences.withColumn("sides_of", F.flatten(F.transform(F.flatten("polygons"), edges)))
+    found = meeting_rectangles(boxed(routes, margin_m), ready, width)
+    dlat = F.lit(margin_m / METRES)
+    south, north = F.col("right_lat_min") - dlat, F.col("right_lat_max") + dlat
+    west, east = F.col("right_lng_min") - F.col("margin_lng"), F.col("right_lng_max") + F.col("margin_lng")
+    close = lambda p: (F.greatest(p["y1"], p["y2"]) >= south) & (F.least(p["y1"], p["y2"]) <= north) & (F.greatest(p["x1"], p["x2"]) >= west) & (F.least(p["x1"], p["x2"]) <= east)
+    return found.withColumn("near", F.filter("pieces", close))
 
 
-def enters(polygons: Column) -> Column:
-    """True if a line crosses an edge of the polygons or begins inside them."""
+def enters() -> Column:
+    """True if a line crosses an edge of the polygons or begins inside them; of met()."""
     first = F.get("line", F.lit(0))
-    crossing = F.exists(F.flatten(polygons), lambda r: F.exists(edges(r), lambda e: F.exists(edges(F.col("line")), lambda p: cross(p, e))))
-    return crossing | in_polygons(F.get(first, F.lit(0)), F.get(first, F.lit(1)), polygons)
+    crossing = F.exists("near", lambda p: F.exists("sides_of", lambda e: cross(p, e)))
+    return crossing | in_polygons(F.get(first, F.lit(0)), F.get(first, F.lit(1)), F.col("polygons"))
 
 
-def nearest_m(polygons: Column) -> Column:
-    """Metres between a line and the edges of polygons: the least of corners to pieces, both ways."""
+def comes_near(buffer_m: float) -> Column:
+    """True if a line comes within buffer_m metres of the edges of polygons: ends of pieces to pieces, both ways; of met()."""
     shrink = F.cos(F.radians((F.col("lat_min") + F.col("lat_max")) / 2))
-    gaps = lambda pieces, points: F.array_min(F.flatten(F.transform(pieces, lambda e: F.transform(points, lambda p: gap_m(e, F.get(p, F.lit(0)), F.get(p, F.lit(1)), shrink)))))
-    ring = lambda r: F.array_min(F.array(gaps(edges(r), F.col("line")), gaps(edges(F.col("line")), r)))
-    return F.array_min(F.transform(F.flatten(polygons), ring))
+    ends = lambda e, p: (gap_m(e, p["x1"], p["y1"], shrink) <= buffer_m) | (gap_m(e, p["x2"], p["y2"], shrink) <= buffer_m)
+    return F.exists("near", lambda p: F.exists("sides_of", lambda e: ends(e, p) | ends(p, e)))
 
 
 def routes_across(routes: DataFrame, fences: DataFrame, width: float = 0.5) -> DataFrame:
     """Pairs of routes(line, ...) and the fences(polygons, sides, ...) they enter."""
-    return meeting_rectangles(boxed(routes), fences, width).where(enters(F.col("polygons")))
+    return met(routes, fences, 0.0, width).where(enters()).drop("pieces", "near", "sides_of", "margin_lng")
 
 
 def routes_near(routes: DataFrame, fences: DataFrame, buffer_m: float, width: float = 0.5) -> DataFrame:
     """Pairs of routes and the fences that, grown by buffer_m metres, they touch. The grown fence is never built: its distance is tested."""
-    found = meeting_rectangles(boxed(routes, buffer_m), fences, width)
-    return found.where(enters(F.col("polygons")) | (nearest_m(F.col("polygons")) <= float(buffer_m)))
+    return met(routes, fences, float(buffer_m), width).where(enters() | comes_near(float(buffer_m))).drop("pieces", "near", "sides_of", "margin_lng")
 
 
 def conflicts(new: DataFrame, fences: DataFrame, width: float = 0.5) -> DataFrame:

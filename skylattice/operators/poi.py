@@ -12,6 +12,10 @@ from skylattice.functions.values import first_number, first_text, is_everything,
 COLUMNS = ("source_platform", "poi_id", "name", "type_code", "type_name", "address", "province", "city", "district", "lng", "lat", "raw_data", "metadata")
 
 
+#: Names of tables.
+TABLE, KEYWORDS = "gis_poi_gd_{}", "_keywords"
+
+
 class Fields:
     """A provider's records by field name, case and all: names that differ in case alone are different fields, and any may be absent."""
 
@@ -126,11 +130,12 @@ def cells_by_keyword(cells: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def run_metrics(hits: DataFrame, unique: DataFrame, kept: DataFrame, cells: DataFrame) -> DataFrame:
     """One row: cells, cells with hits, cells without, rows before and after dedupe, rows that the region filter takes out."""
-    one = lambda df, name, what=None: df.agg((F.count("*") if what is None else F.count_distinct(what)).alias(name))
-    parts = one(cells, "total_cells").crossJoin(one(hits, "hit_cells", "idx")).crossJoin(one(hits, "before")).crossJoin(one(unique, "after")).crossJoin(one(kept, "kept"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    by_cell = hits.groupBy("idx").agg(F.count("*").alias("n")).agg(F.count("*").alias("hit_cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    parts = one(cells, "total_cells").crossJoin(by_cell).crossJoin(one(unique, "after")).crossJoin(one(kept, "kept"))  # of one row each
     return parts.select("total_cells", "hit_cells", (F.col("total_cells") - F.col("hit_cells")).alias("empty_cells"), "before", "after", (F.col("after") - F.col("kept")).alias("filtered_out"))
 
 
 def target_table(region_code: str, keywords: str | None) -> str:
-    """The table a region's points go to: of its own where a keyword narrows them. An empty keyword asks for all."""
-    return f"gis_poi_{region_code}_keywords" if keywords else f"gis_poi_{region_code}"
+    """The table a region's points of provider A go to: of its own where a keyword narrows them. An empty keyword asks for all."""
+    return TABLE.format(region_code) + (KEYWORDS if keywords else "")

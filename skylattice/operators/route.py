@@ -59,7 +59,7 @@ def cheapest(links: DataFrame, start: int, goal: int | None = None, straight: Da
     links = runtime.written(links.select("a", F.col("b").alias("next"), F.col("cost").alias("more")), "links")
     best = spark.createDataFrame([(start, 0.0, [start])], "node long, cost double, path array<long>")
     front = best
-    for _ in range(rounds):
+    for _ in range(rounds):  # leaving it means that nothing is left open
         reached = front.join(links, F.col("node") == F.col("a")).select(F.col("next").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), F.concat("path", F.array("next")).alias("path"))
         least = reached.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.cost", "m.path")
         old = best.select("node", F.col("cost").alias("old"))
@@ -73,6 +73,8 @@ def cheapest(links: DataFrame, start: int, goal: int | None = None, straight: Da
                 front = front.join(straight, "node").where(F.col("cost") + F.col("left") < found["cost"]).drop("left")
             else:
                 front = front.where(F.col("cost") < found["cost"])
+    else:
+        raise RuntimeError(f"the routes are not settled after {rounds} rounds")
     return best
 
 

@@ -64,8 +64,8 @@ def features(areas: DataFrame, type_labels: dict[int, str] | None = None, zero_i
 
 
 def unique(found: DataFrame, order: list[str]) -> DataFrame:
-    """The first of each area_id in order; zones without one are left out."""
-    return first_wins(found, ["area_id"], order, keep_missing=False)
+    """The first of each area_id in order; zones without one, or with 0, are left out."""
+    return first_wins(found.where("area_id <> 0"), ["area_id"], order, keep_missing=False)
 
 
 def at_levels(areas: DataFrame, levels: list[int] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.geo import Bounds, grid, rectangle
 from skylattice.operators.dedupe import first_wins
-from skylattice.operators.poi import in_region, type_shares, with_fallback
+from skylattice.operators.poi import around, in_region, type_shares, with_fallback
 from skylattice.operators.spatial_join import meeting_rectangles, points_in_rectangles
 from skylattice.operators.zones import unique
 
@@ -34,6 +34,17 @@ def region_points(points: DataFrame, bounds: Bounds, cell_m: float, key: str = "
     return in_region(found, name, level) if name else found
 
 
+def points_around(points: DataFrame, lat: float, lng: float, radius_m: float) -> DataFrame:
+    """Points of a run around one place: all hits, repeats of a key included."""
+    return around(points, lat, lng, radius_m)
+
+
+def zones_around(found: DataFrame, lat: float, lng: float, radius_m: float) -> DataFrame:
+    """Zones (with the sides of their boxes) that meet the square around a place, repeats included."""
+    south, north, west, east = rectangle(F.lit(float(lat)), F.lit(float(lng)), radius_m)
+    return found.where((F.col("lat_max") >= south) & (F.col("lat_min") <= north) & (F.col("lng_max") >= west) & (F.col("lng_min") <= east))
+
+
 def region_type_stats(points: DataFrame, bounds: Bounds, cell_m: float, key: str = "poi_id") -> DataFrame:
     """Count and percentage of each type in a region, most frequent first."""
     return type_shares(region_points(points, bounds, cell_m, key)).orderBy(F.desc("n"), "type_code")

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python. Texts can be long, so batches are kept small.
 ARROW_ROWS = 1000
@@ -28,11 +27,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (spark.checkpoint.dir); a temporary one only where none is set, as in local tests."""
+    """The cluster's shared scratch folder (spark.checkpoint.dir); a temporary one only where none is set and the master is local, as in tests; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + os.path.join(tempfile.mkdtemp(prefix="skylattice-"), "shared")
         spark.sparkContext.setCheckpointDir(found)
@@ -53,10 +54,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def is_under(df: DataFrame, rows: int) -> bool:
     """True if df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
-
-
-def with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (a key that rows alike in id and text share), doc_id, text, and doc, the row of df as a struct: no column of df can clash."""
-    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
-    doc_id, text = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
-    return df.select(F.xxhash64(doc_id, text).alias("row"), doc_id, text, doc)

@@ -1,7 +1,7 @@
 """A batch source for paged map searches over HTTP: one input partition per request, pages read in the task.
 
 Options: `url`, `kind` ("a", "b" or "zones"), `requests` (a JSON list of objects with idx, kw and params), `page_size`, `pause_s` (between pages),
-`timeout_s`, `key_env` (the environment variable with the key), `wait_s` (first wait after a rate limit). A request that fails gives a row
+`paging` (names of provider A's page parameters, "page_num,page_size" unless said; version 3 has "page,offset"), `timeout_s`, `key_env` (the environment variable with the key), `wait_s` (first wait after a rate limit). A request that fails gives a row
 with status `failed` and the reason, and one without records a row `empty`; the others go on. TLS is always verified.
 """
 
@@ -58,6 +58,7 @@ class MapSearchReader(DataSourceReader):
         self.size = int(options.get("page_size", PAGE_SIZE[self.kind]))
         self.pause, self.timeout, self.wait = (float(options.get(k, d)) for k, d in (("pause_s", 0.2), ("timeout_s", 30), ("wait_s", FIRST_WAIT)))
         self.key_env = options.get("key_env")
+        self.paging = options.get("paging", "page_num,page_size").split(",")
         self.requests = json.loads(options["requests"])
 
     def partitions(self) -> list[Request]:
@@ -78,7 +79,7 @@ class MapSearchReader(DataSourceReader):
         """Records of one page and the total, if it is said."""
         if self.kind == "a":
             for n in range(TRIES):
-                data = self.get(request.params | {"page_num": page, "page_size": self.size})
+                data = self.get(request.params | dict(zip(self.paging, (page, self.size))))
                 if str(data.get("status")) == "1":
                     return data.get("pois") or [], int(data.get("count") or 0)
                 if data.get("info") != LIMIT:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skylattice.operators.dedupe import last_wins
 
 
-def save_table(df: DataFrame, table: str, comment: str = "", column_comments: dict[str, str] | None = None, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    """A table with comments, partitioned by some columns: what was there is replaced, or added to."""
+def save_table(df: DataFrame, table: str, comment: str = "", column_comments: dict[str, str] | None = None, by: tuple[str, ...] = (), mode: str = "overwrite") -> int:
+    """A table with comments, partitioned by some columns: what was there is replaced, or added to. Returns the rows written, counted as they are."""
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     for c, said in (column_comments or {}).items():
         df = df.withMetadata(c, {"comment": said})
     writer = df.write.mode(mode)
@@ -18,6 +20,14 @@ def save_table(df: DataFrame, table: str, comment: str = "", column_comments: di
     writer.saveAsTable(table)
     if comment:
         df.sparkSession.sql(f"COMMENT ON TABLE {table} IS '{comment.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'")
+    return seen.get["rows"]
+
+
+def save_json(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """JSON lines files in a folder, letters as they are. Returns the rows written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).json(path)
+    return seen.get["rows"]
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_keywords(spark):
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(values.is_everything(F.col("w"))).collect()]
     assert got == [True, True, True, True, False, False, False]
     assert one(spark, values.distinct_keywords(F.array(F.lit("b"), F.lit(""), F.lit("a"), F.lit("b"), F.lit(None))).alias("k"))["k"] == ["b", "a"]
-    assert poi.target_table("4100", None) == poi.target_table("4100", "") == "gis_poi_4100" and poi.target_table("4100", "school") == "gis_poi_4100_keywords"
+    assert poi.target_table("4100", None) == poi.target_table("4100", "") == "gis_poi_gd_4100" and poi.target_table("4100", "school") == "gis_poi_gd_4100_keywords"
 
 
 def test_object_names(spark):
@@ -242,3 +242,28 @@ def test_schedules_and_metrics(spark):
     assert sorted(r["poi_id"] for r in pipelines.bounds_points(hits, second).collect()) == ["a", "b", "c"]
     shares = poi.type_shares(spark.createDataFrame([("x",), ("x",), (None,)], "type_code string"))
     assert {r["type_code"]: (r["n"], r["percentage"]) for r in shares.collect()} == {"x": (2, 66.7), "unknown": (1, 33.3)}
+
+
+def test_routes_are_refused_at_the_limit(spark):
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "a long, b long, cost double")
+    assert route.cheapest(links, 0).count() == 7
+    with pytest.raises(RuntimeError):
+        route.cheapest(links, 0, rounds=3)
+
+
+def test_runs_around_a_place_keep_repeats(spark):
+    points = spark.createDataFrame([("p", 34.0, 113.0), ("p", 34.0, 113.0), ("q", 35.0, 113.0)], "poi_id string, lat double, lng double")
+    assert pipelines.points_around(points, 34.0, 113.0, 500.0).count() == 2
+    zone = spark.createDataFrame([(1, 33.9, 34.1, 112.9, 113.1), (1, 33.9, 34.1, 112.9, 113.1), (2, 36.0, 36.1, 113.0, 113.1)], "area_id long, lat_min double, lat_max double, lng_min double, lng_max double")
+    assert pipelines.zones_around(zone, 34.0, 113.0, 500.0).count() == 2
+
+
+def test_zone_zero_is_no_zone(spark):
+    found = spark.createDataFrame([(0, 1), (7, 2), (7, 1), (None, 1)], "area_id long, idx long")
+    assert [tuple(r) for r in zones.unique(found, ["idx"]).collect()] == [(7, 1)]
+
+
+def test_rows_written_are_counted(spark, tmp_path):
+    rows = spark.range(5)
+    assert sinks.save_json(rows, str(tmp_path / "j")) == 5
+    assert spark.read.json(str(tmp_path / "j")).count() == 5

@@ -38,7 +38,7 @@ class Handler(BaseHTTPRequestHandler):
             self.limited.add(q["page_num"])
             body = {"status": "0", "info": map_search.LIMIT}
         else:
-            page, size = int(q["page_num"]), int(q["page_size"])
+            page, size = int(q.get("page_num") or q["page"]), int(q.get("page_size") or q["offset"])
             body = {"status": "1", "count": str(TOTAL), "pois": [{"id": f"p{i}"} for i in range((page - 1) * size, min(TOTAL, page * size))]}
         data = json.dumps(body).encode()
         self.send_response(status)
@@ -63,6 +63,11 @@ def search(spark, url, kind, requests, **options):
     return reader.options(**options).load()
 
 
+def test_pages_of_version_3(spark, server):
+    rows = search(spark, server, "a", [{"idx": 0, "params": {"what": "ok"}}], page_size=3, paging="page,offset").collect()
+    assert sorted(json.loads(r["record"])["id"] for r in rows) == [f"p{i}" for i in range(TOTAL)]
+
+
 def test_pages_and_faults(spark, server):
     requests = [{"idx": i, "params": {"what": w}} for i, w in enumerate(("ok", "bad", "denied", "none", "slow"))]
     rows = search(spark, server, "a", requests, page_size=3).collect()
