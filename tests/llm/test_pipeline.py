@@ -1,6 +1,7 @@
 """The pipeline: each stage against brute force over what its predecessor kept."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skylattice.llm import quality, toxicity
@@ -44,3 +45,21 @@ def test_stages(spark, tmp_path):
     check_packed(held["packing"].collect(), [(d, r["text"]) for d, r in left.items()])
     assert public_tokenizers.path("byte_bpe_50k.json")
     assert corpus_pipeline.run(spark, SF).count() == held["packing"].count()
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls, empty texts, repeated rows, null ids and columns whose names clash with the operators' own."""
+    good = "The committee met on Monday, and it agreed on the plan for the next year, as the report says. " * 4
+    rows = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (None, good + "More.", None, "b", 5), (None, None, None, None, None), (4, "word " * 40_000, "en", "a", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "key", "content", "node", "label", "text_a", "lines", "stays"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            made = stage(spark, given, SF)
+            if name == "packing":
+                assert {r["doc_id"] for r in made.collect()} == {r["doc_id"] for r in given.collect()}
+            else:
+                assert made.columns == given.columns
+                assert made.count() <= given.count()
+                assert {r["doc_id"] for r in made.collect()} <= {r["doc_id"] for r in given.collect()}
