@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, quality, line dedup, near-dedup, packing. Each stage reads what the one before has written."""
+"""The corpus pipeline: toxicity, quality, line dedup, near-dedup, packing. Each stage reads what the one before has written.
+
+Defined results: a null or empty text isn't toxic, and scores 0 for quality, so the second stage leaves it out; a stage that is given
+one on its own keeps it, as a copy of its equals. Rows that repeat a document are one group of the near-dedup: one row stays. Null ids
+come last wherever an order decides. Very long texts are read whole. Ties go to the least doc_id, then line. An empty table passes
+every stage as an empty table. Columns beside doc_id, text and n_chars pass unread, whatever their names, up to the packing.
+"""
 
 from __future__ import annotations
 
