@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice import runtime
 from skylattice.llm.learning import class_counts, held_out, sampled_ids
 
 SAMPLE = 3000
@@ -115,7 +116,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = class_counts(usable, "lang")
     ids = F.broadcast(sampled_ids(usable, "doc_id", "lang", known, sample).select("doc_id").distinct())  # some 64 x sample ids at most
-    counts = count_grams(usable.join(ids, "doc_id", "left_semi")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = runtime.written(count_grams(usable.join(ids, "doc_id", "left_semi")).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     counts = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
     largest = counts.groupBy("gram").agg(F.max("share").alias("largest"))
