@@ -13,6 +13,9 @@ from skylattice.operators import catalog, poi, type_tree, zones
 from skylattice.plans import pipelines
 from skylattice.sources import dimensions, sinks
 
+#: Kinds of catalog objects in order of use.
+KINDS = ("tables", "functions", "views")
+
 
 def bounds(args: argparse.Namespace) -> Bounds:
     """A configured region by name, or four sides, which must all be there."""
@@ -37,6 +40,27 @@ def around(args: argparse.Namespace) -> tuple[float, float, float] | None:
     return place
 
 
+def sync(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Tables first, then functions, then views, which may use both."""
+    there = catalog.objects(spark, dict.fromkeys([args.source, *(args.schemas if args.list else [])]))
+    kinds = [k for k in KINDS if args.only in ("all", k)]
+    if args.list:
+        there.where(F.col("kind").isin(*[k[:-1] for k in kinds])).show(1000, truncate=False)
+        return
+    named = any(getattr(args, k) for k in KINDS)
+    for kind in kinds:
+        # a run that names objects of one kind copies no others
+        if named and args.only == "all" and not getattr(args, kind):
+            continue
+        names = catalog.chosen(getattr(args, kind), there, kind[:-1])
+        if kind == "tables":
+            catalog.sync_tables(spark, names, args.source, args.target, clean=not args.no_clean).show(1000, truncate=False)
+        elif kind == "functions":
+            print("functions:", *catalog.sync_functions(spark, catalog.function_signatures(spark, names, args.source), args.target))
+        else:
+            print("views:", *catalog.sync_views(spark, catalog.view_bodies(spark, names, args.source), args.target))
+
+
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="skylattice", description=__doc__)
     sub = main.add_subparsers(dest="command", required=True)
@@ -57,10 +81,13 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--provider", choices=("a", "b"), default="a")
             p.add_argument("--keyword")
             p.add_argument("--city")
-    sync = sub.add_parser("sync", help="copy tables from one schema to another")
+    sync = sub.add_parser("sync", help="copy tables, functions and views from one schema to another")
     sync.add_argument("source")
     sync.add_argument("target")
-    sync.add_argument("--tables", nargs="*", default=[])
+    sync.add_argument("--only", choices=("all", *KINDS), default="all", help="one kind of object")
+    for kind in KINDS:
+        sync.add_argument(f"--{kind}", nargs="*", default=[], help=f"these {kind} instead of all")
+    sync.add_argument("--schemas", nargs="*", default=[], help="with --list: the schemas to list besides the source")
     sync.add_argument("--no-clean", action="store_true")
     sync.add_argument("--list", action="store_true")
     return main
@@ -90,11 +117,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         found = pipelines.zones_around(found, *place) if place else pipelines.region_zones(found, area, args.cell_m)
         sinks.save_table(zones.table_rows(found), args.table)
     else:
-        there = catalog.objects(spark, [args.source])
-        if args.list:
-            there.show(1000, truncate=False)
-        else:
-            catalog.sync_tables(spark, catalog.chosen(args.tables, there, "table"), args.source, args.target, clean=not args.no_clean).show(1000, truncate=False)
+        sync(spark, args)
 
 
 if __name__ == "__main__":

@@ -91,6 +91,11 @@ def fixed(x: Column, places: int = 6) -> Column:
     return x.cast(f"decimal(18,{places})").cast("string")
 
 
+def point_text(lng: Column, lat: Column) -> Column:
+    """A point as extended WKT in degrees (SRID 4326), six decimals; null where a coordinate is missing."""
+    return F.concat(F.lit("SRID=4326;POINT("), fixed(lng), F.lit(" "), fixed(lat), F.lit(")"))
+
+
 def map_bound(b: Bounds | None = None, text=lambda c: c.cast("string")) -> Column:
     """`west,south,east,north` of columns lat_min .. lng_max."""
     return F.concat_ws(",", *(text(F.col(c)) for c in ("lng_min", "lat_min", "lng_max", "lat_max")))

@@ -70,3 +70,8 @@ def quoted(c: Column) -> Column:
 def percentage(part: Column, whole: Column) -> Column:
     """Per cent of the whole to one decimal; null for an empty whole."""
     return F.round(F.try_divide(part * F.lit(100.0), whole), 1)
+
+
+def day_stamp(at: Column) -> Column:
+    """The day of a time as eight digits."""
+    return F.date_format(at, "yyyyMMdd")

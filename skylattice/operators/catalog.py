@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import time
@@ -72,14 +73,46 @@ def in_order(uses: Mapping[str, set[str]]) -> list[str]:
 
 
 def sync_views(spark: SparkSession, bodies: Mapping[str, str], target: str) -> list[str]:
-    """Create views from their SELECT statements, each after the views it names; the order taken."""
+    """Create views from their SELECT statements, each after the views it names; the order taken. A name without a schema means one of the target's."""
     order = in_order({n: {o for o in bodies if o != n and o in body.replace(",", " ").replace("(", " ").replace(")", " ").replace(".", " ").split()} for n, body in bodies.items()})
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {target}")
-    for name in order:
-        spark.sql(f"CREATE OR REPLACE VIEW {target}.{name} AS {bodies[name]}")
+    before = spark.catalog.currentDatabase()
+    spark.catalog.setCurrentDatabase(target)
+    try:
+        for name in order:
+            spark.sql(f"CREATE OR REPLACE VIEW {name} AS {bodies[name]}")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
     return order
 
 
+def view_bodies(spark: SparkSession, names: Iterable[str], schema: str) -> dict[str, str]:
+    """The SELECT statements of views; metadata only."""
+    described = {n: spark.sql(f"DESCRIBE EXTENDED {schema}.{n}").where("col_name = 'View Text'").first() for n in names}
+    return {n: r["data_type"] for n, r in described.items() if r}
+
+
+def function_signatures(spark: SparkSession, names: Iterable[str], schema: str) -> dict[str, str]:
+    """name -> arguments, result and body of SQL functions, as sync_functions() takes them; metadata only. Other functions are left out."""
+    found = {}
+    for name in names:
+        usage = [r[0] for r in spark.sql(f"DESCRIBE FUNCTION EXTENDED {schema}.{name}").collect() if r[0].startswith("Usage: {")]  # one object's description
+        if usage:
+            d = json.loads(usage[0].removeprefix("Usage: "))
+            part = lambda k: d.get(f"sqlFunction.{k}", "")  # noqa: B023, E731
+            result = f"TABLE({part('returnType')})" if part("isTableFunc") == "true" else part("returnType")
+            found[name] = f"({part('inputParam')}) RETURNS {result} RETURN {part('expression') or part('query')}"
+    return found
+
+
+def reachable(spark: SparkSession, options: Mapping[str, str]) -> None:
+    """An error unless the database of jdbc_options() answers: asked before anything is written."""
+    try:
+        spark.read.format("jdbc").options(**{k: v for k, v in options.items() if k in ("url", "user", "password", "driver")}).option("dbtable", "(VALUES (1)) AS t(x)").load().first()
+    except Exception as e:
+        raise ConnectionError(f"the target does not answer: {str(e)[:300]}") from e
+
+
 def sync_functions(spark: SparkSession, signatures: Mapping[str, str], target: str) -> list[str]:
     """Create SQL functions: name -> everything after the name (`(x INT) RETURNS INT RETURN x + 1`)."""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {target}")

@@ -110,3 +110,9 @@ def flight_plan(free: DataFrame, start: tuple[float, float, float], goal: tuple[
         straight_on = straight_on & (before == after)
     kept = points.withColumn("on", F.coalesce(straight_on, F.lit(False))).where("NOT on").select((F.col("pos") + 1).cast("long").alias("step"), "lat", "lng", "alt")
     return kept.unionByName(ends).orderBy("step")
+
+
+def as_json(plan: DataFrame) -> DataFrame:
+    """`plan`: one row with the points of a flight plan in order as a JSON array. A plan is one way, bounded by the grid's diameter."""
+    points = F.sort_array(F.collect_list(F.struct("step", "lng", "lat", "alt")))
+    return plan.agg(F.to_json(F.transform(points, lambda p: p.dropFields("step"))).alias("plan"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.functions import geo, values
-from skylattice.operators import catalog, dedupe, fences, poi, regions, route, schedule, spatial_join, type_tree, zones
+from skylattice.operators import catalog, dedupe, fences, poi, regions, requests, route, schedule, spatial_join, type_tree, zones
 from skylattice.plans import derived, pipelines
 from skylattice.plans.derived import BOUNDS, CELL, FINE, SQL_EVENTS, SQL_FIRST, SQL_HITS, SQL_POI, SQL_RING, SQL_ROUTES, SQL_ZONES, sql_cells, sql_grid
 from skylattice.sources import dimensions, sinks
@@ -81,6 +81,71 @@ def cell_request_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squares.select("idx", geo.map_bound(text=geo.fixed).alias("map_bound"), geo.corner_pair(geo.fixed).alias("corners"), geo.closed_polygon(geo.fixed).alias("polygon"))
 
 
+@query(f"""WITH {sql_cells(CELL)}, t AS (SELECT idx, {_d('lat_min')} AS s, {_d('lat_max')} AS n, {_d('lng_min')} AS w, {_d('lng_max')} AS e FROM cells)
+    SELECT idx, r_regionkey AS kw,
+      '{{"queryType":"2",'||k||'"mapBound":"'||w||','||s||','||e||','||n||'","level":"12"}}' AS bounds,
+      '{{"queryType":"10",'||k||'"show":"2","polygon":"'||w||','||n||','||e||','||n||','||e||','||s||','||w||','||s||','||w||','||n||'"}}' AS polygon,
+      '{{"ltlat":"'||n||'","ltlng":"'||w||'","rblat":"'||s||'","rblng":"'||e||'","zones_mode":"flysafe_website","drone":"dji-mavic-3","level":"0,1,2,3,7,8,10"}}' AS zones
+    FROM t CROSS JOIN (SELECT r_regionkey, CASE WHEN r_regionkey=0 THEN '' ELSE '"keyWord":"'||r_name||'",' END AS k FROM region)""")
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell with every keyword (an empty one is no keyword) as a request of each kind."""
+    words = runtime.table(spark, sf_dir, "region").selectExpr("r_regionkey AS kw", "CASE WHEN r_regionkey = 0 THEN '' ELSE r_name END AS keyword")
+    asked = poi.cells_by_keyword(pipelines.cells(spark, BOUNDS, CELL), words)
+    word = F.col("keyword")
+    return asked.select(
+        "idx", "kw", requests.b_in_bounds(word, number=geo.fixed).alias("bounds"), requests.b_in_polygon(word, show="2", number=geo.fixed).alias("polygon"),
+        requests.zones_in_bounds(number=geo.fixed).alias("zones"),
+    )
+
+
+@query(f"""WITH {SQL_POI}, t AS (SELECT poi_id, {_d('lng')}||','||{_d('lat')} AS p, type_code, name FROM poi)
+    SELECT poi_id, '{{"location":"'||p||'","radius":"1000","types":"'||type_code||'","extensions":"all","output":"json"}}' AS a,
+      '{{"queryType":"3","keyWord":"'||name||'","dataTypes":"1","pointLonlat":"'||p||'","queryRadius":"1000","level":"12"}}' AS b,
+      '{{"polygon":"'||p||'","output":"json","types":"'||type_code||'|x"}}' AS joined FROM t""")
+def around_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request around every point with its type, and one with several types in one text."""
+    lat, lng, radius = F.col("lat"), F.col("lng"), F.lit(1000)
+    at = F.concat_ws(",", geo.fixed(lng), geo.fixed(lat))
+    return derived.poi(spark, sf_dir).select(
+        "poi_id", requests.a_around(lat, lng, radius, F.col("type_code"), number=geo.fixed).alias("a"),
+        requests.b_around(lat, lng, radius, F.col("name"), data_types="1", number=geo.fixed).alias("b"),
+        requests.a_in_polygon(at, F.array("type_code", F.lit("x"))).alias("joined"),
+    )
+
+
+@query(f"WITH {SQL_POI} SELECT poi_id, type_code FROM poi WHERE type_code IN ('BUILDING', 'MACHINERY')")
+def points_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.of_types(derived.poi(spark, sf_dir), ["BUILDING", "MACHINERY"]).select("poi_id", "type_code")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name AS name, 'answer' AS origin FROM region UNION ALL SELECT code, name, 'shipped' FROM (VALUES "
+       + ", ".join(f"('{code}', '{name}')" for code, name, _ in dimensions.TYPES_B) + ") AS t(code, name)")
+def types_or_shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of an answer, and of one that failed."""
+    record = F.to_json(F.struct(F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name"), F.array().cast("array<struct<code:string,name:string>>").alias("subtypes")))
+    answered = runtime.table(spark, sf_dir, "region").select(F.lit("ok").alias("status"), record.alias("record"))
+    failed = answered.withColumn("status", F.lit("failed"))
+    part = lambda df, origin: dimensions.types_or_shipped(df, "b").select("code", "name", F.lit(origin).alias("origin"))
+    return part(answered, "answer").unionByName(part(failed, "shipped"))
+
+
+@query("SELECT n_name AS name, n_nationkey AS slug, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL) AS listed FROM nation")
+def listed_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted keys, and whether a list holds them."""
+    wanted = runtime.table(spark, sf_dir, "nation").selectExpr("n_name AS name", "n_nationkey AS slug")
+    return dimensions.with_membership(wanted, runtime.table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS slug"), "slug")
+
+
+@query(f"""WITH {SQL_POI} SELECT poi_id, CASE WHEN poi_id%7<>0 THEN 'SRID=4326;POINT('||{_d('lng')}||' '||{_d('lat')}||')' END AS point FROM poi""")
+def points_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.poi(spark, sf_dir).select("poi_id", geo.point_text(F.col("lng"), F.when(F.col("poi_id") % 7 != 0, F.col("lat"))).alias("point"))
+
+
+@query("SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n FROM events GROUP BY day")
+def events_by_day_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runtime.table(spark, sf_dir, "events").groupBy(values.day_stamp(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {sql_grid(CELL)} SELECT idx, r_regionkey AS kw, r_name AS keyword FROM grid CROSS JOIN region")
 def cell_keyword_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = runtime.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("kw"), F.col("r_name").alias("keyword"))

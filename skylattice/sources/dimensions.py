@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators.poi import with_fallback
+
 # Place types of provider A (code, name, subtypes).
 TYPES_A = (
     ("110000", "交通设施服务", (("110100", "铁路与地铁"), ("110200", "道路附属设施"), ("110300", "机场"), ("110400", "港口码头"), ("110500", "停车场"), ("110600", "加油站"))),
@@ -53,3 +55,22 @@ def label(code: Column, labels: dict[int, str]) -> Column:
     """The label of a code that may be a number or its digits; null where there is none."""
     pairs = [F.lit(x) for k, v in labels.items() for x in (str(k), v)]
     return F.try_element_at(F.create_map(*pairs), code.cast("string")) if pairs else F.lit(None).cast("string")
+
+
+def types_or_shipped(answered: DataFrame, provider: str) -> DataFrame:
+    """code, name, subtypes of the types that a search (kind "types") answered; the shipped ones where it failed or had none. Small tables both."""
+    all_of = lambda df: df.withColumn("_all", F.lit(1))
+    found = answered.where("status = 'ok'").select(F.from_json("record", TREE).alias("t")).select("t.*").where("code IS NOT NULL")
+    return with_fallback(all_of(found), all_of(type_tree(answered.sparkSession, provider)), "_all").drop("_all")
+
+
+def drones(answered: DataFrame) -> DataFrame:
+    """slug, name of the drones that a search (kind "drones") answered, each slug once. Cache it: it is small and asked again and again."""
+    found = answered.where("status = 'ok'").select(F.from_json("record", "slug string, name string").alias("d")).select("d.*")
+    return found.where("slug IS NOT NULL").groupBy("slug").agg(F.min("name").alias("name"))
+
+
+def with_membership(wanted: DataFrame, listed: DataFrame, key: str, mark: str = "listed") -> DataFrame:
+    """wanted with a mark: whether the key is in the list. A key outside the list stays (it is only warned of); a missing one is not in it."""
+    there = listed.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn(mark, F.lit(True))
+    return wanted.join(there, key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))

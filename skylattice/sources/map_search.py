@@ -1,6 +1,8 @@
-"""A batch source for paged map searches over HTTP: one input partition per request, pages read in the task.
+"""A batch source for paged map searches over HTTP: one input partition per request, pages read in the task. searched() takes its requests
+from a DataFrame instead, so that a million of them need not pass the driver.
 
-Options: `url`, `kind` ("a", "b" or "zones"), `requests` (a JSON list of objects with idx, kw and params), `page_size`, `pause_s` (between pages),
+Options: `url`, `kind` ("a", "b", "zones", "types" or "drones"), `method` (GET unless said, or POST with the parameters as a form), `headers` (a JSON
+object), `requests` (a JSON list of objects with idx, kw and params), `page_size`, `pause_s` (between pages),
 `paging` (names of provider A's page parameters, "page_num,page_size" unless said; version 3 has "page,offset"), `timeout_s`, `key_env` (the environment variable with the key), `wait_s` (first wait after a rate limit). A request that fails gives a row
 with status `failed` and the reason, and one without records a row `empty`; the others go on. TLS is always verified.
 """
@@ -15,17 +17,23 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 from typing import Any
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skylattice.operators.schedule import FIRST_WAIT, TRIES
 
 SCHEMA = "idx long, kw int, page int, pos int, status string, record string"
+FIELDS = pa.schema([("idx", pa.int64()), ("kw", pa.int32()), ("page", pa.int32()), ("pos", pa.int32()), ("status", pa.string()), ("record", pa.string())])
 #: Fixed value: what provider A says beyond its rate.
 LIMIT = "CUQPS_HAS_EXCEEDED_THE_LIMIT"
-PAGE_SIZE = {"a": 25, "b": 100, "zones": 1}
+PAGE_SIZE = {"a": 25, "b": 100, "zones": 1, "types": 1, "drones": 1}
+#: Rows of a batch that searched() hands on.
+BATCH = 1_000
 
 
 class Refused(Exception):
@@ -59,18 +67,26 @@ class MapSearchReader(DataSourceReader):
         self.pause, self.timeout, self.wait = (float(options.get(k, d)) for k, d in (("pause_s", 0.2), ("timeout_s", 30), ("wait_s", FIRST_WAIT)))
         self.key_env = options.get("key_env")
         self.paging = options.get("paging", "page_num,page_size").split(",")
-        self.requests = json.loads(options["requests"])
+        self.method, self.headers = options.get("method", "GET").upper(), json.loads(options.get("headers", "{}"))
+        if self.method not in ("GET", "POST"):
+            raise ValueError("method is GET or POST")
+        self.requests = json.loads(options.get("requests", "[]"))
 
-    def partitions(self) -> list[Request]:
+    def check_key(self) -> None:
         if self.key_env and not os.environ.get(self.key_env):
             raise ValueError(f"the environment variable {self.key_env} holds no key")
+
+    def partitions(self) -> list[Request]:
+        self.check_key()
         return [Request(int(r["idx"]), int(r.get("kw", 0)), r.get("params", {})) for r in self.requests]
 
     def get(self, params: dict[str, Any]) -> dict[str, Any]:
         if self.key_env:
             params = params | {"tk" if self.kind == "b" else "key": os.environ.get(self.key_env, "")}
+        form, posts = urllib.parse.urlencode(params), self.method == "POST"
+        request = urllib.request.Request(self.url if posts else f"{self.url}?{form}", form.encode() if posts else None, self.headers, method=self.method)
         try:
-            with urllib.request.urlopen(f"{self.url}?{urllib.parse.urlencode(params)}", timeout=self.timeout) as answer:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                 return json.load(answer)
         except urllib.error.HTTPError as e:
             raise Refused(error_text(e.read().decode("utf-8", "replace"))) from e
@@ -94,6 +110,12 @@ class MapSearchReader(DataSourceReader):
                 raise Refused(error_text(json.dumps(data)))
             return (data.get("pois") or [] if data.get("resultType") == 1 else []), int(data.get("count") or 0)
         data = self.get(request.params)
+        if self.kind == "types":
+            if str(data.get("status")) != "1":
+                raise Refused(str(data.get("info", "unknown error")))
+            return data.get("types") or [], None
+        if self.kind == "drones":
+            return data.get("drones") or [], None
         if data.get("code") != 0:
             raise Refused(error_text(json.dumps(data)))
         return (data.get("data") or {}).get("areas") or [], None
@@ -131,5 +153,23 @@ class MapSearch(DataSource):
         return MapSearchReader(dict(self.options))
 
 
+def searched(requests: DataFrame, options: dict[str, str]) -> DataFrame:
+    """The pages of requests(idx, kw, params as a JSON object or null), read in the tasks that hold the requests; columns and options of the source.
+
+    Deal the requests over as many partitions as may ask at once. A lost task asks its requests again. The key is read on the executors.
+    """
+    reader = MapSearchReader(options)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader.check_key()
+        for batch in batches:
+            asked = (Request(r["idx"], r["kw"] or 0, json.loads(r["params"] or "{}")) for r in batch.to_pylist())
+            rows = chain.from_iterable(map(reader.read, asked))
+            while some := list(islice(rows, BATCH)):
+                yield pa.RecordBatch.from_pylist([dict(zip(FIELDS.names, r)) for r in some], FIELDS)
+
+    return requests.select(F.col("idx").cast("long"), F.col("kw").cast("int"), F.col("params").cast("string")).mapInArrow(pages, SCHEMA)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(MapSearch)

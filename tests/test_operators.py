@@ -216,6 +216,8 @@ def test_flight_plan(spark):
     way = route.flight_plan(free, (34.01, 113.01, 50.0), (34.01, 113.05, 50.0), there).collect()
     assert (way[0]["lat"], way[0]["alt"], way[-1]["lng"]) == (34.01, 50.0, 113.05)
     assert max(r["lat"] for r in way) > 34.04 and {r["alt"] for r in way[1:-1]} == {100.0}
+    said = json.loads(route.as_json(spark.createDataFrame(way).orderBy(F.desc("step"))).first()["plan"])
+    assert [(p["lng"], p["lat"], p["alt"]) for p in said] == [(r["lng"], r["lat"], r["alt"]) for r in way]
     blocked = free.where("lng < 113.02 OR lng > 113.04")
     assert len(route.flight_plan(blocked, (34.01, 113.01, 50.0), (34.01, 113.05, 50.0)).collect()) == 2
     assert len(route.flight_plan(free.where("false"), (34.01, 113.01, 50.0), (34.01, 113.05, 50.0)).collect()) == 2

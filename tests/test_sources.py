@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.operators import catalog
-from skylattice.sources import map_search, sinks
+from skylattice.sources import dimensions, map_search, sinks
 from skylattice.streaming.polling import unseen
 
 TOTAL = 7
@@ -19,13 +19,23 @@ TOTAL = 7
 class Handler(BaseHTTPRequestHandler):
     limited: set = set()
 
+    def do_POST(self):
+        self.answer(self.rfile.read(int(self.headers["Content-Length"])).decode())
+
     def do_GET(self):
-        q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        self.answer(urlparse(self.path).query)
+
+    def answer(self, form):
+        q = {k: v[0] for k, v in parse_qs(form).items()}
         status, body = 200, {}
         if "postStr" in q:
             post = json.loads(q["postStr"])
             start, size = int(post["start"]), int(post["count"])
             body = {"status": {"infocode": 1000}, "resultType": 1, "count": TOTAL, "pois": [{"hotPointID": f"h{i}"} for i in range(start, min(TOTAL, start + size))]}
+        elif q.get("what") == "types":
+            body = {"status": "1", "types": [{"code": "9", "name": "n", "subtypes": [{"code": "91", "name": "m"}]}]} if self.headers.get("X-Who") == "me" else {"status": "0", "info": "NO"}
+        elif q.get("what") == "drones":
+            body = {"drones": [{"slug": "d1", "name": "one"}, {"slug": "d1", "name": "one"}, {"name": "none"}]}
         elif "zone" in q:
             body = {"code": 0, "data": {"areas": [{"area_id": 1}, {"area_id": 2}]}}
         elif q.get("what") == "bad":
@@ -88,6 +98,32 @@ def test_other_providers(spark, server):
     assert map_search.error_text("x" * 900) == "x" * 300
 
 
+def test_requests_from_a_table(spark, server):
+    asked = spark.createDataFrame([(i, i % 2, json.dumps({"what": w}) if w else None) for i, w in enumerate(("ok", "bad", "none", None))], "idx int, kw int, params string")
+    options = {"url": server, "page_size": "3", "pause_s": "0", "method": "POST"}
+    rows = map_search.searched(asked, options).collect()
+    assert {i: (len(some := [r for r in rows if r["idx"] == i]), some[0]["status"]) for i in range(4)} == {0: (TOTAL, "ok"), 1: (1, "failed"), 2: (1, "empty"), 3: (TOTAL, "ok")}
+    assert map_search.searched(asked.where("false"), options).count() == 0
+    with pytest.raises(ValueError, match="GET or POST"):
+        map_search.searched(asked, {"url": server, "method": "PUT"})
+
+
+def test_types_and_drones(spark, server):
+    answer = lambda kind, **o: search(spark, server, kind, [{"idx": 0, "params": {"what": kind}}], **o)
+    assert [(r["code"], r["subtypes"][0]["name"]) for r in dimensions.types_or_shipped(answer("types", headers='{"X-Who": "me"}'), "b").collect()] == [("9", "m")]
+    assert dimensions.types_or_shipped(answer("types"), "b").count() == len(dimensions.TYPES_B)
+    listed = dimensions.drones(answer("drones"))
+    assert [tuple(r) for r in listed.collect()] == [("d1", "one")]
+    wanted = spark.createDataFrame([("d1",), ("d2",), (None,)], "slug string")
+    assert {r["slug"]: r["listed"] for r in dimensions.with_membership(wanted, listed, "slug").collect()} == {"d1": True, "d2": False, None: False}
+
+
+def test_reachable(spark):
+    catalog.reachable(spark, catalog.jdbc_options(f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "t"))
+    with pytest.raises(ConnectionError, match="does not answer"):
+        catalog.reachable(spark, catalog.jdbc_options("jdbc:derby:memory:none", "t"))
+
+
 def test_catalog(spark):
     a, b = (f"s{uuid.uuid4().hex[:8]}" for _ in "ab")
     spark.sql(f"CREATE SCHEMA {a}")
