@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, language_id, lexicon_print, main_text, packing, quality, toxicity, word_bpe
+from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, language_id, lexicon_print, main_text, packing, periodic_runs, quality, toxicity, word_bpe
 from skylattice.runtime import prepare, table
 
 
@@ -51,6 +51,10 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digested(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digested(periodic_runs.periodic_runs(periodic_runs.with_planted(table(prepare(spark), sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_bitmask_language_id": op2_bitmask_language_id,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
