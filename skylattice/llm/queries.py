@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, language_id, lexicon_print, main_text, packing, periodic_runs, quality, toxicity, word_bpe
+from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, kd_means, language_id, lexicon_print, main_text, packing, periodic_runs, quality, toxicity, word_bpe
 from skylattice.runtime import prepare, table
 
 
@@ -55,6 +55,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digested(periodic_runs.periodic_runs(periodic_runs.with_planted(table(prepare(spark), sf_dir, "documents"))))
 
 
+def op12_kd_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_means.digested(kd_means.clusters(table(prepare(spark), sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_bitmask_language_id": op2_bitmask_language_id,
@@ -67,11 +71,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_kd_filtering": op12_kd_filtering,
 }
 
+def lloyd_sql(dim: int = 64, k: int = 16, rounds: int = 3, scale: int = 64, seed: int = 1) -> str:
+    """DuckDB SQL of op12: every vector against every centroid, a round after another."""
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS z, v AS c FROM v QUALIFY z < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, min(row(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), z)) AS m
+          FROM v, c{i} GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS MATERIALIZED (SELECT z, j, sum(x) AS s, count(*) AS n FROM (SELECT m[2] AS z, unnest(v) AS x, unnest(range({dim})) AS j FROM a{i}) GROUP BY ALL),
+          n{i} AS MATERIALIZED (SELECT z, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{i} GROUP BY z),
+          c{i + 1} AS MATERIALIZED (SELECT z, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (z))""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, CAST(z AS INT) AS cluster, CAST(m[1] AS BIGINT) AS distance, CAST(sum(m[1]) OVER (PARTITION BY z) AS BIGINT) AS cluster_inertia,
+          CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON z = m[2]"""
+
+
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_kd_filtering": lloyd_sql(),
 }
