@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch sent to Python. Texts can be long, so batches are kept small.
 ARROW_ROWS = 1000
+ARROW_BYTES = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Shrink Arrow batches to ARROW_ROWS rows unless the session asks for fewer already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now > ARROW_ROWS or now <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Shrink Arrow batches to ARROW_ROWS rows and ARROW_BYTES bytes unless the session asks for less already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
