@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, kd_means, language_id, lexicon_print, main_text, packing, periodic_runs, quality, toxicity, word_bpe
-from skylattice.runtime import prepare, table
+from skylattice import runtime
+from skylattice.llm import bag_minhash, exact_dedup, fuzzy_lines, kd_means, language_id, lexicon_print, main_text, packing, periodic_runs, quality, toxicity, warc, word_bpe
+from skylattice.runtime import prepare, shared_dir, table
 
 
 def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,15 @@ def op12_kd_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_means.digested(kd_means.clusters(table(prepare(spark), sf_dir, "embeddings")))
 
 
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages in the shared folder, read back through their merged index. Pages have no time: a second an id from 2024 on stands for it."""
+    path = f"{shared_dir(prepare(spark))}/skylattice/warc-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.pmod("page_id", F.lit(100_000_000)), F.lit(0)))
+    warc.write_archives(table(spark, sf_dir, "pages"), path, at=at)
+    found = warc.histories(runtime.written(warc.runs(spark, path), "captures"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_bitmask_language_id": op2_bitmask_language_id,
@@ -72,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_kd_filtering": op12_kd_filtering,
+    "op13_warc_index": op13_warc_index,
 }
 
 def lloyd_sql(dim: int = 64, k: int = 16, rounds: int = 3, scale: int = 64, seed: int = 1) -> str:
@@ -98,4 +111,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
     "op12_kd_filtering": lloyd_sql(),
+    "op13_warc_index": rf"""
+        WITH t AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS payload_bytes, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last,
+            lower(regexp_extract(url, '^[A-Za-z0-9+.-]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z0-9+.-]+://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+          k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key FROM t)
+        SELECT page_id, payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}', 1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31 AS INT), 1)), '') AS payload_digest,
+          CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, url_key,
+          row_number() OVER (ORDER BY url_key, page_id % 100000000, page_id) - 1 AS capture_no FROM k""",
 }
