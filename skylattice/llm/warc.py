@@ -298,7 +298,7 @@ def in_order(found: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
         names = rows.column("archive").to_pylist()
         starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
         order = [starts[run] + i for run, i in merged([keys[a:b] for a, b in zip(starts, [*starts[1:], len(names)])])]
-        done = rows.take(order).append_column("place", pa.array(range(len(order)), pa.int64()))
+        done = rows.take(pa.array(order, pa.int64())).append_column("place", pa.array(range(len(order)), pa.int64()))
         yield from done.combine_chunks().to_batches(runtime.ARROW_ROWS)
 
     dealt = found.repartitionByRange(ranges, *ORDER).sortWithinPartitions("archive", *ORDER)
