@@ -226,7 +226,8 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("a run holds two periods at least")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     words, raw = F.regexp_count("text", F.lit(WORD)), F.col("text").cast("binary").alias("text")
-    few = F.coalesce(words <= min_exp * lags, F.lit(True))
+    # a word and the space after it are two bytes at least, so most texts are known to be short without counting
+    few = F.when(F.octet_length("text") < 2 * min_exp * lags, True).otherwise(F.coalesce(words <= min_exp * lags, F.lit(True)))
     here = short_texts(rows.where(few).select("doc_id", raw), min_exp, min_len)
     there = long_texts(rows.where(~few).select("doc_id", words.cast("long").alias("n_words"), raw), min_exp, min_len, lags)
     return here.unionByName(there).withColumn("collapsed", F.col("collapsed").cast("string"))
