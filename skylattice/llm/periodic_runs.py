@@ -236,16 +236,23 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def with_planted(docs: DataFrame) -> DataFrame:
     """doc_id and text, where of one in ten documents (by the CRC-32 of the id) the words from a place on repeat a part of them."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    split_up = docs.select("doc_id", "text", hashed.alias("h"), F.floor(hashed / 10).alias("g"))
-    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    n = F.size("words")
-    placed = split_up.withColumn("words", words).withColumn("a", F.when(n > 0, F.col("g") % n))
-    placed = placed.withColumn("p", F.floor((n - F.col("a")) / (3 + F.col("g") % 8)) + 1)
-    head = F.slice("words", F.lit(1), F.col("a").cast("int"))
-    part = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
-    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
-    made = F.slice(F.concat(head, F.flatten(F.array_repeat(part, times))), F.lit(1), n)
-    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+    def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = (text or b"").split()
+                if words:
+                    a = g % len(words)
+                    p = 1 + (len(words) - a) // (3 + g % 8)
+                    words = words[:a] + (words[a : a + p] * (len(words) // p + 1))[: len(words) - a]
+                made.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "text"])
+
+    chosen = F.coalesce(hashed % 10 == 0, F.lit(False))
+    some = docs.where(chosen).select("doc_id", F.col("text").cast("binary"), F.floor(hashed / 10).alias("g"))
+    done = some.mapInArrow(planted, "doc_id long, text binary").select("doc_id", F.col("text").cast("string"))
+    return docs.where(~chosen).select(F.col("doc_id").cast("long"), "text").unionByName(done)
 
 
 def digested(found: DataFrame) -> DataFrame:
