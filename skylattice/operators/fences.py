@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import METRES
+from skylattice.operators.overlap import overlapping
 from skylattice.operators.spatial_join import SIDES, meeting_rectangles, points_in_rectangles
 
 #: Kinds of fences; a new fence of a kind must not meet fences of the kinds listed.
@@ -128,3 +129,55 @@ def conflicts(new: DataFrame, fences: DataFrame, width: float = 0.5) -> DataFram
 def of_project(fences: DataFrame, area: DataFrame, kinds: tuple[int, ...] = (NO_FLY, TRIAL), width: float = 0.5) -> DataFrame:
     """Fences of some kinds that meet a project's area: area(project_id, sides), fences(fence_type, sides, ...)."""
     return meeting_rectangles(fences.where(F.col("fence_type").isin(*kinds)), area.select("project_id", *SIDES), width)
+
+
+def polygon_conflicts(new: DataFrame, fences: DataFrame, width: float = 0.25) -> DataFrame:
+    """new_id and area_id of new fences (new_id, fence_type, polygons) and others (area_id, fence_type, polygons) that they share a point with and must not."""
+    pairs = []
+    for kind, others in FORBIDDEN.items():
+        if others:
+            own, there = new.where(F.col("fence_type") == kind), fences.where(F.col("fence_type").isin(*others))
+            pairs.append(overlapping(own, F.col("new_id"), there, F.col("area_id"), width))
+    found = pairs[0]
+    for p in pairs[1:]:
+        found = found.unionByName(p)
+    return found.select(F.col("left").alias("new_id"), F.col("right").alias("area_id")).distinct()
+
+
+def polygons_of_project(fences: DataFrame, areas: DataFrame, kinds: tuple[int, ...] = (NO_FLY, TRIAL), width: float = 0.25) -> DataFrame:
+    """project_id and the fences of some kinds whose polygons share a point with the project's area: areas(project_id, polygons), fences(area_id, fence_type, polygons, ...)."""
+    chosen = fences.where(F.col("fence_type").isin(*kinds))
+    pairs = overlapping(areas, F.col("project_id"), chosen, F.col("area_id"), width)
+    return pairs.select(F.col("left").alias("project_id"), F.col("right").alias("area_id")).join(chosen, "area_id")
+
+
+def save_project_fences(found: DataFrame, schema: str, projects: list[str] | None = None) -> list[str]:
+    """Replace the fences of the projects in polygons_of_project() in `schema.gis_electric_fence`, partitioned by project; others stay.
+
+    projects: those to have a view of their own, named `gis_electric_fence_{project_id}`. Returns the views' names.
+    """
+    bad = [p for p in projects or [] if not p.replace("_", "").isalnum()]
+    if bad:
+        raise ValueError(f"no name for a table: {bad[0]}")
+    spark = found.sparkSession
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    table, ordered = f"{schema}.gis_electric_fence", [c for c in found.columns if c != "project_id"] + ["project_id"]
+    writer = found.select(*ordered).withColumn("project_id", F.col("project_id").cast("string")).repartition("project_id", F.col("area_id") % 8)
+    if spark.catalog.tableExists(table):
+        mode = "spark.sql.sources.partitionOverwriteMode"  # insertInto() reads it from the session only
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            writer.write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(mode, before)
+        left = {r[0] for r in found.where(F.col("project_id").cast("string").isin(projects)).select(F.col("project_id").cast("string")).distinct().collect()} if projects else set()
+        for p in set(projects or []) - left:  # named projects that no fence meets any more
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (project_id = '{p}')")
+    else:
+        writer.write.partitionBy("project_id").saveAsTable(table)
+    made = []
+    for p in projects or []:
+        spark.sql(f"CREATE OR REPLACE VIEW {schema}.gis_electric_fence_{p} AS SELECT * FROM {table} WHERE project_id = '{p}'")
+        made.append(f"{schema}.gis_electric_fence_{p}")
+    return made
