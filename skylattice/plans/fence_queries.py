@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.operators import fences
+from skylattice.operators import fences, flight
 from skylattice.plans import derived
-from skylattice.plans.derived import SQL_RING
+from skylattice.plans.derived import BOUNDS, FINE, SQL_RING, sql_grid
 from skylattice.plans.geo_queries import query
 
 # Fences against fences
@@ -55,3 +55,76 @@ def fence_project_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No-fly and trial fences that share a point with a project's area."""
     areas = new_fences(spark, sf_dir).select(F.col("new_id").alias("project_id"), "polygons")
     return fences.polygons_of_project(derived.fences(spark, sf_dir), areas).select("project_id", "area_id", "fence_type")
+
+# Flight plans
+
+#: Nodes 50 km apart in three layers; a smooth plan climbs one degree at most, so a climb takes two cells.
+LATTICE = flight.Lattice(BOUNDS, FINE, [100.0, 1600.0, 3100.0], True, 1.0)
+_HEIGHT = "1000e0+(area_id%4)*800e0"
+_REACH, _SEARCH = 32, 3
+
+
+def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences that plans keep out of (no-fly and controlled), with heights."""
+    return derived.fences(spark, sf_dir).where("fence_type IN (1, 2)").select("area_id", "polygons", F.expr(_HEIGHT).alias("height"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan from end to end of each route, and one that begins far outside."""
+    asked = runtime.table(spark, sf_dir, "nation").selectExpr(*derived.ROUTES.split(", "))
+    far = F.when(F.col("route_id") % 10 == 9, F.col("y1") - 20).otherwise(F.col("y1"))
+    return asked.select("route_id", far.alias("lat"), F.col("x1").alias("lng"), F.lit(50.0).alias("alt"), F.col("y2").alias("lat2"), F.col("x2").alias("lng2"), F.lit(50.0).alias("alt2"))
+
+
+def _flat(a: str, b: str) -> str:
+    return f"sqrt(power(({b}.lat-{a}.lat)*111000e0,2)+power(({b}.lng-{a}.lng)*111000e0*cos(radians(({a}.lat+{b}.lat)/2)),2))"
+
+
+def _sql_cut(lines: str, key: str, name: str) -> str:
+    """`name`: keys of lines (x1, y1, x2, y2, low) that a fence higher than low touches or holds the beginning of."""
+    return f"""{name} AS MATERIALIZED (SELECT DISTINCT {key} FROM {lines} p, wall e WHERE height>low AND {_TOUCH}
+      UNION SELECT {key} FROM (SELECT {key}, e.area_id FROM {lines} p, wall e WHERE height>low AND {_CUTS.format(e='e', x='p.x1', y='p.y1')} GROUP BY ALL HAVING count(*)%2=1))"""
+
+
+def _sql_near(lat: str, lng: str, alt: str) -> str:
+    south, north, west, east = BOUNDS
+    place = f"(SELECT route_id, {lat} AS lat, {lng} AS lng, {alt} AS alt FROM asked)"
+    return f"""SELECT p.route_id, min(row(CAST(round(sqrt(power({_flat('p', 'q')},2)+power(q.alt-p.alt,2))*1000) AS BIGINT), node)) AS m
+      FROM {place} p, grid_n, free q WHERE abs(q.i-floor(({north}e0-p.lat)/(({north}e0-{south}e0)/nl)))<={_SEARCH} AND abs(q.j-floor((p.lng-{west}e0)/(({east}e0-{west}e0)/ng)))<={_SEARCH} GROUP BY p.route_id"""
+
+
+_FOLLOWS = "({b}.h=-9 OR (abs((({a}.h-{b}.h+4)%8+8)%8-4)<=1 AND {a}.v*{b}.v>=0))"
+_SQL_LATTICE = f"""{SQL_RING}, {sql_grid(FINE)},
+    wall AS MATERIALIZED (SELECT edge.*, {_HEIGHT} AS height FROM edge WHERE area_id%3+1 IN (1, 2)),
+    held AS (SELECT idx, max(height) AS top FROM (SELECT idx, area_id, height FROM grid p, wall e WHERE {_CUTS.format(e='e', x='p.lng', y='p.lat')} GROUP BY ALL HAVING count(*)%2=1) GROUP BY idx),
+    free AS MATERIALIZED (SELECT (idx-1)*{len(LATTICE.altitudes)}+k AS node, (idx-1)//ng AS i, (idx-1)%ng AS j, k, lat, lng, alt
+      FROM grid LEFT JOIN held USING (idx), grid_n, (VALUES {', '.join(f'({k}, {a!r}e0)' for k, a in enumerate(LATTICE.altitudes))}) AS t(k, alt) WHERE top IS NULL OR alt>=top),
+    moved AS MATERIALIZED (SELECT p.node AS a, q.node AS b, h, v, p.lng AS x1, p.lat AS y1, q.lng AS x2, q.lat AS y2, least(p.alt, q.alt) AS low, CAST(round(sqrt(power({_flat('p', 'q')},2)+power(q.alt-p.alt,2))*1000) AS BIGINT) AS mm
+      FROM free p JOIN (VALUES {', '.join(map(str, LATTICE.moves()))}) AS t(k, h, v, di, dj, dk) USING (k) JOIN free q ON q.i=p.i+di AND q.j=p.j+dj AND q.k=p.k+dk),
+    {_sql_cut('moved', 'a, b', 'cut')},
+    link AS MATERIALIZED (SELECT a, b, h, v, mm FROM moved ANTI JOIN cut USING (a, b))"""
+_SQL_WAYS = f"""asked AS (SELECT route_id, CASE WHEN route_id%10=9 THEN y1-20 ELSE y1 END AS lat, x1 AS lng, 50e0 AS alt, y2 AS lat2, x2 AS lng2, 50e0 AS alt2 FROM (SELECT {derived.ROUTES} FROM nation)),
+    ends AS MATERIALIZED (SELECT a.route_id, a.m[2] AS first, b.m[2] AS last FROM ({_sql_near('lat', 'lng', 'alt')}) a JOIN ({_sql_near('lat2', 'lng2', 'alt2')}) b USING (route_id)),
+    d(route_id, node, h, v, mm) USING KEY (route_id, node, h, v) AS (SELECT route_id, first, -9, -9, CAST(0 AS BIGINT) FROM ends
+      UNION SELECT n.* FROM (SELECT d.route_id, l.b AS node, l.h, l.v, min(d.mm+l.mm) AS mm FROM d JOIN link l ON l.a=d.node AND {_FOLLOWS.format(a='l', b='d')} GROUP BY ALL) n
+        LEFT JOIN recurring.d AS o ON o.route_id=n.route_id AND o.node=n.node AND o.h=n.h AND o.v=n.v WHERE o.mm IS NULL OR n.mm<o.mm),
+    state AS MATERIALIZED (SELECT * FROM d),
+    prev AS MATERIALIZED (SELECT s.route_id, s.node, s.h, s.v, min(row(p.node, p.h, p.v)) AS m FROM state p JOIN link l ON l.a=p.node AND {_FOLLOWS.format(a='l', b='p')}
+      JOIN state s ON s.route_id=p.route_id AND s.node=l.b AND s.h=l.h AND s.v=l.v AND s.mm=p.mm+l.mm GROUP BY ALL),
+    back(route_id, node, h, v, pos) AS (SELECT route_id, m[2], m[3], m[4], 0 FROM (SELECT s.route_id, min(row(mm, node, h, v)) AS m FROM state s JOIN ends ON ends.route_id=s.route_id AND last=node GROUP BY s.route_id)
+      UNION ALL SELECT b.route_id, m[1], m[2], m[3], pos+1 FROM back b JOIN prev p ON p.route_id=b.route_id AND p.node=b.node AND p.h=b.h AND p.v=b.v),
+    way AS MATERIALIZED (SELECT route_id, max(pos) OVER (PARTITION BY route_id)-pos AS step, lat, lng, alt FROM back JOIN free USING (node))"""
+_SQL_PULLED = f"""pair AS MATERIALIZED (SELECT a.route_id, a.step, b.step AS dest, a.lng AS x1, a.lat AS y1, b.lng AS x2, b.lat AS y2, least(a.alt, b.alt) AS low, abs(a.alt-b.alt)<={LATTICE.tan * (1 + 1e-9)!r}*{_flat('a', 'b')} AS flat
+      FROM way a JOIN way b ON a.route_id=b.route_id AND b.step BETWEEN a.step+1 AND a.step+{_REACH}),
+    {_sql_cut('pair', 'route_id, step, dest', 'hidden')},
+    onward AS MATERIALIZED (SELECT route_id, step, max(dest) AS dest FROM (SELECT route_id, step, dest FROM pair WHERE dest=step+1 UNION ALL SELECT route_id, step, dest FROM pair ANTI JOIN hidden USING (route_id, step, dest) WHERE flat) GROUP BY ALL),
+    stay(route_id, step) AS (SELECT route_id, step FROM way WHERE step=0 UNION ALL SELECT s.route_id, dest FROM stay s JOIN onward o ON o.route_id=s.route_id AND o.step=s.step),
+    point AS (SELECT way.* FROM way JOIN stay USING (route_id, step) UNION ALL SELECT route_id, -1, lat, lng, alt FROM asked UNION ALL SELECT route_id, 1000000, lat2, lng2, alt2 FROM asked)"""
+
+
+@query(f"""WITH RECURSIVE {_SQL_LATTICE}, {_SQL_WAYS}, {_SQL_PULLED}
+    SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY step)-1 AS step, round(lat, 6) AS lat, round(lng, 6) AS lng, alt, route_id IN (SELECT route_id FROM way) AS found FROM point""")
+def flight_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smooth plans of all routes over BOUNDS in three layers, around fences with heights, pulled straight."""
+    made = flight.plans(spark, requests(spark, sf_dir), LATTICE, heights(spark, sf_dir), _SEARCH, _REACH)
+    return made.select("route_id", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "alt", "found")
