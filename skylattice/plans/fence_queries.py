@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.operators import fences, flight
+from skylattice.operators import buffer, fences, flight
 from skylattice.plans import derived
-from skylattice.plans.derived import BOUNDS, FINE, SQL_RING, sql_grid
+from skylattice.plans.derived import BOUNDS, FINE, SQL_POI, SQL_RING, sql_grid
 from skylattice.plans.geo_queries import query
 
 # Fences against fences
@@ -56,6 +56,28 @@ def fence_project_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = new_fences(spark, sf_dir).select(F.col("new_id").alias("project_id"), "polygons")
     return fences.polygons_of_project(derived.fences(spark, sf_dir), areas).select("project_id", "area_id", "fence_type")
 
+# Grown fences
+
+_GROW, _QUARTER = 2_000.0, 64
+_CHORDS = -(-10 * _QUARTER // 90)  # of an arc of 10 degrees, at each of the 36 corners of a zone
+_NEAR = "greatest(0e0, least(1e0, ((lng-x1)*s*(x2-x1)*s+(lat-y1)*(y2-y1))/(power((x2-x1)*s,2)+power(y2-y1,2))))"
+
+
+@query(f"""WITH {SQL_RING}, {SQL_POI}, m AS (SELECT e.*, cos(radians((lat_min+lat_max)/2)) AS s, (lng_min+lng_max)/2 AS x0, (lat_min+lat_max)/2 AS y0 FROM edge e JOIN box USING (area_id)),
+    whole AS (SELECT area_id, sum(((x1-x0)*(y2-y0)-(x2-x0)*(y1-y0))*s)/2*111000e0*111000e0 AS area, sum(sqrt(power((x2-x1)*s,2)+power(y2-y1,2)))*111000e0 AS length FROM m GROUP BY area_id),
+    away AS (SELECT area_id, poi_id, sqrt(power((lng-x1-{_NEAR}*(x2-x1))*s,2)+power(lat-y1-{_NEAR}*(y2-y1),2))*111000e0 AS d, ((y1>lat)<>(y2>lat)) AND lng<(x2-x1)*(lat-y1)/nullif(y2-y1, 0e0)+x1 AS cuts FROM m, poi),
+    near AS (SELECT area_id, count(*) AS n FROM (SELECT area_id FROM away GROUP BY area_id, poi_id HAVING min(d)<={_GROW!r}e0 OR count_if(cuts)%2=1) GROUP BY area_id)
+    SELECT area_id, round((area+length*{_GROW!r}e0+36*{_CHORDS}*power({_GROW!r}e0,2)*sin(radians(10e0/{_CHORDS}))/2)/1e4) AS hectares, coalesce(n, 0) AS n_points,
+      greatest(0e0, (area_id%5)*1e3-{_GROW!r}e0) AS low_m, (area_id%5)*1e3+{_GROW!r}e0+500e0 AS high_m FROM whole LEFT JOIN near USING (area_id)""")
+def fence_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fence grown by 2 km: its area, the points in it, and its heights."""
+    low = (F.col("area_id") % 5) * 1e3
+    there = runtime.written(buffer.grown_solid(derived.fences(spark, sf_dir), _GROW, low, low + 500, _QUARTER), "grown")
+    points = fences.points_in_fences(derived.poi(spark, sf_dir), there.select("area_id", "polygons", "lat_min", "lat_max", "lng_min", "lng_max"))
+    found = there.join(points.groupBy("area_id").agg(F.count("*").alias("n_points")), "area_id", "left").na.fill(0, ["n_points"])
+    return found.select("area_id", F.round(F.col("area_m2") / 1e4).alias("hectares"), "n_points", "low_m", "high_m")
+
+
 # Flight plans
 
 #: Nodes 50 km apart in three layers; a smooth plan climbs one degree at most, so a climb takes two cells.
