@@ -72,9 +72,49 @@ def in_order(uses: Mapping[str, set[str]]) -> list[str]:
     return found
 
 
+def relations(spark: SparkSession, body: str) -> set[tuple[str, ...]]:
+    """The tables and views that a statement reads, by their parts of names, as Spark's parser finds them: not its common table expressions, nor names in literals or comments."""
+    found: set[tuple[str, ...]] = set()
+
+    def items(seq: object) -> list:
+        it = seq.iterator()
+        return [it.next() for _ in iter(it.hasNext, False)]
+
+    def walk(node: object, named: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            parts = tuple(str(p).lower() for p in items(node.multipartIdentifier()))
+            if len(parts) > 1 or parts[0] not in named:
+                found.add(parts)
+        elif kind == "UnresolvedWith":
+            for cte in items(node.cteRelations()):  # each sees those before it
+                walk(cte._2(), named)
+                named = named | {str(cte._1()).lower()}
+        for child in items(node.children()):
+            walk(child, named)
+        if hasattr(node, "expressions") and kind.isidentifier():
+            for e in items(node.expressions()) if _is_plan(node) else []:
+                walk(e, named)
+        if not _is_plan(node) and _holds_plan(node):
+            walk(node.plan(), named)
+
+    sub = spark._jvm.org.apache.spark.sql.catalyst
+
+    def _is_plan(node: object) -> bool:
+        return spark._jvm.java.lang.Class.forName(sub.plans.logical.LogicalPlan._fqn).isInstance(node)
+
+    def _holds_plan(node: object) -> bool:
+        return spark._jvm.java.lang.Class.forName(sub.expressions.SubqueryExpression._fqn).isInstance(node)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(body), frozenset())
+    return found
+
+
 def sync_views(spark: SparkSession, bodies: Mapping[str, str], target: str) -> list[str]:
-    """Create views from their SELECT statements, each after the views it names; the order taken. A name without a schema means one of the target's."""
-    order = in_order({n: {o for o in bodies if o != n and o in body.replace(",", " ").replace("(", " ").replace(")", " ").replace(".", " ").split()} for n, body in bodies.items()})
+    """Create views from their SELECT statements, each after the views it reads; the order taken. A name without a schema means one of the target's."""
+    low = {n.lower(): n for n in bodies}
+    own = lambda parts: parts[-1] in low and (len(parts) == 1 or parts[-2] == target.split(".")[-1].lower())
+    order = in_order({n: {low[p[-1]] for p in relations(spark, body) if own(p)} for n, body in bodies.items()})
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {target}")
     before = spark.catalog.currentDatabase()
     spark.catalog.setCurrentDatabase(target)
