@@ -1,15 +1,18 @@
-"""Queries over fences as polygons, grown fences and flight plans, each with its DuckDB SQL."""
+"""Queries over fences as polygons, grown fences, flight plans and upserts at size, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.operators import buffer, fences, flight
 from skylattice.plans import derived
-from skylattice.plans.derived import BOUNDS, FINE, SQL_POI, SQL_RING, sql_grid
+from skylattice.plans.derived import BOUNDS, FINE, SQL_EVENTS, SQL_POI, SQL_RING, sql_grid
 from skylattice.plans.geo_queries import query
+from skylattice.sources import merge
 
 # Fences against fences
 
@@ -150,3 +153,18 @@ def flight_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smooth plans of all routes over BOUNDS in three layers, around fences with heights, pulled straight."""
     made = flight.plans(spark, requests(spark, sf_dir), LATTICE, heights(spark, sf_dir), _SEARCH, _REACH)
     return made.select("route_id", "step", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "alt", "found")
+
+
+# Upserts at size
+
+
+@query(f"""WITH {SQL_EVENTS}, w AS (SELECT *, k IS NOT NULL AND k<>'' AS whole FROM ev)
+    SELECT event_id, k, round(value, 6) AS value FROM w WHERE NOT whole
+    UNION ALL SELECT event_id, k, round(value, 6) FROM (SELECT * FROM w WHERE whole QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE event_id%4 WHEN 0 THEN 1 ELSE 0 END DESC, event_id DESC)=1)""")
+def upsert_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the events by key as a table, then the rest put in or over them: only the parts that they touch are rewritten."""
+    events = derived.events(spark, sf_dir).select("event_id", "k", "value")
+    kept = merge.KeyedTable(spark, f"{runtime.shared_dir(spark)}/skylattice/events-{uuid.uuid4().hex}", ["k"], "event_id", parts=16)
+    kept.create(events.where("event_id % 4 <> 0"))
+    kept.upsert(events.where("event_id % 4 = 0"))
+    return kept.read().select("event_id", "k", F.round("value", 6).alias("value"))
