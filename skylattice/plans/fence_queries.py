@@ -1,4 +1,4 @@
-"""Queries over fences as polygons, grown fences, flight plans and upserts at size, each with its DuckDB SQL."""
+"""Queries over fences as polygons, grown fences, flight plans, upserts at size and signatures, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.operators import buffer, fences, flight
+from skylattice.operators import buffer, fences, flight, signatures
 from skylattice.plans import derived
 from skylattice.plans.derived import BOUNDS, FINE, SQL_EVENTS, SQL_POI, SQL_RING, sql_grid
 from skylattice.plans.geo_queries import query
@@ -168,3 +168,63 @@ def upsert_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept.create(events.where("event_id % 4 <> 0"))
     kept.upsert(events.where("event_id % 4 = 0"))
     return kept.read().select("event_id", "k", F.round("value", 6).alias("value"))
+
+
+# Signatures of routines
+
+_ARGS = (
+    "", "p_id int4 DEFAULT 0, VARIADIC names varchar(20)[]", "IN a numeric(10,2) = 3.5, OUT b text, INOUT c timestamp(3) with time zone", "a text DEFAULT 'x, y (z'::text, b date DEFAULT now()",
+    '"My, name" my_type, double precision', "a int8[][], b bool",
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_types(args: str) -> str:
+    """argument_types() in DuckDB's words."""
+    s = signatures
+    flat = f"regexp_replace(regexp_replace({args}, {_quoted(s.LITERAL)}, '''''', 'g'), {_quoted(s.QUOTED)}, 'q', 'g')"
+    flat = f"lower({flat})"
+    for _ in range(s.DEPTH):
+        flat = f"regexp_replace({flat}, {_quoted(s.BRACKETS)}, '', 'g')"
+    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in s.TYPES.items()) + "}"
+    words = f"regexp_replace(trim(regexp_replace(trim(regexp_replace(a, '\\s+', ' ', 'g')), {_quoted(s.DEFAULT)}, '')), {_quoted(s.MODE)}, '')"
+    bare = f"trim(regexp_replace({words}, {_quoted(s.ARRAY)}, ''))"
+    bare_kind = f"coalesce({known}[{bare}], {known}[regexp_replace({bare}, '^\\S+\\s+', '')], regexp_replace({bare}, '^\\S+\\s+', ''))"
+    one = f"{bare_kind} || CASE WHEN regexp_matches({words}, {_quoted(s.ARRAY)}) THEN '[]' ELSE '' END"
+    return f"list_transform(list_filter(string_split({flat}, ','), lambda a: trim(a)<>'' AND NOT regexp_matches(trim(a), '^out\\s')), lambda a: {one})"
+
+
+_SQL_ARGS = "CASE p_partkey%6 " + " ".join(f"WHEN {i} THEN {_quoted(a)}" for i, a in enumerate(_ARGS)) + " END"
+_SPARK_ARGS = "CASE p_partkey%6 " + " ".join("WHEN {} THEN '{}'".format(i, a.replace("\\", "\\\\").replace("'", "\\'")) for i, a in enumerate(_ARGS)) + " END"
+
+
+@query(f"WITH t AS (SELECT p_partkey AS routine_id, 'f'||(p_partkey%50) AS name, {_SQL_ARGS} AS args FROM part) SELECT routine_id, name||'('||array_to_string({_sql_types('args')}, ', ')||')' AS signature FROM t")
+def routine_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Argument lists as databases print them, as signatures."""
+    routines = runtime.table(spark, sf_dir, "part").selectExpr("p_partkey AS routine_id", "concat('f', p_partkey % 50) AS name", f"{_SPARK_ARGS} AS args")
+    return routines.select("routine_id", signatures.signature(F.col("name"), F.col("args")).alias("signature"))
+
+
+_OVERLOADS = ("a int4", "a int8 DEFAULT 0", "double precision", "x text", "varchar, b text", "text, varchar(9)")
+_PASSED = (("smallint",), ("integer",), ("numeric",), ("character",), ("date",), ("character", "character"), ("text", "character varying"), ())
+_COSTS = " ".join(f"WHEN p='{a}' AND t='{b}' THEN {j - i}" for group in signatures.WIDENING for i, a in enumerate(group) for j, b in enumerate(group) if i < j)
+
+
+@query(f"""WITH routine AS (SELECT n_regionkey AS r, a AS args, {_sql_types('a')} AS types FROM (SELECT DISTINCT n_regionkey FROM nation), (VALUES {', '.join(f'({_quoted(a)})' for a in _OVERLOADS)}) AS t(a)),
+    call AS (SELECT c_custkey AS call_id, c_nationkey%5 AS r, CASE c_custkey%8 {' '.join(f'WHEN {i} THEN {list(p)!r}::VARCHAR[]' for i, p in enumerate(_PASSED))} END AS passed FROM customer),
+    tried AS (SELECT call_id, args, list_transform(list_zip(passed, types), lambda z: z) AS z FROM call JOIN routine USING (r) WHERE len(passed)=len(types)),
+    fit AS (SELECT call_id, args, sum(c) AS cost FROM (SELECT call_id, args, CASE WHEN p=t THEN 0 {_COSTS} END AS c FROM (SELECT call_id, args, unnest(z)[1] AS p, unnest(z)[2] AS t FROM tried)) GROUP BY ALL HAVING count(*)=count(c)),
+    best AS (SELECT call_id, min(args) AS args FROM (SELECT *, min(cost) OVER (PARTITION BY call_id) AS least FROM fit) WHERE cost=least GROUP BY call_id HAVING count(*)=1)
+    SELECT call_id, args FROM call LEFT JOIN best USING (call_id)""")
+def overload_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by types and the overload that each means, if there is one."""
+    schemas = runtime.table(spark, sf_dir, "nation").selectExpr("CAST(n_regionkey AS STRING) AS schema").distinct()
+    routines = schemas.select("schema", F.lit("f").alias("name"), F.explode(F.array(*[F.lit(a) for a in _OVERLOADS])).alias("args"))
+    passed = F.lit(None).cast("array<string>")
+    for i, p in enumerate(_PASSED):
+        passed = F.when(F.col("c_custkey") % 8 == i, F.array(*[F.lit(t) for t in p]).cast("array<string>")).otherwise(passed)
+    calls = runtime.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), (F.col("c_nationkey") % 5).cast("string").alias("schema"), F.lit("f").alias("name"), passed.alias("passed"))
+    return signatures.resolved(calls, routines).select("call_id", "args")
