@@ -1,17 +1,19 @@
-"""Command line: `python -m skylattice types|points|zones|sync ...`. Errors end the run with a status that isn't 0."""
+"""Command line: `python -m skylattice types|points|zones|search|sync ...`. Errors end the run with a status that isn't 0."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import Bounds
+from skylattice.functions.values import EVERYTHING
 from skylattice.operators import catalog, poi, type_tree, zones
-from skylattice.plans import pipelines
-from skylattice.sources import dimensions, sinks
+from skylattice.plans import live, pipelines
+from skylattice.sources import asking, dimensions, sinks
 
 #: Kinds of catalog objects in order of use.
 KINDS = ("tables", "functions", "views")
@@ -61,6 +63,32 @@ def sync(spark: SparkSession, args: argparse.Namespace) -> None:
             print("views:", *catalog.sync_views(spark, catalog.view_bodies(spark, names, args.source), args.target))
 
 
+def search(spark: SparkSession, args: argparse.Namespace) -> dict[str, object]:
+    """A live run; its report."""
+    said = args.keyword[0] if args.keyword else None
+    keywords = [k for k in args.keyword or [] if k and k.strip().strip("'\"").lower() not in EVERYTHING]
+    if args.region:
+        tables = [spark.table(t) if t else None for t in (args.provinces, args.cities)]
+        try:
+            area, level, code, name = live.region(spark, args.region, *tables)
+        except ValueError as e:
+            raise SystemExit(str(e)) from e
+    else:
+        area, level, code, name = bounds(args), "bounds", None, "bounds"
+    configured = dimensions.REGIONS.get(dimensions.REGION_ALIASES.get(args.region, args.region), ())[4:]
+    cell_m = args.cell_m or dimensions.CELL_BY_LEVEL.get(level) or (configured[0] if level == "config" else dimensions.CELL_BY_LEVEL["city"])
+    options = {"url": args.url, "kind": args.provider, "pause_s": str(args.pause_s)} | dict(o.split("=", 1) for o in args.option)
+    run_ = asking.Run(spark, f"{args.folder}/first", options, args.parallel, args.per_batch)
+    second = asking.Run(spark, f"{args.folder}/second", options, args.parallel, args.per_batch) if args.provider == "b" else None
+    live.search(run_, second, area, cell_m, args.provider, keywords)
+    if args.again and run_.again():
+        run_.ask()
+    table = args.table or live.target(args.code or code, keywords, said)
+    report = live.save(live.points(run_, second, args.provider), run_, table, name, level, args.provider, keywords)
+    print(json.dumps(report, ensure_ascii=False))
+    return report
+
+
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="skylattice", description=__doc__)
     sub = main.add_subparsers(dest="command", required=True)
@@ -81,6 +109,24 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--provider", choices=("a", "b"), default="a")
             p.add_argument("--keyword")
             p.add_argument("--city")
+    search = sub.add_parser("search", help="search a region or a rectangle live; a run that was stopped goes on in its folder")
+    search.add_argument("provider", choices=("a", "b"))
+    search.add_argument("url")
+    search.add_argument("folder", help="shared by driver and executors")
+    search.add_argument("--region")
+    for side in Bounds._fields:
+        search.add_argument(f"--{side.replace('_', '-')}", type=float)
+    search.add_argument("--provinces", help="a table with name, code and sides; so --cities")
+    search.add_argument("--cities")
+    search.add_argument("--code", help="of the region, where no table says it")
+    search.add_argument("--table", help="instead of the region's own")
+    search.add_argument("--keyword", action="append", help="several may be given; none or one that asks for everything: all types")
+    search.add_argument("--cell-m", type=float, help="by the region's level unless said")
+    search.add_argument("--option", action="append", default=[], help="name=value of the source: key_env, page_size, paging, headers, ...")
+    search.add_argument("--pause-s", type=float, default=0.2, help="between requests of all tasks together")
+    search.add_argument("--parallel", type=int, default=4)
+    search.add_argument("--per-batch", type=int, default=1000)
+    search.add_argument("--again", action="store_true", help="ask what failed once more")
     sync = sub.add_parser("sync", help="copy tables, functions and views from one schema to another")
     sync.add_argument("source")
     sync.add_argument("target")
@@ -116,6 +162,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         found = zones.features(zones.at_levels(spark.read.schema(zones.SCHEMA).json(args.input)))
         found = pipelines.zones_around(found, *place) if place else pipelines.region_zones(found, area, args.cell_m)
         sinks.save_table(zones.table_rows(found), args.table)
+    elif args.command == "search":
+        search(spark, args)
     else:
         sync(spark, args)
 
