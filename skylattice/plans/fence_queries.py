@@ -1,4 +1,4 @@
-"""Queries over fences as polygons, grown fences, flight plans, upserts at size and signatures, each with its DuckDB SQL."""
+"""Queries over fences as polygons, grown fences, flight plans, upserts at size, signatures, geometry values and layouts, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.operators import buffer, fences, flight, signatures
+from skylattice.functions import wkb
+from skylattice.operators import buffer, fences, flight, signatures, zones
 from skylattice.plans import derived
 from skylattice.plans.derived import BOUNDS, FINE, SQL_EVENTS, SQL_POI, SQL_RING, sql_grid
-from skylattice.plans.geo_queries import query
-from skylattice.sources import merge
+from skylattice.plans.geo_queries import ORACLES, query
+from skylattice.plans.geo_queries import _records as zone_records
+from skylattice.sources import layout, merge
 
 # Fences against fences
 
@@ -228,3 +230,27 @@ def overload_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         passed = F.when(F.col("c_custkey") % 8 == i, F.array(*[F.lit(t) for t in p]).cast("array<string>")).otherwise(passed)
     calls = runtime.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), (F.col("c_nationkey") % 5).cast("string").alias("schema"), F.lit("f").alias("name"), passed.alias("passed"))
     return signatures.resolved(calls, routines).select("call_id", "args")
+
+
+# Geometry values and layouts
+
+_BOXES = "n_nationkey AS box_id, 112.5e0+(n_nationkey%25)/5e0 AS lng_min, 113.1e0+(n_nationkey%25)/5e0 AS lng_max, 31e0+(n_nationkey%7)/2e0 AS lat_min, 31.6e0+(n_nationkey%7)/2e0 AS lat_max"
+
+
+@query(f"""SELECT area_id, 'SRID=4326;'||geom AS geom, '0106000020E6100000' AS head, 13+CASE WHEN geom LIKE '%)),((%' THEN 2 ELSE 1 END*13+16*(length(geom)-length(replace(geom, ' ', ''))) AS n_bytes
+    FROM ({ORACLES['zone_wkt']}) WHERE geom IS NOT NULL""")
+def zone_geometry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every zone's WKT read, written as extended WKB, read again and written as WKT."""
+    rows = zones.table_rows(zones.features(zone_records(spark, sf_dir))).where("geom IS NOT NULL").select("area_id", wkb.from_wkt(F.concat(F.lit("SRID=4326;"), F.col("geom"))).alias("g"))
+    packed = rows.select("area_id", wkb.to_wkb("g").alias("b"))
+    back = packed.select("area_id", "b", wkb.from_wkb("b").alias("g"))
+    return back.select("area_id", wkb.to_wkt(F.col("g")).alias("geom"), F.hex(F.substring("b", 1, 9)).alias("head"), F.octet_length("b").cast("long").alias("n_bytes"))
+
+
+@query(f"WITH {SQL_POI}, b AS (SELECT {_BOXES} FROM nation) SELECT box_id, poi_id FROM poi JOIN b ON lng BETWEEN lng_min AND lng_max AND lat BETWEEN lat_min AND lat_max")
+def points_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points laid out along the curve, and those in boxes found by opening the files that the boxes meet."""
+    path = f"{runtime.shared_dir(spark)}/skylattice/points-{uuid.uuid4().hex}"
+    layout.save(derived.poi(spark, sf_dir), path, BOUNDS, 32)
+    boxes = runtime.table(spark, sf_dir, "nation").selectExpr(*_BOXES.split(", "))
+    return layout.in_boxes(spark, path, boxes).select("box_id", "poi_id")
