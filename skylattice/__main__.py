@@ -1,4 +1,4 @@
-"""Command line: `python -m skylattice types|points|zones|search|sync ...`. Errors end the run with a status that isn't 0."""
+"""Command line: `python -m skylattice types|points|zones|search|copy|sync ...`. Errors end the run with a status that isn't 0."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from skylattice.functions.geo import Bounds
 from skylattice.functions.values import EVERYTHING
 from skylattice.operators import catalog, poi, type_tree, zones
 from skylattice.plans import live, pipelines
-from skylattice.sources import asking, dimensions, sinks
+from skylattice.sources import asking, database, dimensions, map_search, sinks
 
 #: Kinds of catalog objects in order of use.
 KINDS = ("tables", "functions", "views")
@@ -67,6 +67,9 @@ def search(spark: SparkSession, args: argparse.Namespace) -> dict[str, object]:
     """A live run; its report."""
     said = args.keyword[0] if args.keyword else None
     keywords = [k for k in args.keyword or [] if k and k.strip().strip("'\"").lower() not in EVERYTHING]
+    if args.provider == "b" and said is not None and not keywords and said != "":  # provider B has no search for everything: one for each type
+        named = type_tree.keywords(dimensions.type_tree(spark, "b")).orderBy("position").collect()  # a few dozen types
+        keywords = [r["keyword"] for r in named]
     if args.region:
         tables = [spark.table(t) if t else None for t in (args.provinces, args.cities)]
         try:
@@ -95,6 +98,8 @@ def parser() -> argparse.ArgumentParser:
     types = sub.add_parser("types", help="a provider's types as a table")
     types.add_argument("provider", choices=("a", "b"))
     types.add_argument("--table")
+    types.add_argument("--url", help="ask the provider; the shipped types where it fails or has none")
+    types.add_argument("--option", action="append", default=[], help="name=value of the source")
     for name in ("points", "zones"):
         p = sub.add_parser(name, help=f"landed {name} of a region into a table")
         p.add_argument("input", help="JSON lines of records")
@@ -127,6 +132,12 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--parallel", type=int, default=4)
     search.add_argument("--per-batch", type=int, default=1000)
     search.add_argument("--again", action="store_true", help="ask what failed once more")
+    copy = sub.add_parser("copy", help="copy tables from one database to another; the first error stops")
+    copy.add_argument("source", help="JDBC URL; user and password as SOURCE_USER, SOURCE_PASSWORD")
+    copy.add_argument("target", help="JDBC URL; user and password as TARGET_USER, TARGET_PASSWORD")
+    copy.add_argument("tables", nargs="+", help="name, or name:key with a numeric key that deals the rows out")
+    copy.add_argument("--parts", type=int, default=16)
+    copy.add_argument("--probe", help="a query that any database of this kind answers")
     sync = sub.add_parser("sync", help="copy tables, functions and views from one schema to another")
     sync.add_argument("source")
     sync.add_argument("target")
@@ -142,7 +153,12 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     if args.command == "types":
-        flat = type_tree.flatten(dimensions.type_tree(spark, args.provider)).withColumn("provider", F.lit(args.provider))
+        tree = dimensions.type_tree(spark, args.provider)
+        if args.url:
+            map_search.register(spark)
+            options = {"url": args.url, "kind": "types", "requests": json.dumps([{"idx": 1}])} | dict(o.split("=", 1) for o in args.option)
+            tree = dimensions.types_or_shipped(spark.createDataFrame(spark.read.format("map_search").options(**options).load().collect(), map_search.SCHEMA), args.provider)  # a few dozen types, asked once
+        flat = type_tree.flatten(tree).withColumn("provider", F.lit(args.provider))
         if args.table:
             sinks.save_table(flat, args.table)
         flat.orderBy("type_code").show(1000, truncate=False)
@@ -164,6 +180,12 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         sinks.save_table(zones.table_rows(found), args.table)
     elif args.command == "search":
         search(spark, args)
+    elif args.command == "copy":
+        ends = [database.Database(spark, url, prefix, args.probe) for url, prefix in ((args.source, "SOURCE"), (args.target, "TARGET"))]
+        try:
+            database.copy_tables(*ends, [(n, k or None) for n, _, k in (t.partition(":") for t in args.tables)], args.parts).show(1000, truncate=False)
+        except (ConnectionError, database.Stopped) as e:
+            raise SystemExit(str(e)) from e
     else:
         sync(spark, args)
 

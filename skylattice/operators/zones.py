@@ -80,3 +80,20 @@ def table_rows(found: DataFrame, region: dict[str, str | None] | None = None, ho
     constant = [F.lit(region.get(c)).cast("string").alias(c) for c in ("shiid", "shicode", "shiname", "shengcode", "shengid", "shengname")]
     own = [F.col(c).alias({"description": "descriptio", "data_source": "data_sourc"}.get(c, c)) for c in PROPERTIES]
     return found.select(*own, *constant, wkt.alias("geom"))
+
+
+def with_lookup(rows: DataFrame, lookup: DataFrame, key: str = "city") -> DataFrame:
+    """table_rows() with the region's codes of lookup(name, shiid, shicode, ...): by the name of each zone's city, or all but the last letter of the looked-up name as its beginning.
+
+    Of several the name itself counts before its beginning, then the longer, then the one that sorts first. Rows without one keep what they have.
+    A lookup has a row a city, and zones are joined with it by the first letter, so that no zone meets all of them.
+    """
+    columns = [c for c in lookup.columns if c != "name"]
+    named = lookup.select(F.trim("name").alias("_name"), *[F.col(c).cast("string").alias(f"_{c}") for c in columns]).where("_name <> ''")
+    stem = F.expr("substring(_name, 1, greatest(length(_name) - 1, 1))")
+    mine = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", F.trim(key))
+    near = mine.select("_id", "_own").where("_own <> ''").join(named, F.substring("_own", 1, 1) == F.substring("_name", 1, 1)).where((F.col("_own") == F.col("_name")) | F.col("_own").startswith(stem))
+    order = F.struct((F.col("_own") != F.col("_name")).alias("other"), (-F.length("_name")).alias("short"), F.col("_name"), *[F.col(f"_{c}") for c in columns])
+    best = near.groupBy("_id").agg(F.min(order).alias("_best"))
+    joined = mine.join(best, "_id", "left")
+    return joined.select(*[F.coalesce(F.col(f"_best._{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])

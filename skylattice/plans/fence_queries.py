@@ -11,7 +11,7 @@ from skylattice import runtime
 from skylattice.functions import wkb
 from skylattice.operators import buffer, fences, flight, signatures, zones
 from skylattice.plans import derived
-from skylattice.plans.derived import BOUNDS, FINE, SQL_EVENTS, SQL_POI, SQL_RING, sql_grid
+from skylattice.plans.derived import BOUNDS, FINE, SQL_EVENTS, SQL_POI, SQL_RING, SQL_ZONES, sql_grid
 from skylattice.plans.geo_queries import ORACLES, query
 from skylattice.plans.geo_queries import _records as zone_records
 from skylattice.sources import layout, merge
@@ -254,3 +254,16 @@ def points_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout.save(derived.poi(spark, sf_dir), path, BOUNDS, 32)
     boxes = runtime.table(spark, sf_dir, "nation").selectExpr(*_BOXES.split(", "))
     return layout.in_boxes(spark, path, boxes).select("box_id", "poi_id")
+
+
+_CITY = "CASE area_id%4 WHEN 0 THEN n_name WHEN 1 THEN n_name||' CITY' WHEN 2 THEN 'NOWHERE' END"
+
+
+@query(f"""WITH {SQL_ZONES}, z AS (SELECT area_id, {_CITY} AS city FROM zones JOIN nation ON n_nationkey=area_id%25),
+    near AS (SELECT area_id, n_nationkey FROM z JOIN nation ON city=n_name OR starts_with(city, left(n_name, length(n_name)-1)) QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY city<>n_name, -length(n_name), n_name)=1)
+    SELECT area_id, city, CAST(n_nationkey AS VARCHAR) AS shicode FROM z LEFT JOIN near USING (area_id)""")
+def zone_region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with the codes of their cities from a table, by name or its beginning."""
+    nation = runtime.table(spark, sf_dir, "nation")
+    own = derived.zones(spark, sf_dir).join(nation, F.col("area_id") % 25 == F.col("n_nationkey")).selectExpr("area_id", f"{_CITY} AS city", "CAST(NULL AS STRING) AS shicode")
+    return zones.with_lookup(own, nation.selectExpr("n_name AS name", "n_nationkey AS shicode"))

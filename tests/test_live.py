@@ -28,6 +28,9 @@ class Handler(BaseHTTPRequestHandler):
         post = json.loads(q["postStr"]) if "postStr" in q else None
         with self.lock:
             Handler.seen[self.path] += 1
+        if "polygon" not in q and not post:
+            self.send_error(404)
+            return
         box = (post.get("polygon") or post.get("mapBound")) if post else q["polygon"]
         sides = [float(x) for x in box.split(",")]
         west, east, south, north = min(sides[::2]), max(sides[::2]), min(sides[1::2]), max(sides[1::2])
@@ -149,3 +152,20 @@ def test_command_for_provider_b(spark, tmp_path, url, capsys):
     assert sum(Handler.seen.values()) == before
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["saved"] == 100
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_types_are_asked_for(spark, url, capsys):
+    name = f"t{uuid.uuid4().hex[:8]}"
+    run(spark, ["types", "a", "--url", url + "/types", "--table", name])  # no types there: the shipped ones
+    assert spark.table(name).count() > 10
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_everything_of_provider_b_is_a_search_for_each_type(spark, tmp_path, url, capsys):
+    name = f"t{uuid.uuid4().hex[:8]}"
+    box = ["--lat-min", "34", "--lat-max", "34.2", "--lng-min", "113", "--lng-max", "113.2", "--cell-m", "50000"]
+    run(spark, ["search", "b", url, f"file://{tmp_path}/b", *box, "--keyword", "all", "--table", name, "--pause-s", "0", "--parallel", "8"])
+    asked = {json.loads(parse_qs(urlparse(s).query)["postStr"][0]).get("keyWord") for s in Handler.seen}
+    assert len(asked) > 20
+    assert None not in asked
+    spark.sql(f"DROP TABLE {name}")
