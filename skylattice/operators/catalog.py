@@ -11,6 +11,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.sources.sinks import save_table
+
 log = logging.getLogger(__name__)
 OBJECTS = "schema string, name string, kind string"
 
@@ -54,8 +56,9 @@ def sync_tables(spark: SparkSession, names: Iterable[str], source: str, target:
     done = []
     for name in names:
         began = time.perf_counter()
-        spark.table(f"{source}.{name}").write.mode("overwrite" if clean else "append").saveAsTable(f"{target}.{name}")
-        done.append((name, spark.table(f"{target}.{name}").count(), time.perf_counter() - began))
+        before = 0 if clean or not spark.catalog.tableExists(f"{target}.{name}") else spark.table(f"{target}.{name}").count()
+        wrote = save_table(spark.table(f"{source}.{name}"), f"{target}.{name}", mode="overwrite" if clean else "append")  # counted as they are written
+        done.append((name, before + wrote, time.perf_counter() - began))
         log.info("copied %s: %d rows in %.2f s", *done[-1])
     return spark.createDataFrame(done, "name string, rows long, seconds double")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.geo import METRES
 from skylattice.operators.spatial_join import bucket, points_in_rectangles
 
 #: Degrees that bucket borders are widened by, against rounding.
@@ -90,3 +91,44 @@ def lines_across(lines: DataFrame, key: Column, fences: DataFrame, fence_key: Co
     there = pieces(fences, fence_key, F.col("polygons"))
     starts = own.select(F.col("key").alias("left"), F.col("x1").alias("x"), F.col("y1").alias("y"))
     return touching(own, there, width).unionByName(holding(starts, there, width)).distinct()
+
+
+def gap_m(a: str, b: str, shrink: Column) -> Column:
+    """The least distance in metres of the ends of one piece (alias) to another piece, planar; shrink: the cosine that scales longitudes."""
+    x1, y1, x2, y2 = (F.col(f"{a}.{c}") for c in ("x1", "y1", "x2", "y2"))
+    dx, dy = (x2 - x1) * shrink, y2 - y1
+
+    def of(x: Column, y: Column) -> Column:
+        along = F.coalesce(((x - x1) * shrink * dx + (y - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+        t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        px, py = (x - x1) * shrink - t * dx, y - y1 - t * dy
+        return px * px + py * py
+
+    return F.sqrt(F.least(of(F.col(f"{b}.x1"), F.col(f"{b}.y1")), of(F.col(f"{b}.x2"), F.col(f"{b}.y2")))) * METRES
+
+
+def lines_near(lines: DataFrame, key: Column, fences: DataFrame, fence_key: Column, metres: float, width: float = 0.25) -> DataFrame:
+    """Distinct left (key of lines with `line`, an array of [lng, lat]) and right (key of fences with `polygons`) of lines that come within so many metres of a fence, or enter it.
+
+    Pieces of both sides meet in the buckets of the lines' pieces, grown by the distance, and are measured with plain arithmetic. A lone point counts
+    as a piece without length. The cosine is that of the middle of the line's box.
+    """
+    point = F.when(F.size("line") == 1, F.concat("line", "line")).otherwise(F.col("line"))
+    lat = F.transform("line", lambda p: F.get(p, F.lit(1)))
+    of = lines.select(F.struct(key.alias("key"), F.cos(F.radians((F.array_min(lat) + F.array_max(lat)) / 2)).alias("shrink")).alias("k"), F.array(F.array(point)).alias("polygons"))
+    own, there = pieces(of, F.col("k"), F.col("polygons")), pieces(fences, fence_key, F.col("polygons"))
+    tall = F.lit(metres / METRES)
+    # at the latitude of the piece's far end, where a metre is most degrees
+    wide = tall / F.cos(F.radians(F.least(F.greatest(F.abs("y1"), F.abs("y2")) + tall, F.lit(89.0))))
+    wide = F.greatest(wide, tall / F.col("key.shrink"))
+    a = own.withColumn("lat_min", F.least("y1", "y2") - tall).withColumn("lat_max", F.greatest("y1", "y2") + tall).withColumn("lng_min", F.least("x1", "x2") - wide).withColumn("lng_max", F.greatest("x1", "x2") + wide)
+    by = lambda low, high: F.explode(F.sequence(bucket(F.col(low), width), bucket(F.col(high), width)))
+    a = a.withColumn("_bx", by("lng_min", "lng_max")).withColumn("_by", by("lat_min", "lat_max")).alias("a")
+    b = dealt(there, width).alias("b")
+    boxes = (F.least("b.x1", "b.x2") <= F.col("a.lng_max")) & (F.greatest("b.x1", "b.x2") >= F.col("a.lng_min")) & (F.least("b.y1", "b.y2") <= F.col("a.lat_max")) & (F.greatest("b.y1", "b.y2") >= F.col("a.lat_min"))
+    shrink = F.col("a.key.shrink")
+    close = F.least(gap_m("a", "b", shrink), gap_m("b", "a", shrink)) <= metres
+    near = a.join(b, [F.col("a._bx") == F.col("b._bx"), F.col("a._by") == F.col("b._by")]).where(boxes & (share_a_point("a", "b") | close))
+    first = of.select(F.col("k").alias("left"), F.get(F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(0)), F.lit(0)).alias("x"), F.get(F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(0)), F.lit(1)).alias("y"))
+    found = near.select(F.col("a.key.key").alias("left"), F.col("b.key").alias("right")).unionByName(holding(first, there, width).select("left.key", "right").withColumnRenamed("key", "left"))
+    return found.distinct()

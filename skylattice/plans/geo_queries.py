@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice import runtime
 from skylattice.functions import geo, values
-from skylattice.operators import catalog, dedupe, fences, poi, regions, requests, route, schedule, spatial_join, type_tree, zones
+from skylattice.operators import catalog, dedupe, fences, overlap, poi, regions, requests, route, schedule, spatial_join, type_tree, zones
 from skylattice.plans import derived, pipelines
 from skylattice.plans.derived import BOUNDS, CELL, FINE, SQL_EVENTS, SQL_FIRST, SQL_HITS, SQL_POI, SQL_RING, SQL_ROUTES, SQL_ZONES, sql_cells, sql_grid
 from skylattice.sources import dimensions, sinks
@@ -506,7 +506,8 @@ def _sql_gap(p: str, q: str, a: str) -> str:
     SELECT route_id, area_id FROM across UNION SELECT route_id, area_id FROM near WHERE m<=20000e0""")
 def route_near_zone_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes that come within 20 km of a fence."""
-    return fences.routes_near(derived.routes(spark, sf_dir), derived.fences(spark, sf_dir), 20_000.0).select("route_id", "area_id")
+    near = overlap.lines_near(derived.routes(spark, sf_dir), F.col("route_id"), derived.fences(spark, sf_dir), F.col("area_id"), 20_000.0)
+    return near.select(F.col("left").alias("route_id"), F.col("right").alias("area_id"))
 
 
 # Routes on a grid

@@ -101,3 +101,15 @@ def test_project_tables(spark):
     with pytest.raises(ValueError, match="no name"):
         fences.save_project_fences(fences.polygons_of_project(there, areas("p1")), "project_fences", ["p1; DROP"])
     spark.sql("DROP SCHEMA project_fences CASCADE")
+
+
+def test_lines_near_as_distances(spark):
+    """Ends to pieces, pieces to ends, crossings, insides and lone points, against every pair."""
+    r = random.Random(5)
+    there = fence(spark, [(k, 1, [[square(r.uniform(110, 112), r.uniform(30, 32), r.uniform(0.01, 0.4))]]) for k in range(60)])
+    lines = [(k, [[r.uniform(110, 112), r.uniform(30, 32)] for _ in range(r.choice([1, 2, 4]))]) for k in range(40)]
+    df = spark.createDataFrame(lines, "r int, line array<array<double>>")
+    theirs = {(x["r"], x["area_id"]) for x in fences.routes_near(df, there.selectExpr("*", "polygons[0][0][0][1] AS lat_min", "polygons[0][0][2][1] AS lat_max", "polygons[0][0][0][0] AS lng_min", "polygons[0][0][2][0] AS lng_max"), 9_000.0).collect()}
+    for width in (0.1, 1.0):
+        assert {tuple(x) for x in overlap.lines_near(df, F.col("r"), there, F.col("area_id"), 9_000.0, width).collect()} == theirs
+    assert len(theirs) > 100
