@@ -4,7 +4,7 @@ What lies within r metres of a polygon is the polygon, a rectangle on the outer
 outwards; nothing else can be nearest. The grown outline consists of those borders of these pieces that no other piece covers: every border
 is cut where it meets others, and the parts whose middles lie in another piece go. What is left is linked to rings; rings that run clockwise are
 holes (what a fence encloses, or leaves between its arms). The plane is the ground in metres around the middle of the fence's box.
-Rows are independent, so fences are grown where they are read, without a shuffle; a fence with n corners costs n squared.
+Rows are independent: fences are dealt out evenly and grown one by one; a fence with n corners costs some n squared comparisons of boxes.
 
 Defined results: null, empty and degenerate polygons grow to null (a lone point or a line without area: a point grows to a circle, two points or more
 of no area count by their edges). A distance of 0 keeps the shape, a negative one is an error.
@@ -65,23 +65,32 @@ def convex_pieces(corners: np.ndarray, r: float, quarter: int) -> list[np.ndarra
 
 
 def cuts(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
-    """For each border a-b the places (0 to 1) where it meets lines c-d within their length."""
+    """For each border a-b the places (0 to 1) where it meets lines c-d within their length; only those whose boxes meet are compared."""
+    low, high, low2, high2 = np.minimum(a, b) - CLOSE, np.maximum(a, b) + CLOSE, np.minimum(c, d), np.maximum(c, d)
     found = []
     step = max(1, CELLS // max(1, len(c)))
     for at in range(0, len(a), step):
-        p, u = a[at : at + step, None], (b - a)[at : at + step, None]
-        v, w = (d - c)[None], c[None] - p
-        cross = u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+        part = slice(at, at + step)
+        near = (low[part, None, 0] <= high2[None, :, 0]) & (high[part, None, 0] >= low2[None, :, 0]) & (low[part, None, 1] <= high2[None, :, 1]) & (high[part, None, 1] >= low2[None, :, 1])
+        i, j = np.nonzero(near)
+        p, u, v = a[at + i], (b - a)[at + i], (d - c)[j]
+        across = lambda m, n: m[:, 0] * n[:, 1] - m[:, 1] * n[:, 0]
+        cross, length = across(u, v), (u * u).sum(1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[..., 0] * v[..., 1] - w[..., 1] * v[..., 0]) / cross
-            s = (w[..., 0] * u[..., 1] - w[..., 1] * u[..., 0]) / cross
-            # ends of c-d that lie on a-b, for borders that run along each other
-            ends = [((e[None] - p) * u).sum(-1) / (u * u).sum(-1) for e in (c, d)]
-            off = [np.abs((e[None] - p)[..., 0] * u[..., 1] - (e[None] - p)[..., 1] * u[..., 0]) / np.hypot(u[..., 0], u[..., 1]) < CLOSE for e in (c, d)]
+            t, s = across(c[j] - p, v) / cross, across(c[j] - p, u) / cross
         meets = (cross != 0) & (s > -1e-9) & (s < 1 + 1e-9) & (t > 0) & (t < 1)
-        for i in range(len(t)):
-            on = [e[i][o[i] & (e[i] > 0) & (e[i] < 1)] for e, o in zip(ends, off)]
-            found.append(np.unique(np.concatenate([[0.0, 1.0], t[i][meets[i]], *on])))
+        places, of = [t[meets]], [i[meets]]
+        for e in (c[j], d[j]):  # ends of c-d that lie on a-b, for borders that run along each other
+            along = ((e - p) * u).sum(1) / length
+            on = (np.abs(across(e - p, u)) / np.sqrt(length) < CLOSE) & (along > 0) & (along < 1)
+            places.append(along[on])
+            of.append(i[on])
+        rows = min(step, len(a) - at)
+        places, of = np.concatenate([*places, np.zeros(rows), np.ones(rows)]), np.concatenate([*of, np.arange(rows), np.arange(rows)])
+        order = np.lexsort((places, of))
+        places, of = places[order], of[order]
+        new = np.r_[True, (np.diff(places) != 0) | (np.diff(of) != 0)]
+        found += np.split(places[new], np.searchsorted(of[new], np.arange(1, rows)))
     return found
 
 
@@ -106,14 +115,15 @@ def outline(parts: list[list[np.ndarray]], r: float, quarter: int) -> np.ndarray
     way = way / np.hypot(*way.T)[:, None]
     covered = np.zeros(len(middle), bool)
     for k, piece in enumerate(pieces):
-        inside = np.ones(len(middle), bool)
+        here = np.flatnonzero(((middle >= piece.min(0) - 1) & (middle <= piece.max(0) + 1)).all(1) & ~covered & (of != k))
+        inside, at, ways = np.ones(len(here), bool), middle[here], way[here]
         for p, q in zip(piece, np.roll(piece, -1, 0)):
             u = (q - p) / max(np.hypot(*(q - p)), 1e-300)
-            depth = u[0] * (middle[:, 1] - p[1]) - u[1] * (middle[:, 0] - p[0])
+            depth = u[0] * (at[:, 1] - p[1]) - u[1] * (at[:, 0] - p[0])
             # borders that run along each other the same way: the first piece keeps its own
-            same = (way @ u > 1 - 1e-9) & (k > of)
+            same = (ways @ u > 1 - 1e-9) & (k > of[here])
             inside &= depth > np.where(same, CLOSE, -CLOSE)
-        covered |= inside & (of != k)
+        covered[here[inside]] = True
     for part in range(len(parts)):
         edges = np.concatenate([s for s, o in zip(solid, owner_of_ring) if o == part] or [np.zeros((0, 2, 2))])
         if not len(edges):
@@ -208,7 +218,9 @@ def grown(fences: DataFrame, metres: float, quarter: int = QUARTER) -> DataFrame
             columns[place] = pa.array([d[0] for d in done], kind)
             yield pa.RecordBatch.from_arrays(columns, [*rest, "area_m2"])
 
-    found = fences.select(*rest).mapInArrow(made, schema)
+    # a fence can cost as much as a thousand others, so they are dealt out anew whatever their files
+    dealt = fences.select(*rest).repartition(fences.sparkSession.sparkContext.defaultParallelism * 4)
+    found = dealt.mapInArrow(made, schema)
     return found.select("*", *envelope(F.flatten(F.flatten("polygons"))))
 
 
