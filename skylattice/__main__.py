@@ -49,6 +49,7 @@ def sync(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.list:
         there.where(F.col("kind").isin(*[k[:-1] for k in kinds])).show(1000, truncate=False)
         return
+    catalog.answering(spark, args.target)
     named = any(getattr(args, k) for k in KINDS)
     for kind in kinds:
         # a run that names objects of one kind copies no others

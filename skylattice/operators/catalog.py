@@ -156,6 +156,15 @@ def reachable(spark: SparkSession, options: Mapping[str, str]) -> None:
         raise ConnectionError(f"the target does not answer: {str(e)[:300]}") from e
 
 
+def answering(spark: SparkSession, schema: str) -> None:
+    """An error unless the catalog that a schema belongs to answers: asked before anything is written."""
+    outer = schema.rpartition(".")[0]
+    try:
+        spark.sql(f"SHOW SCHEMAS IN {outer}" if outer else "SHOW SCHEMAS").first()
+    except Exception as e:
+        raise ConnectionError(f"the catalog of {schema} does not answer: {str(e)[:300]}") from e
+
+
 def sync_functions(spark: SparkSession, signatures: Mapping[str, str], target: str) -> list[str]:
     """Create SQL functions: name -> everything after the name (`(x INT) RETURNS INT RETURN x + 1`)."""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {target}")

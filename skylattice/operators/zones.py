@@ -16,6 +16,8 @@ SCHEMA = f"""area_id long, name string, type int, level int, shape int, lat doub
     data_source double, sub_areas array<struct<shape: int, lat: double, lng: double, radius: double, polygon_points: {RINGS}>>"""
 #: A geometry: a point has one coordinate in one ring of one polygon, a polygon is one polygon.
 GEOMETRY = f"struct<kind: string, polygons: array<{RINGS}>>"
+#: An answer, by the provider's field names.
+ANSWER = f"code int, data struct<areas: array<struct<{SCHEMA}>>>"
 PROPERTIES = ("area_id", "name", "type", "level", "level_name", "type_name", "color", "country", "city", "address", "description", "height", "radius", "begin_at", "end_at", "data_source", "url")
 
 
@@ -56,11 +58,20 @@ def geometry(zero_is_missing: bool = False) -> Column:
     )
 
 
-def features(areas: DataFrame, type_labels: dict[int, str] | None = None, zero_is_missing: bool = False) -> DataFrame:
-    """PROPERTIES, geometry and its box of the records that have a geometry."""
+def from_answers(answers: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The records of answers (JSON texts) with code 0, a row each, with the columns of the answer that are to be kept.
+
+    One that is null, no JSON, failed or without areas gives none.
+    """
+    read = answers.select(*keep, F.from_json(body, ANSWER).alias("_answer")).where("_answer.code = 0")
+    return read.select(*keep, F.explode("_answer.data.areas").alias("_area")).select(*keep, "_area.*")
+
+
+def features(areas: DataFrame, type_labels: dict[int, str] | None = None, zero_is_missing: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PROPERTIES, geometry and its box of the records that have a geometry; keep: columns that go along."""
     made = areas.withColumn("geometry", geometry(zero_is_missing)).where("geometry IS NOT NULL")
     made = made.withColumn("level_name", label(F.col("level"), LEVELS)).withColumn("type_name", label(F.col("type"), type_labels or {}))
-    return made.select(*PROPERTIES, "geometry", *envelope(F.flatten(F.flatten(F.col("geometry.polygons")))))
+    return made.select(*keep, *PROPERTIES, "geometry", *envelope(F.flatten(F.flatten(F.col("geometry.polygons")))))
 
 
 def unique(found: DataFrame, order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from skylattice.plans import fence_queries, geo_queries  # noqa: F401  (both register)
+from skylattice.plans import fence_queries, geo_queries, run_queries  # noqa: F401  (all register)
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
