@@ -11,7 +11,7 @@ smoothed over the paths in page order, fused by their geometric mean, weighted b
 Weights: inside article or main twice; LISTED for each boilerplate element around it. The fixed lists below (tag names, words of a
 class, id or role) only set this weight. An element that holds HOLDS of the high-scoring letters outside
 other listed ones, itself or with all that are listed for the same word, isn't boilerplate, whatever its name, unless an article or main
-has such letters in no listed element. Of a block only the pieces in an inline element with such a word go; its other text stays. What
+has such letters in no listed element. Elements named for reader comments are such only where no high-scoring letters lie outside. Of a block only the pieces in an inline element with such a word go; its other text stays. What
 a browser shows no text of (scripts, styles, controls, hidden elements) is no text here either.
 
 Defined results: null and empty html give an empty text and 0 characters. Unclosed and stray tags are tolerated, a `<` that
@@ -47,7 +47,10 @@ HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 #: share of the best score that makes a path content by itself.
 LISTED, HOLDS, NEAR = 0.25, 0.8, 0.5
 #: Words of a class, id or role that name boilerplate.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|masthead|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
+NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|masthead|footer|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|comments?|commentlist|discussions?|replies|responses|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
+
+#: Those of the words that name reader comments.
+COMMENTS = frozenset("comment comments commentlist discussion discussions replies responses respond disqus".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -79,30 +82,40 @@ class Path:
         return found
 
 
+@dataclass(slots=True, eq=False)
+class Mark:
+    """A listed element, as a node of the tree of the page's listed elements: the next one around it, its word, how many lie around it."""
+
+    around: Mark | None
+    word: str
+    depth: int
+
+
 @dataclass(slots=True)
 class Element:
-    """An open element, with what it takes over from those around it: listed and asides are listed block and inline elements (number -> word)."""
+    """An open element, with what it takes over from those around it: mark is the innermost listed one, own the innermost that is no inline element; aside is True in a listed inline one."""
 
     name: str
     hidden: bool
     link: bool
     path: Path
-    listed: dict[int, str]
-    asides: dict[int, str]
+    mark: Mark | None = None
+    own: Mark | None = None
+    aside: bool = False
 
 
 @dataclass
 class Block:
-    """A run of text without a block element in it: where it lies, in which listed block elements (number -> word), and its text.
+    """A run of text without a block element in it: where it lies, the innermost listed block element around it, and its text.
 
-    links and asides are those of its parts that lie in a link and in a listed inline element (number -> word).
+    links are those of its parts that lie in a link, asides those in a listed inline element, with the innermost listed one around each.
     """
 
     path: Path
-    listed: dict[int, str]
+    mark: Mark | None
     parts: list[str] = field(default_factory=list)
     links: set[int] = field(default_factory=set)
-    asides: dict[int, dict[int, str]] = field(default_factory=dict)
+    asides: dict[int, Mark] = field(default_factory=dict)
 
     def text(self, places: Iterable[int]) -> str:
         return SPACE.sub(" ", html.unescape("".join(self.parts[i] for i in places))).strip()
@@ -110,18 +123,19 @@ class Block:
 
 @dataclass
 class Line:
-    """A block's text, that of it outside links, and its listed elements."""
+    """A block's text, that of it outside links, and the innermost listed element around it."""
 
     path: Path
     text: str
     plain: str
-    listed: dict[int, str]
+    mark: Mark | None
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in page order."""
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The page's text blocks and listed elements in page order."""
     found: list[Block] = []
-    root = Element("", False, False, Path(), {}, {})
+    marks: list[Mark] = []
+    root = Element("", False, False, Path())
     stack: list[Element] = [root]
     inside: Counter[str] = Counter()  # open elements by name: an end tag without one costs nothing
     serial, now = 0, None
@@ -132,12 +146,12 @@ def blocks(page: str) -> list[Block]:
         if top.hidden:
             return
         if now is None:
-            now = Block(top.path, top.listed)
+            now = Block(top.path, top.own)
             found.append(now)
         if top.link:
             now.links.add(len(now.parts))
-        if top.asides:
-            now.asides[len(now.parts)] = top.asides
+        if top.aside:
+            now.asides[len(now.parts)] = top.mark
         now.parts.append(piece)
 
     def close(i: int) -> None:
@@ -196,11 +210,14 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         hidden = top.hidden or name in NO_TEXT or bool(HIDDEN.search(VALUE.sub("", m[3]))) and name not in ("html", "body")
         word = listed(name, m[3], top.path.content is None)
-        own = {serial: word} if word else {}
-        path, block_words, inline_words = (top.path, top.listed, top.asides | own) if inline else (top.path.child(name, serial), top.listed | own if own else top.listed, top.asides)
-        stack.append(Element(name, hidden, top.link or name == "a", path, block_words, inline_words))
+        mark = top.mark
+        if word:
+            mark = Mark(top.mark, word, top.mark.depth + 1 if top.mark else 1)
+            marks.append(mark)
+        path = top.path if inline else top.path.child(name, serial)
+        stack.append(Element(name, hidden, top.link or name == "a", path, mark, top.own if inline or not word else mark, top.aside or inline and bool(word)))
         inside[name] += 1
-    return found
+    return found, marks
 
 
 def listed(name: str, attributes: str, outside: bool) -> str:
@@ -222,19 +239,18 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, bell / bell.sum(), mode="valid")
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's blocks with text. A block whose whole text lies in listed inline elements is listed itself; of others these pieces go."""
-    found = []
-    for b in blocks(page):
-        own = [i for i in range(len(b.parts)) if i not in b.asides]
-        names = b.listed
+def lines_of(found: list[Block]) -> list[Line]:
+    """The blocks with text. A block whole in listed inline elements is listed by the innermost one that has most around it; of others these pieces go."""
+    lines = []
+    for b in found:
+        own, mark = [i for i in range(len(b.parts)) if i not in b.asides], b.mark
         text = b.text(own)
         if not text:
-            own, names = range(len(b.parts)), b.listed | {n: w for i, part in b.asides.items() if b.parts[i].strip() for n, w in part.items()}
+            own, mark = range(len(b.parts)), max((m for i, m in b.asides.items() if b.parts[i].strip()), key=lambda m: m.depth, default=b.mark)
             text = b.text(own)
         if text:
-            found.append(Line(b.path, text, b.text(i for i in own if i not in b.links), names))
-    return found
+            lines.append(Line(b.path, text, b.text(i for i in own if i not in b.links), mark))
+    return lines
 
 
 def scores(lines: list[Line], paths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,33 +267,65 @@ def scores(lines: list[Line], paths: dict[int, int]) -> tuple[np.ndarray, np.nda
     return np.sqrt(smoothed(one) * smoothed(two)) * place, np.sqrt(one * two) * place
 
 
-def cleared(lines: list[Line], high: list[bool]) -> set[int]:
-    """Numbers of the listed elements that hold HOLDS of the high-scoring letters outside other listed elements, alone or with those of the same word; the fullest come first. None where an article or main has such letters."""
-    held = [(x.listed, len(x.plain), x.path.content is not None) for x, h in zip(lines, high) if h]
-    words = {n: word for names, _, _ in held for n, word in names.items()}
-    free: set[int] = set()
-    for group in (lambda n: n, words.get):
-        mass: Counter = Counter()
-        for names, k, _ in held:
-            mass.update(dict.fromkeys({group(n) for n in names.keys() - free}, k))
-        for g, m in mass.most_common():
-            loose = [(k, marked) for names, k, marked in held if not names.keys() - free]
-            if m < HOLDS * (m + sum(k for k, _ in loose)) or any(marked for _, marked in loose):
-                break
-            free |= {n for n in words if group(n) == g}
-    return free
+def listed_around(lines: list[Line], high: list[bool], marks: list[Mark]) -> dict[Mark | None, int]:
+    """For each listed element (and none) how many count around its text, without those cleared: they hold HOLDS of the high-scoring letters outside other listed ones.
+
+    Elements are cleared alone, the fullest first, and then with all of the same word; none where an article or main has such letters
+    outside, and those of reader comments only where nothing has. Marks come after those around them, so sums go up and counts down the tree in one pass.
+    """
+    held: dict[Mark | None, int] = dict.fromkeys([None, *marks], 0)
+    marked: set[Mark | None] = set()
+    for x, h in zip(lines, high):
+        if h:
+            held[x.mark] += len(x.plain)
+            if x.path.content is not None:
+                marked.add(x.mark)
+    whole = dict(held)
+    for m in reversed(marks):
+        whole[m.around] += whole[m]
+
+    clear: set[Mark | None] = {None}
+    loose, fixed = held[None], None in marked
+    for m in sorted((m for m in marks if whole[m]), key=lambda m: -whole[m]):  # of equal ones the outer comes first
+        if whole[m] < HOLDS * (whole[m] + loose) or fixed:
+            break
+        if m.around in clear and not (loose and m.word in COMMENTS):
+            clear.add(m)
+            loose, fixed = loose + held[m], fixed or m in marked
+
+    words: dict[Mark | None, frozenset[str]] = {None: frozenset()}
+    for m in marks:
+        words[m] = words[m.around] if m in clear or m.word in words[m.around] else words[m.around] | {m.word}
+    groups: Counter[frozenset[str]] = Counter()
+    for m, k in held.items():
+        groups[words[m]] += k
+    stuck = {words[m] for m in marked}
+    mass = Counter({w: sum(k for group, k in groups.items() if w in group) for w in set().union(*groups)})
+    free: set[str] = set()
+    for word, k in sorted(mass.items(), key=lambda x: (-x[1], x[0])):
+        loose = sum(n for group, n in groups.items() if group <= free)
+        if not k or k < HOLDS * (k + loose) or any(group <= free for group in stuck):
+            break
+        if not (loose and word in COMMENTS):
+            free.add(word)
+
+    count: dict[Mark | None, int] = {None: 0}
+    for m in marks:
+        count[m] = count[m.around] + (m not in clear and m.word not in free)
+    return count
 
 
 def extract(page: str | None) -> str:
     """The main text; its blocks joined by line breaks."""
-    lines = lines_of(page or "")
+    found, marks = blocks(page or "")
+    lines = lines_of(found)
     if not lines:
         return ""
     paths = {p: i for i, p in enumerate(dict.fromkeys(id(x.path) for x in lines))}
     fused, own = scores(lines, paths)
     at = [paths[id(x.path)] for x in lines]
-    free = cleared(lines, [fused[i] >= NEAR * fused.max() for i in at])
-    weight = np.array([LISTED ** sum(n not in free for n in x.listed) for x in lines])
+    around = listed_around(lines, [fused[i] >= NEAR * fused.max() for i in at], marks)
+    weight = np.array([LISTED ** around[x.mark] for x in lines])
     fused, own = fused[at] * weight, own[at] * weight
     best = fused.max()
     if best <= 0:  # there is no text outside links

@@ -1,7 +1,13 @@
 """Main text of pages: structure, references, boilerplate, odd markup."""
 
+import math
+import random
 import time
+from html.parser import HTMLParser
 
+import pytest
+
+from skylattice.llm import main_text
 from skylattice.llm.main_text import extract, extracted
 from skylattice.runtime import table
 
@@ -66,6 +72,114 @@ def test_two_articles():
     assert extract(page(one + two)).count("article, with its own words") == 2
 
 
+def test_reader_comments_are_no_article():
+    """However long they are, where other text scores high as well."""
+    one = "<p>A short article, which is all there is, in one paragraph.</p>"
+    said = "".join(f"<p>Reader {i} says this, and that, and quite some more of it.</p>" for i in range(8))
+    for mark in ("class='comments'", "id='discussion'", "class='comment-list replies'", "id=responses"):
+        assert extract(f"<body><div>{one}</div><div {mark}>{said}</div></body>") == "A short article, which is all there is, in one paragraph."
+    assert extract(f"<body><div class='comments'><div>{one}</div></div></body>") == "A short article, which is all there is, in one paragraph."
+
+
+class Plain(HTMLParser):
+    """Paths and texts of a page of closed div, p, span and a elements, by the standard parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.number, self.found = [], 0, []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.number += 1
+        self.open.append((tag, "p" if tag == "p" else f"{tag}.{self.number}"))
+        if tag in ("div", "p"):
+            self.found.append([self.path(), "", ""])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        if tag in ("div", "p"):
+            self.found.append([self.path(), "", ""])
+
+    def handle_data(self, data):
+        if not self.found:
+            self.found.append([self.path(), "", ""])
+        self.found[-1][1] += data
+        if all(tag != "a" for tag, _ in self.open):
+            self.found[-1][2] += data
+
+    def path(self):
+        return tuple(label for tag, label in self.open if tag in ("div", "p"))
+
+
+def random_page(rnd, depth=0):
+    made = ""
+    for _ in range(rnd.randint(1, 4)):
+        words = " ".join(rnd.choice(("word", "other,", "long-winded", "end.", "so!")) for _ in range(rnd.randint(1, 12)))
+        made += rnd.choice((f"<p>{words}</p>", f"<p>{words} <a>link, {words}</a></p>", f"<div><span>{words}</span></div>", f"<div>{random_page(rnd, depth + 1)}</div>" if depth < 4 else words))
+    return made
+
+
+def test_ratios_by_brute_force():
+    """Letters and marks per path, smoothed by loops, fused: over random pages."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        html = random_page(rnd)
+        plain = [(path, " ".join(a.split()), " ".join(b.split())) for path, a, b in Plain(html).found if a.strip()]
+        order = list(dict.fromkeys(path for path, _, _ in plain))
+        series = []
+        for value in (len, lambda t: sum(t.count(c) for c in main_text.MARKS)):
+            per = [[value(b) for path, _, b in plain if path == q] for q in order]
+            series.append([math.log1p(sum(v) / len(v)) for v in per])
+        series[1] = [x + 0.1 for x in series[1]]
+        bell = [math.exp(-0.5 * d * d) for d in range(-2, 3)]
+        smooth = [[sum(w * x[min(max(i + d, 0), len(x) - 1)] for w, d in zip(bell, range(-2, 3))) / sum(bell) for i in range(len(x))] for x in series]
+        letters = [any(b for path, _, b in plain if path == q) for q in order]
+        want = [math.sqrt(a * b) if there else 0.0 for a, b, there in zip(*smooth, letters)]
+
+        lines = main_text.lines_of(main_text.blocks(html)[0])
+        assert [x.text for x in lines] == [a for _, a, _ in plain]
+        paths = {q: i for i, q in enumerate(dict.fromkeys(id(x.path) for x in lines))}
+        assert main_text.scores(lines, paths)[0] == pytest.approx(want, abs=1e-9)
+
+
+def plain_counts(lines, high, marks):
+    """listed_around() by sets of the elements around each line, looked at anew for each element."""
+    def chain(m):
+        return frozenset() if m is None else chain(m.around) | {m}
+
+    rows = [(chain(x.mark), len(x.plain)) for x, h in zip(lines, high) if h]
+    free = set()
+    for part in ([{m} for m in marks], [{m for m in marks if m.word == w} for w in sorted({m.word for m in marks})]):
+        mass = {i: sum(k for names, k in rows if names & (g - free)) for i, g in enumerate(part)}
+        for i in sorted((i for i in mass if mass[i]), key=lambda i: -mass[i]):
+            loose = sum(k for names, k in rows if names <= free)
+            if mass[i] < main_text.HOLDS * (mass[i] + loose):
+                break
+            if not (loose and next(iter(part[i])).word in main_text.COMMENTS):
+                free |= part[i]
+    return {m: len(chain(m) - free) for m in [None, *marks]}
+
+
+def test_cleared_elements_by_brute_force():
+    rnd = random.Random(7)
+    for _ in range(300):
+        marks = []
+        for i in range(rnd.randint(0, 7)):
+            around = rnd.choice([None, *marks])
+            marks.append(main_text.Mark(around, rnd.choice(("share", "promo", "sidebar")), around.depth + 1 if around else 1))
+        lines = [main_text.Line(main_text.Path(), "", "x" * (3 ** i), rnd.choice([None, *marks])) for i in range(rnd.randint(1, 8))]
+        high = [rnd.random() < 0.8 for _ in lines]
+        assert main_text.listed_around(lines, high, marks) == plain_counts(lines, high, marks)
+
+
+def test_deep_listed_pages_take_linear_time():
+    n = 20_000
+    for deep in ('<div class="ad">' * n + "some text, here.", '<span class="ad">' * n + "some text, here.", '<span class="ad">' * n + "<p>some text, here." * n, '<div class="ad">some text, here.' * n):
+        began = time.perf_counter()
+        assert extract(f"<body>{deep}")
+        assert time.perf_counter() - began < 10
+
+
 def test_deep_and_long_pages_take_linear_time():
     for deep in ("<div>" * 20_000 + "some text, here." + "</div>" * 20_000, "<div>word<p>" * 20_000, "<b>" * 20_000 + "some text, here." + "</i>" * 20_000):
         began = time.perf_counter()
