@@ -73,7 +73,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
             lang = np.asarray(batch.column(1).to_pylist(), object)
             for one in dict.fromkeys(lang):
                 found, starts, _ = grams(batch.column(0).filter(pa.array(lang == one)))
-                values, n = np.unique(found, return_counts=True)
+                across = (starts[1:-1, None] - np.arange(1, 4)).ravel()  # from the end of one text into the next
+                values, n = np.unique(np.delete(found, across), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     return docs.select("text", "lang").mapInArrow(run, COUNTS)
