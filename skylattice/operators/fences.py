@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import METRES
-from skylattice.operators.overlap import overlapping
+from skylattice.operators.overlap import expanded, figures, meeting, named
 from skylattice.operators.spatial_join import SIDES, meeting_rectangles, points_in_rectangles
 
 #: Kinds of fences; a new fence of a kind must not meet fences of the kinds listed.
@@ -133,22 +133,24 @@ def of_project(fences: DataFrame, area: DataFrame, kinds: tuple[int, ...] = (NO_
 
 def polygon_conflicts(new: DataFrame, fences: DataFrame, width: float = 0.25) -> DataFrame:
     """new_id and area_id of new fences (new_id, fence_type, polygons) and others (area_id, fence_type, polygons) that they share a point with and must not."""
+    (own, a), (there, b) = figures(new, F.col("new_id"), "new_id", "fence_type"), figures(fences, F.col("area_id"), "area_id", "fence_type")
     pairs = []
     for kind, others in FORBIDDEN.items():
         if others:
-            own, there = new.where(F.col("fence_type") == kind), fences.where(F.col("fence_type").isin(*others))
-            pairs.append(overlapping(own, F.col("new_id"), there, F.col("area_id"), width))
+            pairs.append(meeting(a.where(F.col("fence_type") == kind), b.where(F.col("fence_type").isin(*others)), width))
     found = pairs[0]
     for p in pairs[1:]:
         found = found.unionByName(p)
-    return found.select(F.col("left").alias("new_id"), F.col("right").alias("area_id")).distinct()
+    return expanded(found.distinct(), own, there).select("new_id", "area_id")
 
 
 def polygons_of_project(fences: DataFrame, areas: DataFrame, kinds: tuple[int, ...] = (NO_FLY, TRIAL), width: float = 0.25) -> DataFrame:
     """project_id and the fences of some kinds whose polygons share a point with the project's area: areas(project_id, polygons), fences(area_id, fence_type, polygons, ...)."""
     chosen = fences.where(F.col("fence_type").isin(*kinds))
-    pairs = overlapping(areas, F.col("project_id"), chosen, F.col("area_id"), width)
-    return pairs.select(F.col("left").alias("project_id"), F.col("right").alias("area_id")).join(chosen, "area_id")
+    (own, a), (there, b) = figures(areas, F.col("project_id"), "project_id"), figures(chosen, F.col("area_id"), "area_id")
+    rest = [c for c in fences.columns if c != "area_id"]
+    # the fences' columns are joined while each fence is still one row
+    return expanded(meeting(a, b, width), own, there.join(chosen, "area_id")).select("area_id", "project_id", *rest)
 
 
 def save_project_fences(found: DataFrame, schema: str, projects: list[str] | None = None) -> list[str]:

@@ -4,6 +4,9 @@ Rings are dealt out as pieces, a row each, into the buckets that a piece passes
 its length). Pieces of both sides meet in a bucket and are tested with plain column arithmetic. Two polygons share a point if pieces of
 theirs do, touching included, or if a corner of one part lies inside the other by the even-odd rule over all rings of a polygon; so what
 lies in a hole is outside. Keys can be structs. Null and empty geometries meet nothing.
+
+Geometry is compared once for each different shape: rows are grouped by a name of their exact coordinates, pairs are found and made distinct
+between shapes, and only then joined with the keys of the rows. A key has one shape, so the pairs of keys need no distinct of their own.
 """
 
 from __future__ import annotations
@@ -18,6 +21,27 @@ from skylattice.operators.spatial_join import bucket, points_in_rectangles
 SLACK = 1e-9
 
 
+def named(of: Column) -> Column:
+    """128 bits of SHA-256 over the exact values: equal ones share the name."""
+    return F.substring(F.unhex(F.sha2(of.cast("string"), 256)), 1, 16)
+
+
+def figures(df: DataFrame, key: Column, name: str, *rest: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and shapes of df(polygons, rest): `name` (the key, once) with its shape, and the different shapes with polygons and rest (numbers).
+
+    All rows of a key make up one shape.
+    """
+    whole = df.where("polygons IS NOT NULL").groupBy(key.alias(name)).agg(F.sort_array(F.collect_set(F.struct("polygons", *rest))).alias("of"))
+    found = whole.withColumn("shape", named(F.col("of")))
+    return found.select(name, "shape"), found.groupBy("shape").agg(F.first("of").alias("of")).select("shape", F.inline("of"))
+
+
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of shapes (left, right) as pairs of the rows that have them: left(shape, ...), right(shape, ...). Other columns must differ."""
+    held = pairs.join(right.withColumnRenamed("shape", "right"), "right").drop("right")
+    return held.join(left.withColumnRenamed("shape", "left"), "left").drop("left")
+
+
 def pieces(df: DataFrame, key: Column, polygons: Column) -> DataFrame:
     """key, part (number of the polygon), x1, y1, x2, y2 of every piece of every ring."""
     rings = df.select(key.alias("key"), F.posexplode(polygons).alias("part", "rings")).select("key", "part", F.explode("rings").alias("ring"))
@@ -77,20 +101,34 @@ def corners(df: DataFrame, key: Column, polygons: Column) -> DataFrame:
     return first.select("left", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
 
 
+def meeting(left: DataFrame, right: DataFrame, width: float = 0.25) -> DataFrame:
+    """Distinct left and right of shapes(shape, polygons) that share a point."""
+    key, polygons = F.col("shape"), F.col("polygons")
+    a, b = pieces(left, key, polygons), pieces(right, key, polygons)
+    found = touching(a, b, width).unionByName(holding(corners(left, key, polygons), b, width))
+    turned = holding(corners(right, key, polygons), a, width).select(F.col("right").alias("left"), F.col("left").alias("right"))
+    return found.unionByName(turned).distinct()
+
+
 def overlapping(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, width: float = 0.25) -> DataFrame:
     """Distinct left and right (keys) of rows whose `polygons` share a point."""
-    a, b = pieces(left, left_key, F.col("polygons")), pieces(right, right_key, F.col("polygons"))
-    found = touching(a, b, width).unionByName(holding(corners(left, left_key, F.col("polygons")), b, width))
-    turned = holding(corners(right, right_key, F.col("polygons")), a, width).select(F.col("right").alias("left"), F.col("left").alias("right"))
-    return found.unionByName(turned).distinct()
+    (own, a), (there, b) = figures(left, left_key, "_left"), figures(right, right_key, "_right")
+    return expanded(meeting(a, b, width), own, there).select(F.col("_left").alias("left"), F.col("_right").alias("right"))
+
+
+def of_keys(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """left and right (_key) of left and right (shapes)."""
+    return found.join(keys.withColumnRenamed("shape", "right"), "right").select("left", F.col("_key").alias("right"))
 
 
 def lines_across(lines: DataFrame, key: Column, fences: DataFrame, fence_key: Column, width: float = 0.25) -> DataFrame:
     """Distinct left (key of lines with x1, y1, x2, y2) and right (key of fences with `polygons`) of straight lines that touch a fence or begin in it."""
     own = lines.select(key.alias("key"), "x1", "y1", "x2", "y2")
-    there = pieces(fences, fence_key, F.col("polygons"))
+    keys, shapes = figures(fences, fence_key, "_key")
+    there = pieces(shapes, F.col("shape"), F.col("polygons"))
     starts = own.select(F.col("key").alias("left"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return touching(own, there, width).unionByName(holding(starts, there, width)).distinct()
+    found = touching(own, there, width).unionByName(holding(starts, there, width)).distinct()
+    return of_keys(found, keys)
 
 
 def gap_m(a: str, b: str, shrink: Column) -> Column:

@@ -113,3 +113,11 @@ def test_lines_near_as_distances(spark):
     for width in (0.1, 1.0):
         assert {tuple(x) for x in overlap.lines_near(df, F.col("r"), there, F.col("area_id"), 9_000.0, width).collect()} == theirs
     assert len(theirs) > 100
+
+
+def test_a_key_of_several_rows_gives_each_pair_once(spark):
+    there = fence(spark, [(1, 1, [[square(0, 0, 3.0)]]), (1, 2, [[square(2, 2, 3.0)]]), (1, 1, None), (2, 2, [[square(0, 0, 3.0)]])])
+    new = fence(spark, [(5, 2, [[square(1, 1, 0.5)]]), (5, 3, [[square(1, 1, 0.5)]]), (5, 3, [[square(2.5, 2.5, 0.5)]]), (6, 1, [[square(1, 1, 0.5)]])], "new_id")
+    assert sorted(tuple(x) for x in fences.polygon_conflicts(new, there).collect()) == [(5, 1), (5, 2)]
+    made = overlap.overlapping(new, F.col("new_id"), there, F.col("area_id")).collect()
+    assert sorted(tuple(x) for x in made) == [(5, 1), (5, 2), (6, 1), (6, 2)]
