@@ -59,9 +59,31 @@ def gap_m(e: Column, lng: Column, lat: Column, shrink: Column) -> Column:
     return F.sqrt(px * px + py * py) * METRES
 
 
+def shaped(fences: DataFrame) -> DataFrame:
+    """fences with the name of their polygons and sides."""
+    return fences.withColumn("_shape", named(F.struct("polygons", *SIDES)))
+
+
+def places_in_shapes(places: DataFrame, known: DataFrame, width: float) -> DataFrame:
+    """Columns of places(lat, lng, ...) and the `_shape` of those of shaped() that hold them; each shape is tested once."""
+    shapes = known.groupBy("_shape").agg(*[F.first(c).alias(c) for c in ("polygons", *SIDES)])
+    held = points_in_rectangles(places, shapes, width).where(in_polygons(F.col("lng"), F.col("lat"), F.col("polygons")))
+    return held.select(*places.columns, "_shape")
+
+
 def points_in_fences(points: DataFrame, fences: DataFrame, width: float = 0.5) -> DataFrame:
-    """Pairs of points(lat, lng, ...) and the fences(polygons, sides, ...) that hold them."""
-    return points_in_rectangles(points, fences, width).where(in_polygons(F.col("lng"), F.col("lat"), F.col("polygons")))
+    """Pairs of points(lat, lng, ...) and the fences(polygons, sides, ...) that hold them: different places are tested against different shapes, then joined with the rows."""
+    known = shaped(fences)
+    held = places_in_shapes(points.select("lat", "lng").distinct(), known, width)
+    return held.join(known, "_shape").join(points, ["lat", "lng"]).select(*points.columns, *fences.columns)
+
+
+def counted_in_fences(points: DataFrame, fences: DataFrame, width: float = 0.5) -> DataFrame:
+    """fences(polygons, sides, ...) with n_points, the number of points(lat, lng) they hold; no pair is listed."""
+    known = shaped(fences)
+    held = places_in_shapes(points.groupBy("lat", "lng").agg(F.count("*").alias("n_points")), known, width)
+    found = known.join(held.groupBy("_shape").agg(F.sum("n_points").alias("n_points")), "_shape", "left")
+    return found.select(*fences.columns, F.coalesce("n_points", F.lit(0).cast("long")).alias("n_points"))
 
 
 PIECES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"

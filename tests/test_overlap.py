@@ -121,3 +121,16 @@ def test_a_key_of_several_rows_gives_each_pair_once(spark):
     assert sorted(tuple(x) for x in fences.polygon_conflicts(new, there).collect()) == [(5, 1), (5, 2)]
     made = overlap.overlapping(new, F.col("new_id"), there, F.col("area_id")).collect()
     assert sorted(tuple(x) for x in made) == [(5, 1), (5, 2), (6, 1), (6, 2)]
+
+
+def test_points_are_tested_once_a_place(spark, monkeypatch):
+    seen, real = [], fences.points_in_rectangles
+    monkeypatch.setattr(fences, "points_in_rectangles", lambda p, r, w: seen.append((p.count(), r.count())) or real(p, r, w))
+    sides = ["0D AS lat_min", "3D AS lat_max", "0D AS lng_min", "3D AS lng_max"]
+    there = fence(spark, [(k, 1, [[square(0, 0, 3.0)]]) for k in range(20)] + [(20, 1, None), (21, 1, [[square(9, 9, 1.0)]])]).selectExpr("*", *sides)
+    points = spark.createDataFrame([(k, 1.0, 2.0) for k in range(30)] + [(30, 8.0, 8.0), (31, None, 1.0)], "p int, lat double, lng double")
+    made = fences.points_in_fences(points, there).select("p", "area_id").collect()
+    assert sorted(tuple(x) for x in made) == [(i, j) for i in range(30) for j in range(20)]
+    counted = {x["area_id"]: x["n_points"] for x in fences.counted_in_fences(points, there).collect()}
+    assert counted == {**dict.fromkeys(range(20), 30), 20: 0, 21: 0}
+    assert seen == [(3, 3), (3, 3)]
