@@ -459,8 +459,7 @@ def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_RING}, {SQL_POI}, p AS (SELECT poi_id, area_id FROM poi, edge WHERE ((y1>lat)<>(y2>lat)) AND lng<(x2-x1)*(lat-y1)/nullif(y2-y1, 0e0)+x1 GROUP BY ALL HAVING count(*)%2=1)
     SELECT zones.area_id, count(poi_id) AS n FROM zones LEFT JOIN p ON p.area_id=zones.area_id GROUP BY ALL""")
 def point_in_zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = point_in_zone(spark, sf_dir).groupBy("area_id").agg(F.count("*").alias("n"))
-    return derived.zones(spark, sf_dir).select("area_id").join(found, "area_id", "left").na.fill(0, ["n"])
+    return fences.counted_in_fences(derived.poi(spark, sf_dir), derived.fences(spark, sf_dir)).select("area_id", F.col("n_points").alias("n"))
 
 
 _SQL_NEW = "new AS (SELECT n_nationkey AS new_id, CAST(n_nationkey%3+1 AS INT) AS new_type, 112.5e0+(n_nationkey%25)/5e0 AS lng_min, 113.1e0+(n_nationkey%25)/5e0 AS lng_max, 31e0+(n_nationkey%7)/2e0 AS lat_min, 31.6e0+(n_nationkey%7)/2e0 AS lat_max FROM nation)"
