@@ -154,7 +154,8 @@ def lines_near(lines: DataFrame, key: Column, fences: DataFrame, fence_key: Colu
     point = F.when(F.size("line") == 1, F.concat("line", "line")).otherwise(F.col("line"))
     lat = F.transform("line", lambda p: F.get(p, F.lit(1)))
     of = lines.select(F.struct(key.alias("key"), F.cos(F.radians((F.array_min(lat) + F.array_max(lat)) / 2)).alias("shrink")).alias("k"), F.array(F.array(point)).alias("polygons"))
-    own, there = pieces(of, F.col("k"), F.col("polygons")), pieces(fences, fence_key, F.col("polygons"))
+    keys, shapes = figures(fences, fence_key, "_key")
+    own, there = pieces(of, F.col("k"), F.col("polygons")), pieces(shapes, F.col("shape"), F.col("polygons"))
     tall = F.lit(metres / METRES)
     # at the latitude of the piece's far end, where a metre is most degrees
     wide = tall / F.cos(F.radians(F.least(F.greatest(F.abs("y1"), F.abs("y2")) + tall, F.lit(89.0))))
@@ -169,4 +170,4 @@ def lines_near(lines: DataFrame, key: Column, fences: DataFrame, fence_key: Colu
     near = a.join(b, [F.col("a._bx") == F.col("b._bx"), F.col("a._by") == F.col("b._by")]).where(boxes & (share_a_point("a", "b") | close))
     first = of.select(F.col("k").alias("left"), F.get(F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(0)), F.lit(0)).alias("x"), F.get(F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(0)), F.lit(1)).alias("y"))
     found = near.select(F.col("a.key.key").alias("left"), F.col("b.key").alias("right")).unionByName(holding(first, there, width).select("left.key", "right").withColumnRenamed("key", "left"))
-    return found.distinct()
+    return of_keys(found.distinct(), keys)

@@ -115,6 +115,23 @@ def test_lines_near_as_distances(spark):
     assert len(theirs) > 100
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    """40 new fences of one shape and 50 of one shape: 2,000 pairs, but one shape's pieces on each side."""
+    seen, real = [], overlap.pieces
+    monkeypatch.setattr(overlap, "pieces", lambda *a: seen.append(real(*a)) or seen[-1])
+    there = fence(spark, [(k, 1, [[square(0, 0, 3.0)]]) for k in range(50)])
+    new = fence(spark, [(k, 2, [[square(1, 1, 0.5)]]) for k in range(40)], "new_id")
+    pairs = {(i, j) for i in range(40) for j in range(50)}
+    assert sorted(tuple(x) for x in fences.polygon_conflicts(new, there).collect()) == sorted(pairs)
+    areas = new.select(F.col("new_id").alias("project_id"), "polygons")
+    assert sorted((x["project_id"], x["area_id"]) for x in fences.polygons_of_project(there, areas).collect()) == sorted(pairs)
+    lines = spark.createDataFrame([(7, [[0.0, 0.0], [1.0, 1.0]])], "r int, line array<array<double>>")
+    assert sorted(tuple(x) for x in overlap.lines_near(lines, F.col("r"), there, F.col("area_id"), 900.0).collect()) == [(7, k) for k in range(50)]
+    straight = lines.selectExpr("r", "0D AS x1", "0D AS y1", "1D AS x2", "1D AS y2")
+    assert sorted(tuple(x) for x in overlap.lines_across(straight, F.col("r"), there, F.col("area_id")).collect()) == [(7, k) for k in range(50)]
+    assert max(p.count() for p in seen) == 4
+
+
 def test_a_key_of_several_rows_gives_each_pair_once(spark):
     there = fence(spark, [(1, 1, [[square(0, 0, 3.0)]]), (1, 2, [[square(2, 2, 3.0)]]), (1, 1, None), (2, 2, [[square(0, 0, 3.0)]])])
     new = fence(spark, [(5, 2, [[square(1, 1, 0.5)]]), (5, 3, [[square(1, 1, 0.5)]]), (5, 3, [[square(2.5, 2.5, 0.5)]]), (6, 1, [[square(1, 1, 0.5)]])], "new_id")
