@@ -78,8 +78,7 @@ def fence_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fence grown by 2 km: its area, the points in it, and its heights."""
     low = (F.col("area_id") % 5) * 1e3
     there = runtime.written(buffer.grown_solid(derived.fences(spark, sf_dir), _GROW, low, low + 500, _QUARTER), "grown")
-    points = fences.points_in_fences(derived.poi(spark, sf_dir), there.select("area_id", "polygons", "lat_min", "lat_max", "lng_min", "lng_max"))
-    found = there.join(points.groupBy("area_id").agg(F.count("*").alias("n_points")), "area_id", "left").na.fill(0, ["n_points"])
+    found = fences.counted_in_fences(derived.poi(spark, sf_dir), there)
     return found.select("area_id", F.round(F.col("area_m2") / 1e4).alias("hectares"), "n_points", "low_m", "high_m")
 
 

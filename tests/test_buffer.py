@@ -109,3 +109,36 @@ def test_as_rows(spark):
     assert (made[2]["polygons"], made[3]["area_m2"], made[2]["lat_min"]) == (None, None, None)
     with pytest.raises(ValueError, match="0 metres"):
         buffer.grown(df, -1.0)
+
+
+def test_copies_are_grown_once(spark, tmp_path):
+    df = spark.createDataFrame([(k, metric(SQUARE), 5.0) for k in range(50)] + [(50, None, 5.0)], "area_id long, polygons array<array<array<array<double>>>>, area_m2 double").repartition(5)
+    made = buffer.grown(df, 10.0)
+    assert made.columns == ["area_id", "polygons", "area_m2", "lat_min", "lat_max", "lng_min", "lng_max"]
+    assert "FlatMap" not in (plan := made._jdf.queryExecution().optimizedPlan().toString())
+    below = plan[plan.index("MapInArrow") :]
+    assert "Aggregate [_shape" in below  # what is grown is grouped by shape
+    rows = made.collect()
+    assert len(rows) == 51
+    assert {round(x["area_m2"] or 0) for x in rows} == {0, 14_314}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_convex_as_any(seed):
+    """The short way of convex rings and the general one give one outline."""
+    r = random.Random(seed)
+    turns = sorted(r.uniform(0, 2 * math.pi) for _ in range(r.randint(3, 40)))
+    corners = buffer.turned(np.array(ring(*[(100 * math.cos(t), 60 * math.sin(t)) for t in turns], turn=seed % 2 == 1)), True)
+    made = buffer.straightened(buffer.convex_outline(corners, 20.0, 16))
+    theirs = [buffer.straightened(x) for x in buffer.rings_of(buffer.outline([[corners]], 20.0, 16))]
+    assert len(theirs) == 1
+    assert buffer.area(made) == pytest.approx(buffer.area(theirs[0]), rel=1e-9)
+    gaps = np.hypot(*(made[:, None] - theirs[0][None]).transpose(2, 0, 1))
+    assert max(gaps.min(0).max(), gaps.min(1).max()) < 1e-3
+
+
+def test_what_is_not_convex():
+    star = [(100 * math.cos(2 * math.pi * 2 * i / 5), 100 * math.sin(2 * math.pi * 2 * i / 5)) for i in range(5)]  # left turns alone, but twice round
+    bay = [(0, 0), (100, 0), (100, 100), (50, 10), (0, 100)]
+    for points in (star, bay, [(0, 0), (100, 0)], [(0, 0), (100, 0), (50, 0)]):
+        assert buffer.convex_outline(buffer.turned(np.array(ring(*points)), True), 5.0, 16) is None
