@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import METRES
-from skylattice.operators.overlap import expanded, figures, meeting, named
+from skylattice.operators.overlap import expanded, figures, meeting, meeting_rows, named
 from skylattice.operators.spatial_join import SIDES, meeting_rectangles, points_in_rectangles
 
 #: Kinds of fences; a new fence of a kind must not meet fences of the kinds listed.
@@ -156,14 +156,12 @@ def of_project(fences: DataFrame, area: DataFrame, kinds: tuple[int, ...] = (NO_
 def polygon_conflicts(new: DataFrame, fences: DataFrame, width: float = 0.25) -> DataFrame:
     """new_id and area_id of new fences (new_id, fence_type, polygons) and others (area_id, fence_type, polygons) that they share a point with and must not."""
     (own, a), (there, b) = figures(new, F.col("new_id"), "new_id", "fence_type"), figures(fences, F.col("area_id"), "area_id", "fence_type")
-    pairs = []
+    bad = F.lit(False)
     for kind, others in FORBIDDEN.items():
         if others:
-            pairs.append(meeting(a.where(F.col("fence_type") == kind), b.where(F.col("fence_type").isin(*others)), width))
-    found = pairs[0]
-    for p in pairs[1:]:
-        found = found.unionByName(p)
-    return expanded(found.distinct(), own, there).select("new_id", "area_id")
+            bad = bad | ((F.col("left_kind") == kind) & F.col("right_kind").isin(*others))
+    found = meeting_rows(a.withColumnRenamed("fence_type", "left_kind"), b.withColumnRenamed("fence_type", "right_kind"), bad, width)
+    return expanded(found, own, there).select("new_id", "area_id")
 
 
 def polygons_of_project(fences: DataFrame, areas: DataFrame, kinds: tuple[int, ...] = (NO_FLY, TRIAL), width: float = 0.25) -> DataFrame:

@@ -37,9 +37,12 @@ def figures(df: DataFrame, key: Column, name: str, *rest: str) -> tuple[DataFram
 
 
 def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of shapes (left, right) as pairs of the rows that have them: left(shape, ...), right(shape, ...). Other columns must differ."""
-    held = pairs.join(right.withColumnRenamed("shape", "right"), "right").drop("right")
-    return held.join(left.withColumnRenamed("shape", "left"), "left").drop("left")
+    """Pairs of shapes (left, right) as pairs of the rows that have them: left(shape, ...), right(shape, ...). Other columns must differ.
+
+    A task holds its share of the rows in a hash table and streams the pairs past it: what grows with both sides is never sorted or held.
+    """
+    held = pairs.join(right.withColumnRenamed("shape", "right").hint("shuffle_hash"), "right").drop("right")
+    return held.join(left.withColumnRenamed("shape", "left").hint("shuffle_hash"), "left").drop("left")
 
 
 def pieces(df: DataFrame, key: Column, polygons: Column) -> DataFrame:
@@ -74,9 +77,15 @@ def share_a_point(a: str, b: str) -> Column:
     return boxes & ~apart
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for joins whose rows are many more than their input's size says, so that adaptive execution makes too few."""
+    return df.sparkSession.sparkContext.defaultParallelism * 4
+
+
 def touching(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """Distinct left and right (keys) of pieces that share a point."""
-    a, b = dealt(left, width).withColumnRenamed("key", "left").alias("a"), dealt(right, width).withColumnRenamed("key", "right").alias("b")
+    a = dealt(left, width).withColumnRenamed("key", "left").repartition(tasks(left), "_bx", "_by").alias("a")
+    b = dealt(right, width).withColumnRenamed("key", "right").alias("b")
     near = a.join(b, [F.col("a._bx") == F.col("b._bx"), F.col("a._by") == F.col("b._by")])
     return near.where(share_a_point("a", "b")).select("left", "right").distinct()
 
@@ -88,7 +97,7 @@ def holding(points: DataFrame, of: DataFrame, width: float) -> DataFrame:
     """
     sides = [F.min(F.least("y1", "y2")).alias("lat_min"), F.max(F.greatest("y1", "y2")).alias("lat_max"), F.min(F.least("x1", "x2")).alias("lng_min"), F.max(F.greatest("x1", "x2")).alias("lng_max")]
     boxes = of.groupBy("key", "part").agg(*sides)
-    inside = points_in_rectangles(points.select("left", F.col("x").alias("lng"), F.col("y").alias("lat")), boxes, width).select("left", "lng", "lat", "key", "part")
+    inside = points_in_rectangles(points.select("left", F.col("x").alias("lng"), F.col("y").alias("lat")), boxes, width).select("left", "lng", "lat", "key", "part").repartition(tasks(of), "key", "part")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > F.col("lat")) != (y2 > F.col("lat"))) & (F.col("lng") < (x2 - x1) * (F.col("lat") - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
     counted = inside.join(of, ["key", "part"]).groupBy("left", "lng", "lat", "key", "part").agg(F.count_if(crosses).alias("n"))
@@ -110,6 +119,15 @@ def meeting(left: DataFrame, right: DataFrame, width: float = 0.25) -> DataFrame
     return found.unionByName(turned).distinct()
 
 
+def meeting_rows(left: DataFrame, right: DataFrame, allowed: Column, width: float = 0.25) -> DataFrame:
+    """Distinct left and right of shapes that have rows (shape, polygons, left_kind; right_kind) which share a point and are allowed; equal polygons of many kinds are compared once."""
+    a, b = left.withColumn("_of", named(F.col("polygons"))), right.withColumn("_of", named(F.col("polygons")))
+    once = lambda df: df.groupBy(F.col("_of").alias("shape")).agg(F.first("polygons").alias("polygons")).where("shape IS NOT NULL")
+    pairs = meeting(once(a), once(b), width).select(F.col("left").alias("_one"), F.col("right").alias("_two"))
+    found = pairs.join(a.select(F.col("_of").alias("_one"), F.col("shape").alias("left"), "left_kind"), "_one").join(b.select(F.col("_of").alias("_two"), F.col("shape").alias("right"), "right_kind"), "_two")
+    return found.where(allowed).select("left", "right").distinct()
+
+
 def overlapping(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, width: float = 0.25) -> DataFrame:
     """Distinct left and right (keys) of rows whose `polygons` share a point."""
     (own, a), (there, b) = figures(left, left_key, "_left"), figures(right, right_key, "_right")
