@@ -45,12 +45,20 @@ BLOCK = 512
 #: Lines to verify up to this number are fetched with broadcast ids (some 50 bytes each); more of them by a shuffle.
 FEW = 500_000
 #: For each place the order in which it looks at all places for a value, itself first.
-ORDERS = np.argsort(np.random.default_rng(4).random((PLACES, PLACES)) + 1 - np.eye(PLACES), axis=1)
+ORDERS = np.argsort(np.random.default_rng(4).random((PLACES, PLACES)) + 1 - np.eye(PLACES), axis=1).astype(np.int32)
+#: RANKS[i, j]: when the place j looks at the place i.
+RANKS = np.argsort(ORDERS, axis=1).T.astype(np.uint16).copy()
+#: A line with values at so many places or fewer has its others filled by the least rank, any other by looking in turn; lines filled at once, to stay in the cache.
+SPARSE, TOGETHER = 16, 256
 
 
 def plain(line: str) -> str:
     """What is compared of a line."""
-    return " ".join(line.lower().split())
+    low = line.lower()
+    # all white space but the space itself counts as not printable
+    if low.isprintable() and "  " not in low and low[:1] != " " and low[-1:] != " ":
+        return low
+    return " ".join(low.split())
 
 
 def key_of(line: str) -> bytes:
@@ -85,6 +93,36 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside[: len(h)]]), counts
 
 
+def filled(best: np.ndarray) -> np.ndarray:
+    """best, a row a line, with the places that have no value (the largest number) filled from the first in their order that has one; each row has one at least."""
+    none = ~np.uint64(0)
+    there = best != none
+    counts = there.sum(1)
+    # lines with as many values are filled together
+    order = np.argsort(counts, kind="stable")
+    edges = np.searchsorted(counts[order], np.arange(1, SPARSE + 2))
+    for n in range(1, SPARSE + 1):
+        for a in range(edges[n - 1], edges[n], TOGETHER):
+            some = order[a : min(a + TOGETHER, edges[n])]
+            at = np.nonzero(there[some])[1].reshape(len(some), n)
+            best[some] = np.take_along_axis(best[some], np.take_along_axis(at, RANKS[at].argmin(1), 1), 1)
+    turns = ORDERS.ravel()
+    for a in range(edges[SPARSE], len(order), TOGETHER):
+        some = order[a : a + TOGETHER]
+        source = best[some].ravel()
+        made = source.copy()
+        empty = np.flatnonzero(source == none).astype(np.int32)
+        start, orders, nth = empty - empty % PLACES, empty % PLACES * PLACES, 0
+        while len(empty):
+            nth += 1
+            value = source.take(start + turns.take(orders + nth))
+            made[empty] = value
+            left = np.flatnonzero(value == none)
+            empty, start, orders = empty[left], start[left], orders[left]
+        best[some] = made.reshape(-1, PLACES)
+    return best
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, PLACES) of 64-bit values."""
     # a long line is sketched in segments that share SHINGLE - 1 characters
@@ -100,17 +138,7 @@ def signatures(lines: list[str]) -> np.ndarray:
             place = ((hashes >> np.uint64(32)) * np.uint64(PLACES) >> np.uint64(32)).astype(np.int64)
             np.minimum.at(best, of + place, hashes * np.uint64(BASE) >> np.uint64(1))
             a, size = b, 0
-    none = ~np.uint64(0)
-    empty = np.flatnonzero(best == none)
-    source, start, orders = best.copy(), empty - empty % PLACES, empty % PLACES * PLACES
-    for nth in range(1, PLACES):
-        if not len(empty):
-            break
-        value = source.take(start + ORDERS.take(orders + nth))
-        best[empty] = value
-        left = value == none
-        empty, start, orders = empty[left], start[left], orders[left]
-    return best.reshape(-1, PLACES)
+    return filled(best.reshape(-1, PLACES))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -131,3 +131,22 @@ def test_long_texts_and_a_hot_line(spark):
     made = dedup_lines(docs).collect()
     assert sum(hot in r["text"] for r in made) == 1
     assert all(f"w{r['doc_id']} " in r["text"] for r in made)
+
+
+def test_places_without_a_value():
+    """Few and many values, and more lines than are filled at once, against the definition."""
+    rng = np.random.default_rng(3)
+    none, places = ~np.uint64(0), fuzzy_lines.PLACES
+    counts = [1, 1, 2, fuzzy_lines.SPARSE, fuzzy_lines.SPARSE + 1, places - 1, places, *rng.integers(1, places + 1, 300), *rng.integers(1, 4, 300)]
+    best = np.full((len(counts), places), none)
+    for row, n in zip(best, counts):
+        row[rng.choice(places, n, replace=False)] = rng.integers(0, 1 << 62, n, np.uint64)
+    theirs = [[next(v for p in fuzzy_lines.ORDERS[place] if (v := row[p]) != none) for place in range(places)] for row in best]
+    assert (fuzzy_lines.filled(best.copy()) == np.array(theirs)).all()
+
+
+def test_plain_lines_as_words_joined():
+    """Every character alone, doubled, within, before and after words."""
+    for c in map(chr, range(0x3100)):
+        for line in (c, c + c, f"A{c}b", f"A{c}{c}B", f"{c}Ab", f"Ab{c}", f"A {c}b", f" A{c} "):
+            assert plain(line) == " ".join(line.lower().split())
