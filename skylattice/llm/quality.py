@@ -22,6 +22,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,12 +109,22 @@ class Attention:
         return out
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 25, size: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Attention:
-    """Adam over shuffled mini-batches; both labels weigh the same, so 0.7 asks for clear evidence of quality."""
+def spread(every: np.ndarray, most: int = 16) -> np.ndarray:
+    """Standard deviations of the columns, a few at once, so that no second table of all values is made."""
+    return np.concatenate([every[:, a : a + most].std(0) for a in range(0, every.shape[1], most)])
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, **how: float) -> Attention:
+    """fit_table() of the passages of each document."""
+    return fit_table(np.concatenate(bags), np.array([len(b) for b in bags]), labels, **how)
+
+
+def fit_table(every: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 25, size: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Attention:
+    """Adam over shuffled mini-batches; both labels weigh the same, so 0.7 asks for clear evidence of quality. every: the passages of one document after another; sizes: their numbers."""
     random = np.random.default_rng(7)
-    every = np.concatenate(bags)
+    bags = np.split(every, np.cumsum(sizes)[:-1])
     shape = {"w": (FACTS, CODE), "b": (CODE,), "v": (CODE, GATE), "u": (CODE, GATE), "a": (GATE,), "c": (CODE,), "d": (1,)}
-    model = Attention(every.mean(0), every.std(0) + 1e-3, {k: random.normal(0, 0.3, s) for k, s in shape.items()})
+    model = Attention(every.mean(0), spread(every) + 1e-3, {k: random.normal(0, 0.3, s) for k, s in shape.items()})
     one, two, step = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}, 0
     good = labels.mean()
     if good in (0.0, 1.0):
@@ -148,11 +159,21 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, rest: int = 2, sam
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "facts"])
 
     taken = sampled_texts(docs, usable, sample)
-    rows = taken.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, facts binary").where(F.length("facts") > 0).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
-    if not rows:
+    rows = taken.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, facts binary").where(F.length("facts") > 0)
+    found = rows.toArrow()
+    found = found.take(pa.compute.sort_indices(found, sort_keys=[("doc_id", "ascending"), ("label", "ascending")]))
+    if not len(found):
         return fit([np.zeros((1, FACTS), np.float32)], np.ones(1))
-    return fit([np.frombuffer(r["facts"], "<f2").astype(np.float32).reshape(-1, FACTS) for r in rows], np.array([r["label"] for r in rows], float))
+    sizes = pa.compute.binary_length(found.column("facts")).to_numpy() // (2 * FACTS)
+    # one table of all passages, filled a document at a time
+    every, at = np.empty((int(sizes.sum()), FACTS), np.float32), 0
+    for facts in found.column("facts"):
+        own = np.frombuffer(facts.as_buffer(), "<f2").reshape(-1, FACTS)
+        every[at : at + len(own)] = own
+        at += len(own)
+    labels = found.column("label").to_numpy().astype(float)
+    del found
+    return fit_table(every, sizes, labels)
 
 
 def scored(docs: DataFrame, model: Attention, least: float = 0.7) -> DataFrame:

@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +141,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, rest: int = 0, sam
                 found.append(at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == own) if len(kept) else np.zeros(0, np.int64)].astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "places"])
 
-    fitted = sorted((r["label"], bytes(r["places"])) for r in rows.mapInArrow(places, "label int, places binary").collect())
-    return fit([np.frombuffer(x, "<i4") for _, x in fitted], np.array([y for y, _ in fitted], float), kept)
+    found = rows.mapInArrow(places, "label int, places binary").toArrow()
+    found = found.take(pa.compute.sort_indices(found, sort_keys=[("label", "ascending"), ("places", "ascending")]))
+    return fit([np.frombuffer(x.as_buffer(), "<i4") for x in found.column("places")], found.column("label").to_numpy().astype(float), kept)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
