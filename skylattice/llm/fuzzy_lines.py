@@ -19,17 +19,20 @@ ids come last. An empty table gives an empty result. Other columns pass through,
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice import runtime
-from skylattice.llm.hashing import BASE, ELEMENT, banded, mix, multiset
+from skylattice.llm.hashing import BASE, ELEMENT, ELEMENT_BITS, banded, mix
 from skylattice.llm.memo import Memo
-from skylattice.llm.near_groups import BANDED, banded_rows, candidates, near_groups, numbered, parts_for
+from skylattice.llm.near_groups import BANDED, banded_rows, bucket_pairs, near_groups, numbered, parts_for
 from skylattice.llm.rows import with_row
 
 SHINGLE = 4
@@ -38,12 +41,23 @@ PLACES = BANDS * ROWS
 LEAST = 0.8
 #: Characters sketched at once, so that very long texts need little memory.
 CHUNK = 1 << 16
-#: Lines whose band rows a task makes at once, and lines it remembers as sketched.
+#: Lines (about) whose band rows a task makes at once, and lines it remembers as sketched.
 LINES, SEEN = 10_000, 500_000
+#: Bytes that a line is taken to have where only the size of tasks depends on it.
+BYTES = 256
 #: Lines of a block of a bucket: a few hundred bytes each.
 BLOCK = 512
 #: Lines to verify up to this number are fetched with broadcast ids (some 50 bytes each); more of them by a shuffle.
 FEW = 500_000
+#: Schema of entries(), and as Arrow's.
+ENTRIES = f"{BANDED}, content array<binary>, row array<binary>, doc_id array<long>, line array<int>, n array<int>"
+EMPTY = pa.schema([("part", pa.int64()), *((c, pa.list_(t)) for c, t in (("band", pa.int64()), ("key", pa.int64()), ("head", pa.int64()), ("content", pa.binary()), ("row", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())))])
+#: Schema of gathered(), and as Arrow's.
+GATHERED = "band long, a long, b long, content binary, key long, row binary, doc_id long, line int, n int"
+MADE = pa.schema([("band", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("content", pa.binary()), ("key", pa.int64()), ("row", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())])
+#: White space other than the space and the line feed.
+ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+ODD_ASCII = [c for c in ODD if c.isascii()]
 #: For each place the order in which it looks at all places for a value, itself first.
 ORDERS = np.argsort(np.random.default_rng(4).random((PLACES, PLACES)) + 1 - np.eye(PLACES), axis=1).astype(np.int32)
 #: RANKS[i, j]: when the place j looks at the place i.
@@ -52,13 +66,31 @@ RANKS = np.argsort(ORDERS, axis=1).T.astype(np.uint16).copy()
 SPARSE, TOGETHER = 16, 256
 
 
+def is_odd(text: str) -> bool:
+    """True if the text has white space other than spaces and line feeds."""
+    return any(c in text for c in (ODD_ASCII if text.isascii() else ODD))
+
+
 def plain(line: str) -> str:
     """What is compared of a line."""
     low = line.lower()
-    # all white space but the space itself counts as not printable
-    if low.isprintable() and "  " not in low and low[:1] != " " and low[-1:] != " ":
-        return low
-    return " ".join(low.split())
+    return " ".join(low.split()) if is_rough(low) or "\n" in low or is_odd(low) else low
+
+
+def is_rough(line: str) -> bool:
+    """True if a line has a space beside another, or at an end."""
+    return "  " in line or line[:1] == " " or line[-1:] == " "
+
+
+def plain_lines(text: str) -> list[str]:
+    """plain() of every line of a text; what holds for the text needn't be looked for in each line, and no line sways the lower case of another."""
+    low = text.lower()
+    lines = low.split("\n")
+    if is_odd(low):
+        return [" ".join(x.split()) for x in lines]
+    if "  " in low:
+        return [" ".join(x.split()) if is_rough(x) else x for x in lines]
+    return [x.strip() if x[:1] == " " or x[-1:] == " " else x for x in lines]
 
 
 def key_of(line: str) -> bytes:
@@ -141,60 +173,94 @@ def signatures(lines: list[str]) -> np.ndarray:
     return filled(best.reshape(-1, PLACES))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """content (the 128-bit key), key (64 bits of it), row, doc_id, line of every line that isn't blank; docs: row, doc_id, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Memo(key_of, 50_000)
-        for batch in batches:
-            content, of, number = [], [], []
-            for n, text in enumerate(batch.column(2).to_pylist()):
-                for i, line in enumerate((text or "").split("\n")):
-                    if line := plain(line):
-                        content.append(keys[line] if len(line) < 100 else key_of(line))
-                        of.append(n)
-                        number.append(i)
-            at = pa.array(of, pa.int32())
-            columns = [pa.array(content, pa.binary()), pa.array(short(content)), batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["content", "key", "row", "doc_id", "line"])
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "content binary, key long, row binary, doc_id long, line int")
+def entries(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of ENTRIES, dealt into so many parts, in one pass over the texts; docs: row, doc_id, text. There are three kinds:
 
-
-def sketched(docs: DataFrame, parts: int) -> DataFrame:
-    """near_groups.BANDED rows, in so many parts, of the lines that aren't blank, each line once from a task (or once more, if it comes back very late)."""
+    near_groups.BANDED rows of the lines that aren't blank, each line once from a task (or once more, if it comes back very late);
+    by parts of the content (the 128-bit key), the first place of each line of a batch and how often it has it, in n;
+    the places of all lines, without n, dealt to parts in turn.
+    """
 
     def banded_lines(keys: list[bytes], lines: list[str]) -> pa.RecordBatch:
-        return banded_rows(short(keys), banded(signatures(lines), ROWS), parts)
+        made = banded_rows(short(keys), banded(signatures(lines), ROWS), parts)
+        return pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(len(made), f.type) for f in list(EMPTY)[4:])], schema=EMPTY)
+
+    def places(content: list[bytes], of: list[int], number: list[int], row: pa.Array, doc_id: pa.Array, turn: int) -> pa.RecordBatch:
+        """The places of a batch's lines in one row, then the first place of each line, a row for each part."""
+        table = pa.table({"content": pa.array(content, pa.binary()), "row": row.take(pa.array(of, pa.int32())), "doc_id": doc_id.take(pa.array(of, pa.int32())), "line": pa.array(number, pa.int32()), "n": pa.array(np.ones(len(of), np.int32))})
+        first = firsts(table)
+        part = (np.frombuffer(b"".join(first.column("content").to_pylist()), ">u4")[::4].astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        edges = pa.array(np.concatenate([[0, len(of)], len(of) + starts[1:], [len(of) + len(first)]]).astype(np.int32))
+        both = pa.concat_tables([table, first]).combine_chunks()
+        lists = {c: pa.ListArray.from_arrays(edges, both.column(c).chunk(0)) for c in ("content", "row", "doc_id", "line", "n")}
+        lists["n"] = pa.compute.if_else(pa.array(np.arange(len(starts) + 1) > 0), lists["n"], None)
+        lists["part"] = pa.array(np.append(turn % parts, part[starts]))
+        return pa.RecordBatch.from_arrays([lists[f.name] if f.name in lists else pa.nulls(len(starts) + 1, f.type) for f in EMPTY], schema=EMPTY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, lines = Memo(lambda key: [], SEEN), [], []
+        seen, keys, lines, turn = Memo(lambda key: [], SEEN), [], [], TaskContext.get().partitionId() * 101
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if line := plain(line):
+            content, of, number = [], [], []
+            for n, text in enumerate(batch.column(2).to_pylist()):
+                for i, line in enumerate(plain_lines(text) if text else ()):
+                    if line:
                         key = key_of(line)
+                        content.append(key)
+                        of.append(n)
+                        number.append(i)
                         if not (mark := seen[key]):
                             mark.append(True)
                             keys.append(key)
                             lines.append(line)
-                if len(lines) >= LINES:
-                    yield banded_lines(keys, lines)
-                    keys, lines = [], []
+            if content:
+                turn += 1
+                yield places(content, of, number, batch.column(0), batch.column(1), turn)
+            if len(lines) >= LINES:
+                yield banded_lines(keys, lines)
+                keys, lines = [], []
         if lines:
             yield banded_lines(keys, lines)
 
-    return docs.select("text").mapInArrow(run, BANDED)
+    return docs.select("row", "doc_id", "text").mapInArrow(run, ENTRIES)
+
+
+def firsts(table: pa.Table) -> pa.Table:
+    """Of rows content, row, doc_id, line, n the first of each content in order of doc_id (nulls last), row, line, with the sum of n; sorted by content."""
+    table = table.take(pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in ("content", "doc_id", "row", "line")])).combine_chunks()
+    content = np.frombuffer(b"".join(table.column("content").to_pylist()), np.int64).reshape(-1, 2)
+    starts = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]).any(1)])) if len(content) else np.zeros(0, np.int64)
+    n = np.add.reduceat(np.asarray(table.column("n")), starts) if len(starts) else np.zeros(0, np.int32)
+    return table.take(pa.array(starts)).set_column(4, "n", pa.array(n, pa.int32()))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Rows of GATHERED, of rows of ENTRIES: candidates (band, a, b), the first place of each content (with key, 64 bits of it, and n), and all places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = table.filter(pa.compute.is_valid(table.column("content")))
+        known = pa.compute.is_valid(flat.column("n"))
+        first, all_ = ({c: pa.compute.list_flatten(t.column(c)) for c in ("content", "row", "doc_id", "line", "n")} for t in (flat.filter(known), flat.filter(pa.compute.invert(known))))
+        first = firsts(pa.table(first))
+        first = first.append_column("key", pa.array(short(first.column("content").to_pylist())))
+        del all_["n"], all_["doc_id"]
+        pairs = bucket_pairs(table.filter(pa.compute.is_valid(table.column("band"))))
+        kinds = [pa.table(dict(zip(("band", "a", "b"), map(pa.array, pairs)))), first, pa.table(all_)]
+        return pa.concat_tables([pa.table([t.column(f.name) if f.name in t.column_names else pa.nulls(len(t), f.type) for f in MADE], schema=MADE) for t in kinds])
+
+    return rows.groupBy("part").applyInArrow(run, GATHERED)
 
 
 def shingle_ids(lines: list[str | None]) -> list[np.ndarray]:
     """The shingle set of each line as sorted 48-bit hashes."""
     found = []
     for a in range(0, len(lines), 1000):
-        hashes, counts = shingle_hashes([plain(x or "") or " " for x in lines[a : a + 1000]])
-        element, of, _ = multiset(hashes & ELEMENT, np.repeat(np.arange(len(counts)), counts))
-        edges = np.searchsorted(of, np.arange(len(counts) + 1)).tolist()
-        found += [element[i:j] for i, j in zip(edges, edges[1:])]
+        hashes, counts = shingle_hashes([x or " " for x in plain_lines("\n".join(x or "" for x in lines[a : a + 1000]))])
+        both = np.sort(hashes & ELEMENT | np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(ELEMENT_BITS), counts))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        edges = np.searchsorted(both, np.arange(len(counts) + 1, dtype=np.uint64) << np.uint64(ELEMENT_BITS)).tolist()
+        both &= ELEMENT
+        found += [both[i:j] for i, j in zip(edges, edges[1:])]
     return found
 
 
@@ -208,23 +274,31 @@ def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     return found.select("lines", F.split("text", "\n", -1).alias("parts")).select(F.inline(taken))
 
 
+def lines_in(docs: DataFrame) -> int:
+    """About the number of lines, to deal them out: there is no need to look for them."""
+    return docs.agg(F.sum(F.ceil(F.octet_length("text") / BYTES))).first()[0] or 0
+
+
 def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """row, lines (the numbers of those that go) of the documents that lose a line; docs: row, doc_id, text."""
-    lines = runtime.written(keyed(docs), "lines")
-    found = runtime.written(candidates(sketched(docs, parts_for(lines.count(), BANDS))), "line-buckets")
+    made = runtime.written(gathered(entries(docs, parts_for(lines_in(docs), BANDS))), "line-entries")
+    found = made.where("band is not null").select("band", "a", "b")
+    lines = made.where("content is not null and n is null").select("content", "row", "line")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
-    firsts = runtime.written(lines.groupBy("content").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first("key").alias("key")), "line-keys")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = firsts.join(wanted, "key", "left_semi").select("content", "key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("near", F.lit(True))
+    # lines that come once and have no candidate are settled
+    known = made.where("n is not null").join(wanted, "key", "left").where("near or n > 1")
+    known = runtime.written(known.select("content", "key", order.alias("first"), "n", "near"), "line-keys")
+    places = known.where("near").select("content", "key", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
     # rows that repeat give a text several nodes, which near_groups() unites as they share a key
-    texts = numbered(lines_of(docs, runtime.written(places, "line-places")), "line-texts")
+    texts = numbered(lines_of(docs, places), "line-texts")
     roots = near_groups(found, texts, shingle_ids, least, BLOCK)
     # the group of a line without links is named by its content, any other by its root
     group = texts.groupBy("content").agg(F.min("node").alias("node")).join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
-    named = firsts.join(group, "content", "left").where("group is not null or n > 1").select("content", "first", "n", F.coalesce("group", "content").alias("group"))
+    named = known.join(group, "content", "left").select("content", "first", "n", F.coalesce("group", "content").alias("group"))
     groups = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
     repeated = runtime.written(named.join(groups, "group").select("content", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")
-    goes = lines.select("content", "row", "line").join(repeated, "content").where((F.col("row") != F.col("stay_row")) | (F.col("line") != F.col("stay_line")))
+    goes = lines.join(repeated, "content").where((F.col("row") != F.col("stay_row")) | (F.col("line") != F.col("stay_line")))
     return goes.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
@@ -234,7 +308,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     goes = dropped(rows.select("row", "doc_id", "text"), least)
     text = F.col(f"doc.`{text_col}`")  # the texts are shuffled once
     stay = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")
-    joined = rows.select("row", "doc").join(goes, "row", "left")
+    joined = rows.select("row", "doc").join(goes.hint("shuffle_hash"), "row", "left")  # so that no text is sorted
     return joined.select("doc", F.when(F.col("lines").isNull(), text).otherwise(stay).alias("text"), F.sort_array(F.coalesce("lines", F.array().cast("array<int>"))).alias("lines"))
 
 

@@ -16,6 +16,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTE = np.random.default_rng(20240601).integers(0, 1 << 64, 256, np.uint64)
 #: Bytes of words: letters, digits, the underscore and all bytes beyond ASCII.
 IS_WORD = np.array([bytes([b]).isalnum() or b == 95 or b >= 128 for b in range(256)])
+#: Odd factors for the values of a band.
+ODDS = np.random.default_rng(20240602).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -96,11 +98,9 @@ def multiset(elements: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def banded(signature: np.ndarray, rows: int) -> np.ndarray:
     """Keys of the bands of each signature: rows of 64-bit values to (texts, bands) as int64."""
     n, m = signature.shape
-    parts = signature.reshape(n, m // rows, rows)
-    key = np.zeros((n, m // rows), np.uint64) + np.arange(1, m // rows + 1, dtype=np.uint64) * np.uint64(BASE)
-    for i in range(rows):
-        key = mix(key + parts[:, :, i])
-    return key.view(np.int64)
+    # values are hashes, so a sum with random odd factors keeps different bands apart
+    total = signature.reshape(-1, rows) @ ODDS[:rows]
+    return mix(total.reshape(n, m // rows) + np.arange(1, m // rows + 1, dtype=np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

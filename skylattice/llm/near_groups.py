@@ -44,33 +44,34 @@ def parts_for(items: int, bands: int) -> int:
     return max(1, -(-items * bands // PART_ENTRIES))
 
 
-def heads(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the entries that share their band with a lesser key, and the least key of that band."""
-    ranked = np.sort(band)
-    shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    some = np.flatnonzero(np.isin(band, shared)) if len(shared) else np.zeros(0, np.int64)
-    group = np.searchsorted(shared, band[some])
-    low = np.full(len(shared), np.iinfo(np.int64).max)
-    np.minimum.at(low, group, key[some])
-    head = low[group]
-    return some[head != key[some]], head[head != key[some]]
+def heads(band: np.ndarray, key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries that share their band with a lesser key, and the least key of that band; order: the entries sorted by band."""
+    ranked = band[order]
+    same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])  # as the one before
+    shared = np.flatnonzero(same[:-1] | same[1:]) if len(band) else np.zeros(0, np.int64)
+    if not len(shared):
+        return shared, np.zeros(0, np.int64)
+    some, first = order[shared], ~same[shared]
+    own = key[some]
+    head = np.minimum.reduceat(own, np.flatnonzero(first))[np.cumsum(first) - 1]
+    return some[head != own], head[head != own]
 
 
 def banded_rows(keys: np.ndarray, bands: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows of BANDED for items with different keys and their (items, bands) band keys.
 
-    The first member of each bucket here travels to the bucket's part. The others are settled: they go to parts in turn.
+    The first member of each bucket here travels to the bucket's part, a range of the band keys. The others are settled: they go to all parts alike.
     """
     band, key = bands.ravel(), np.repeat(keys, bands.shape[1])
-    some, head = heads(band, key)
+    order = np.argsort(band.view(np.uint64))
+    some, head = heads(band, key, order)
     rest = np.ones(len(band), bool)
     rest[some] = False
-    part = (band[rest].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    lists = [(part[order], band[rest][order], key[rest][order], None), (np.arange(len(some)) % parts, band[some], key[some], head)]
+    left = order[rest[order]]
+    part = ((band[left].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    lists = [(part, band[left], key[left], None), (np.arange(len(some)) * parts // max(1, len(some)), band[some], key[some], head)]
     found = []
     for at, *columns in lists:
-        at, columns = (at, columns) if columns[2] is None else (np.sort(at), [c[np.argsort(at, kind="stable")] for c in columns])
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
         edges = pa.array(np.append(starts, len(at)).astype(np.int32))
         arrays = [pa.ListArray.from_arrays(edges, pa.array(c)) if c is not None else pa.nulls(len(starts), pa.list_(pa.int64())) for c in columns]
@@ -78,17 +79,22 @@ def banded_rows(keys: np.ndarray, bands: np.ndarray, parts: int) -> pa.RecordBat
     return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if len(band) else found[0]
 
 
+def bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """band, a, b: each member a of a bucket of two or more items, and a lesser one, b; table: rows of BANDED of one part."""
+    known = pa.compute.is_valid(table.column("head"))
+    settled, open_ = table.filter(known), table.filter(pa.compute.invert(known))
+    flat = lambda t, c: np.asarray(pa.compute.list_flatten(t.column(c)))
+    band, key = flat(open_, "band"), flat(open_, "key")
+    some, head = heads(band, key, np.argsort(band))
+    columns = [(band[some], flat(settled, "band")), (key[some], flat(settled, "key")), (head, flat(settled, "head"))]
+    return tuple(np.concatenate(c).astype(np.int64) for c in columns)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """band, a, b: each member a of a bucket of two or more items, and a lesser one, b; rows: BANDED."""
+    """band, a, b of bucket_pairs(); rows: BANDED."""
 
     def run(table: pa.Table) -> pa.Table:
-        known = pa.compute.is_valid(table.column("head"))
-        settled, open_ = table.filter(known), table.filter(pa.compute.invert(known))
-        flat = lambda t, c: np.asarray(pa.compute.list_flatten(t.column(c)))
-        band, key = flat(open_, "band"), flat(open_, "key")
-        some, head = heads(band, key)
-        columns = [(band[some], flat(settled, "band")), (key[some], flat(settled, "key")), (head, flat(settled, "head"))]
-        return pa.table(dict(zip(("band", "a", "b"), (pa.array(np.concatenate(c), pa.int64()) for c in columns))))
+        return pa.table(dict(zip(("band", "a", "b"), map(pa.array, bucket_pairs(table)))))
 
     return rows.groupBy("part").applyInArrow(run, "band long, a long, b long")
 
@@ -229,14 +235,15 @@ def links(sets: list[np.ndarray], roots: list[int], strays: np.ndarray, least: f
 
 def unsettled(found: DataFrame, pairs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """band, node, root, stray of the members of buckets of three and more that lie in two or more groups; a stray isn't of the bucket's largest group."""
-    nodes = texts.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    # written, as three joins read it: each plan stays short, for the driver too
+    nodes = runtime.written(texts.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "nodes")
     a, b = (nodes.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     failed = pairs.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b").distinct()
     ordered = found.select("band", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     bands = ordered.join(failed.withColumn("failed", F.lit(1)), ["a", "b"], "left").groupBy("band").agg(F.max("failed").alias("failed"), F.count("*").alias("n")).where("failed = 1 AND n > 1")
     rows = runtime.written(ordered.join(bands.select("band"), "band", "left_semi"), "unsettled")
     members = rows.select("band", F.col("a").alias("key")).unionByName(rows.select("band", F.col("b").alias("key"))).distinct()
-    members = members.join(nodes, "key").select("band", "node", "root")
+    members = runtime.written(members.join(nodes, "key").select("band", "node", "root"), "members")
     counts = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
     return members.join(counts.where("groups > 1"), "band").select("band", "node", "root", (F.col("root") != F.col("main")).alias("stray"))
 
@@ -248,7 +255,7 @@ def across(left: DataFrame, texts: DataFrame, ids: Ids, least: float, block: int
     members in one task, which compares whole sets. Pairs are neither rows nor shuffled: a member goes to as many places as its
     bucket has blocks of strays, a stray also to each block of members.
     """
-    sized = left.join(left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")), "band")
+    sized = runtime.written(left.join(left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("strays")), "band"), "sized")
     # the same few items often share several buckets: each set of up to `block` members is compared once, many such sets in a task
     few = sized.where(F.col("n") <= block).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "root", "stray"))).alias("members"))
     tasks = max(1, left.count() // (16 * block))
