@@ -87,7 +87,7 @@ def shingle_ids(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """row, doc_id, content, key (64 bits of the content's 128), bands (null where the text has no word) of docs(row, doc_id, text)."""
+    """row, doc_id, content, key (48 bits of the content's 128), bands (null where the text has no word) of docs(row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in hashing.slices(whole, 2)):
@@ -97,7 +97,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             band = hashing.banded(signatures(element, of, weight, len(texts)), ROWS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()), mask=pa.array(counts == 0))
             content = keys(texts, hashes, counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary()), pa.array(np.frombuffer(b"".join(content), np.int64)[::2]), lists], names=["row", "doc_id", "content", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary()), pa.array(np.frombuffer(b"".join(content), np.int64)[::2] & int(hashing.ELEMENT)), lists], names=["row", "doc_id", "content", "key", "bands"])
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, "row binary, doc_id long, content binary, key long, bands array<long>")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from skylattice import runtime
 from skylattice.llm.hashing import BASE, ELEMENT, ELEMENT_BITS, banded, mix
 from skylattice.llm.memo import Memo
-from skylattice.llm.near_groups import BANDED, banded_rows, bucket_pairs, near_groups, numbered, parts_for
+from skylattice.llm.near_groups import BANDED, banded_rows, bucket_pairs, near_groups, numbered, packed, parts_for, unpacked
 from skylattice.llm.rows import with_row
 
 SHINGLE = 4
@@ -50,8 +50,10 @@ BLOCK = 512
 #: Lines to verify up to this number are fetched with broadcast ids (some 50 bytes each); more of them by a shuffle.
 FEW = 500_000
 #: Schema of entries(), and as Arrow's.
-ENTRIES = f"{BANDED}, content array<binary>, row array<binary>, doc_id array<long>, line array<int>, n array<int>"
-EMPTY = pa.schema([("part", pa.int64()), *((c, pa.list_(t)) for c, t in (("band", pa.int64()), ("key", pa.int64()), ("head", pa.int64()), ("content", pa.binary()), ("row", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())))])
+ENTRIES = f"{BANDED}, places binary"
+EMPTY = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("band", "key", "head", "places"))])
+#: A place as it is packed: the two halves of content and of row, doc_id (`no_id` 1: null), line, and how often its batch has the content (0: not its first place there).
+PLACE = np.dtype([(c, ">u8") for c in ("c1", "c2", "r1", "r2")] + [("doc_id", "<i8"), ("line", "<i4"), ("n", "<i4"), ("no_id", "u1")])
 #: Schema of gathered(), and as Arrow's.
 GATHERED = "band long, a long, b long, content binary, key long, row binary, doc_id long, line int, n int"
 MADE = pa.schema([("band", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("content", pa.binary()), ("key", pa.int64()), ("row", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())])
@@ -59,11 +61,13 @@ MADE = pa.schema([("band", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("
 ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 ODD_ASCII = [c for c in ODD if c.isascii()]
 #: For each place the order in which it looks at all places for a value, itself first.
-ORDERS = np.argsort(np.random.default_rng(4).random((PLACES, PLACES)) + 1 - np.eye(PLACES), axis=1).astype(np.int32)
+ORDERS = np.argsort(np.random.default_rng(4).random((PLACES, PLACES)) + 1 - np.eye(PLACES), axis=1)
 #: RANKS[i, j]: when the place j looks at the place i.
 RANKS = np.argsort(ORDERS, axis=1).T.astype(np.uint16).copy()
 #: A line with values at so many places or fewer has its others filled by the least rank, any other by looking in turn; lines filled at once, to stay in the cache.
 SPARSE, TOGETHER = 16, 256
+#: Turns, the first a place's own, in which all places look at once; then those look that are still without a value.
+TURNS = 4
 
 
 def is_odd(text: str) -> bool:
@@ -98,9 +102,9 @@ def key_of(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def short(contents: list[bytes]) -> np.ndarray:
-    """64 bits of each 128-bit key."""
-    return np.frombuffer(b"".join(contents), np.int64)[::2]
+def short(contents: bytes) -> np.ndarray:
+    """48 bits of each 128-bit key."""
+    return np.frombuffer(contents, np.int64)[::2] & int(ELEMENT)
 
 
 def shingles(line: str) -> set[str]:
@@ -141,10 +145,13 @@ def filled(best: np.ndarray) -> np.ndarray:
     turns = ORDERS.ravel()
     for a in range(edges[SPARSE], len(order), TOGETHER):
         some = order[a : a + TOGETHER]
-        source = best[some].ravel()
-        made = source.copy()
-        empty = np.flatnonzero(source == none).astype(np.int32)
-        start, orders, nth = empty - empty % PLACES, empty % PLACES * PLACES, 0
+        source = best[some]
+        across = made = np.ascontiguousarray(source.T)  # a row a place, so that whole rows are copied
+        for nth in range(1, TURNS):
+            made = np.where(made == none, across.take(ORDERS[:, nth], axis=0), made)
+        source, made = source.ravel(), made.T.ravel()
+        empty = np.flatnonzero(made == none)
+        start, orders, nth = empty - empty % PLACES, empty % PLACES * PLACES, TURNS - 1
         while len(empty):
             nth += 1
             value = source.take(start + turns.take(orders + nth))
@@ -178,25 +185,26 @@ def entries(docs: DataFrame, parts: int) -> DataFrame:
 
     near_groups.BANDED rows of the lines that aren't blank, each line once from a task (or once more, if it comes back very late);
     by parts of the content (the 128-bit key), the first place of each line of a batch and how often it has it, in n;
-    the places of all lines, without n, dealt to parts in turn.
+    the other places, without n, dealt to parts in turn, so that a line of all texts fills no part.
     """
 
     def banded_lines(keys: list[bytes], lines: list[str]) -> pa.RecordBatch:
-        made = banded_rows(short(keys), banded(signatures(lines), ROWS), parts)
-        return pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(len(made), f.type) for f in list(EMPTY)[4:])], schema=EMPTY)
-
-    def places(content: list[bytes], of: list[int], number: list[int], row: pa.Array, doc_id: pa.Array, turn: int) -> pa.RecordBatch:
-        """The places of a batch's lines in one row, then the first place of each line, a row for each part."""
-        table = pa.table({"content": pa.array(content, pa.binary()), "row": row.take(pa.array(of, pa.int32())), "doc_id": doc_id.take(pa.array(of, pa.int32())), "line": pa.array(number, pa.int32()), "n": pa.array(np.ones(len(of), np.int32))})
-        first = firsts(table)
-        part = (np.frombuffer(b"".join(first.column("content").to_pylist()), ">u4")[::4].astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        made = banded_rows(short(b"".join(keys)), banded(signatures(lines), ROWS), parts)
+        return pa.RecordBatch.from_arrays([*made.columns, pa.nulls(len(made), pa.binary())], schema=EMPTY)
+
+    def placed(content: list[bytes], of: list[int], number: list[int], row: pa.Array, doc_id: pa.Array, turn: int) -> pa.RecordBatch:
+        """The places of a batch's lines that aren't first in one row, then the first place of each line, a row for each part."""
+        made = np.zeros(len(of), PLACE)
+        made["c1"], made["c2"] = np.frombuffer(b"".join(content), ">u8").reshape(-1, 2).T
+        made["r1"], made["r2"] = np.frombuffer(b"".join(row.to_pylist()), ">u8").reshape(-1, 2)[of].T
+        made["doc_id"], made["no_id"] = np.asarray(doc_id.fill_null(0))[of], np.asarray(doc_id.is_null())[of]
+        made["line"], made["n"] = number, 1
+        first, rest = firsts(made)
+        part = ((first["c1"].astype(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        edges = pa.array(np.concatenate([[0, len(of)], len(of) + starts[1:], [len(of) + len(first)]]).astype(np.int32))
-        both = pa.concat_tables([table, first]).combine_chunks()
-        lists = {c: pa.ListArray.from_arrays(edges, both.column(c).chunk(0)) for c in ("content", "row", "doc_id", "line", "n")}
-        lists["n"] = pa.compute.if_else(pa.array(np.arange(len(starts) + 1) > 0), lists["n"], None)
-        lists["part"] = pa.array(np.append(turn % parts, part[starts]))
-        return pa.RecordBatch.from_arrays([lists[f.name] if f.name in lists else pa.nulls(len(starts) + 1, f.type) for f in EMPTY], schema=EMPTY)
+        edges = np.concatenate([[0], len(rest) + starts, [len(of)]])
+        nothing = pa.nulls(len(starts) + 1, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.append(turn % parts, part[starts])), nothing, nothing, nothing, packed(np.concatenate([rest, first]), edges)], schema=EMPTY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, keys, lines, turn = Memo(lambda key: [], SEEN), [], [], TaskContext.get().partitionId() * 101
@@ -215,7 +223,7 @@ def entries(docs: DataFrame, parts: int) -> DataFrame:
                             lines.append(line)
             if content:
                 turn += 1
-                yield places(content, of, number, batch.column(0), batch.column(1), turn)
+                yield placed(content, of, number, batch.column(0), batch.column(1), turn)
             if len(lines) >= LINES:
                 yield banded_lines(keys, lines)
                 keys, lines = [], []
@@ -225,42 +233,76 @@ def entries(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, ENTRIES)
 
 
-def firsts(table: pa.Table) -> pa.Table:
-    """Of rows content, row, doc_id, line, n the first of each content in order of doc_id (nulls last), row, line, with the sum of n; sorted by content."""
-    table = table.take(pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in ("content", "doc_id", "row", "line")])).combine_chunks()
-    content = np.frombuffer(b"".join(table.column("content").to_pylist()), np.int64).reshape(-1, 2)
-    starts = np.flatnonzero(np.concatenate([[True], (content[1:] != content[:-1]).any(1)])) if len(content) else np.zeros(0, np.int64)
-    n = np.add.reduceat(np.asarray(table.column("n")), starts) if len(starts) else np.zeros(0, np.int32)
-    return table.take(pa.array(starts)).set_column(4, "n", pa.array(n, pa.int32()))
-
-
-def gathered(rows: DataFrame) -> DataFrame:
-    """Rows of GATHERED, of rows of ENTRIES: candidates (band, a, b), the first place of each content (with key, 64 bits of it, and n), and all places."""
+def firsts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of PLACEs the first of each content in order of doc_id (nulls last), row, line, with the sum of n, sorted by content; then the others, with n 0."""
+    c1 = places["c1"].astype(np.uint64)
+    order = np.argsort(c1)
+    same = c1[order[1:]] == c1[order[:-1]]
+    # few lines come again: only these are put in order
+    again = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False)) if len(same) else np.zeros(0, np.int64)
+    some = places[order[again]]
+    order[again] = order[again][np.lexsort([some[c].astype(some[c].dtype.newbyteorder("=")) for c in ("line", "r2", "r1", "doc_id", "no_id", "c2", "c1")])]
+    places = places[order]
+    is_first = np.ones(len(places), bool)
+    is_first[1:] = (places["c1"][1:] != places["c1"][:-1]) | (places["c2"][1:] != places["c2"][:-1])
+    first, rest = places[is_first], places[~is_first]
+    if len(first):
+        first["n"] = np.add.reduceat(places["n"], np.flatnonzero(is_first))
+    rest["n"] = 0
+    return first, rest
+
+
+def gathered(rows: DataFrame, twice: bool = True) -> DataFrame:
+    """Rows of GATHERED, of rows of ENTRIES: candidates (band, a, b), the first place of each content (with key, 48 bits of it, and n), and the
+    other places without n; if `twice`, all places without n, the first among them."""
+
+    def halves(places: np.ndarray, one: str, two: str) -> pa.Array:
+        both = np.column_stack([places[one], places[two]])
+        return packed(both, np.arange(len(places) + 1))
+
+    def columns(places: np.ndarray, first: bool) -> pa.Table:
+        content = halves(places, "c1", "c2")
+        made = {"content": content, "row": halves(places, "r1", "r2"), "line": pa.array(places["line"])}
+        if first:
+            made |= {"key": pa.array(short(np.column_stack([places["c1"], places["c2"]]).tobytes())), "doc_id": pa.array(places["doc_id"], mask=places["no_id"] > 0), "n": pa.array(places["n"])}
+        return pa.table(made)
 
     def run(table: pa.Table) -> pa.Table:
-        flat = table.filter(pa.compute.is_valid(table.column("content")))
-        known = pa.compute.is_valid(flat.column("n"))
-        first, all_ = ({c: pa.compute.list_flatten(t.column(c)) for c in ("content", "row", "doc_id", "line", "n")} for t in (flat.filter(known), flat.filter(pa.compute.invert(known))))
-        first = firsts(pa.table(first))
-        first = first.append_column("key", pa.array(short(first.column("content").to_pylist())))
-        del all_["n"], all_["doc_id"]
+        places = unpacked(table.column("places"), PLACE)
+        settled = places["n"] == 0
+        first, rest = firsts(places[~settled])
         pairs = bucket_pairs(table.filter(pa.compute.is_valid(table.column("band"))))
-        kinds = [pa.table(dict(zip(("band", "a", "b"), map(pa.array, pairs)))), first, pa.table(all_)]
+        kinds = [pa.table(dict(zip(("band", "a", "b"), map(pa.array, pairs)))), columns(first, True), *(columns(x, False) for x in (places[settled], rest, *[first] * twice))]
         return pa.concat_tables([pa.table([t.column(f.name) if f.name in t.column_names else pa.nulls(len(t), f.type) for f in MADE], schema=MADE) for t in kinds])
 
     return rows.groupBy("part").applyInArrow(run, GATHERED)
 
 
+def portions(lines: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """The lines in order, in portions of at least `most` characters or, the last, fewer."""
+    a = size = 0
+    for b, x in enumerate(lines, 1):
+        size += len(x or "") + 1
+        if size >= most or b == len(lines):
+            yield lines[a:b]
+            a, size = b, 0
+
+
 def shingle_ids(lines: list[str | None]) -> list[np.ndarray]:
     """The shingle set of each line as sorted 48-bit hashes."""
     found = []
-    for a in range(0, len(lines), 1000):
-        hashes, counts = shingle_hashes([x or " " for x in plain_lines("\n".join(x or "" for x in lines[a : a + 1000]))])
-        both = np.sort(hashes & ELEMENT | np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(ELEMENT_BITS), counts))
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-        edges = np.searchsorted(both, np.arange(len(counts) + 1, dtype=np.uint64) << np.uint64(ELEMENT_BITS)).tolist()
-        both &= ELEMENT
-        found += [both[i:j] for i, j in zip(edges, edges[1:])]
+    for some in portions(lines, CHUNK):
+        hashes, counts = shingle_hashes([x or " " for x in plain_lines("\n".join(x or "" for x in some))])
+        hashes &= ELEMENT
+        ends = np.cumsum(counts)
+        for i, j in zip([0, *ends.tolist()], ends.tolist()):
+            hashes[i:j].sort()
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        new[ends[:-1]] = True  # equal to the last of the line before, maybe
+        edges = [0, *np.cumsum(new)[ends - 1].tolist()]
+        hashes = hashes[new]
+        found += [hashes[i:j] for i, j in zip(edges, edges[1:])]
     return found
 
 
@@ -281,9 +323,10 @@ def lines_in(docs: DataFrame) -> int:
 
 def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """row, lines (the numbers of those that go) of the documents that lose a line; docs: row, doc_id, text."""
-    made = runtime.written(gathered(entries(docs, parts_for(lines_in(docs), BANDS))), "line-entries")
+    made = runtime.written(gathered(entries(docs, parts_for(lines_in(docs), BANDS)), twice=False), "line-entries")
     found = made.where("band is not null").select("band", "a", "b")
-    lines = made.where("content is not null and n is null").select("content", "row", "line")
+    # a line that comes once has its only place among the first ones
+    lines = made.where("content is not null and (n is null or n > 1)").select("content", "row", "line")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     wanted = found.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("near", F.lit(True))
     # lines that come once and have no candidate are settled
@@ -297,8 +340,11 @@ def dropped(docs: DataFrame, least: float = LEAST) -> DataFrame:
     group = texts.groupBy("content").agg(F.min("node").alias("node")).join(roots, "node", "left").select("content", F.concat(F.lit("node "), F.coalesce("root", "node").cast("string")).cast("binary").alias("group"))
     named = known.join(group, "content", "left").select("content", "first", "n", F.coalesce("group", "content").alias("group"))
     groups = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("size")).where("size > 1")
-    repeated = runtime.written(named.join(groups, "group").select("content", F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")), "repeated-lines")
-    goes = lines.join(repeated, "content").where((F.col("row") != F.col("stay_row")) | (F.col("line") != F.col("stay_line")))
+    stays = F.col("stays.row").alias("stay_row"), F.col("stays.line").alias("stay_line")
+    repeated = runtime.written(named.join(groups, "group").select("content", "n", F.col("first.row").alias("row"), F.col("first.line").alias("line"), *stays), "repeated-lines")
+    place = "row", "line", "stay_row", "stay_line"
+    places = lines.join(repeated.where("n > 1").select("content", "stay_row", "stay_line"), "content").select(*place).unionByName(repeated.where("n = 1").select(*place))
+    goes = places.where((F.col("row") != F.col("stay_row")) | (F.col("line") != F.col("stay_line")))
     return goes.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
@@ -321,5 +367,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0), text: one row per document."""
     made = deduplicated(docs)
-    n = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size(F.split("doc.text", "\n", -1)))
+    text = F.col("doc.text")
+    n = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return made.select("doc.doc_id", n.cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_dropped"), F.col("lines").alias("dropped"), "text")

@@ -2,13 +2,14 @@
 
 A bucket (the items with one band key) is never expanded into its pairs: its members are candidates of its least member only. Each
 batch names the least member of its share of a bucket itself and sends that one alone to the bucket; the others are settled. So a
-bucket that a third of all items share gets an entry from each batch at most. Entries travel in arrays, dealt into parts by band key.
+bucket that a third of all items share gets an entry from each batch at most. Entries are dealt into parts by band key and travel packed,
+12 bytes each, so that Spark copies a binary value for many of them: band keys keep their 48 high bits, and items have keys of 48 bits.
 
 Candidate pairs are verified on whole sets and united. Where a bucket is then still in several groups, those of its members outside
 its largest group (the strays) meet all its members block by block, so that no link is lost. Two blocks are one task's input: parity
 sketches of the sets bound each pair's difference from below, pairs that this leaves are compared as whole sets.
 
-Candidates are named by 64-bit keys of their content, and a key that two contents share only means more candidates: nodes of the
+Candidates are named by 48-bit keys of their content, and a key that two contents share only means more candidates: nodes of the
 verified graph are numbered rows of `texts`, one for each content.
 """
 
@@ -31,10 +32,15 @@ BLOCK = 256
 TASK_EDGES = 1_000_000
 #: Pairs of a hot item that go to one salted part.
 PART = 256
+#: Elements of sets sorted at once, so that they stay in the cache.
+SORTED = 1 << 16
 #: Entries (a band key and an item's key) of a part of the band keys.
 PART_ENTRIES = 1 << 18
-#: Schema of banded_rows(): entries of one part; head is null where it isn't known yet.
-BANDED = "part long, band array<long>, key array<long>, head array<long>"
+#: Schema of banded_rows(): packed entries of one part; head is null where it isn't known yet.
+BANDED = "part long, band binary, key binary, head binary"
+#: Bits of a band key that don't travel, and bytes of a number that do.
+BAND_REST = 16
+WIDE = 6
 
 Ids = Callable[[list[str | None]], list[np.ndarray]]
 
@@ -57,24 +63,47 @@ def heads(band: np.ndarray, key: np.ndarray, order: np.ndarray) -> tuple[np.ndar
     return some[head != own], head[head != own]
 
 
+def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of values[a:b] as one binary value for each two edges a, b in a row; values: as an array of rows, or structures."""
+    width = values.nbytes // max(1, len(values))
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((np.asarray(edges) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.ChunkedArray, kind: np.dtype | str) -> np.ndarray:
+    """All values of a column of packed() ones, in order; nulls hold none."""
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), kind)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """(values, WIDE) bytes of numbers of 48 bits."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE]
+
+
+def widened(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of a column of packed narrow() ones."""
+    made = np.zeros((len(few := unpacked(column, np.uint8).reshape(-1, WIDE)), 8), np.uint8)
+    made[:, :WIDE] = few
+    return made.view("<i8").ravel()
+
+
 def banded_rows(keys: np.ndarray, bands: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows of BANDED for items with different keys and their (items, bands) band keys.
+    """Rows of BANDED for items with different keys of 48 bits and their (items, bands) band keys.
 
     The first member of each bucket here travels to the bucket's part, a range of the band keys. The others are settled: they go to all parts alike.
     """
-    band, key = bands.ravel(), np.repeat(keys, bands.shape[1])
-    order = np.argsort(band.view(np.uint64))
+    band, key = bands.ravel().view(np.uint64) >> np.uint64(BAND_REST), np.repeat(keys, bands.shape[1])
+    order = np.argsort(band)
     some, head = heads(band, key, order)
     rest = np.ones(len(band), bool)
     rest[some] = False
     left = order[rest[order]]
-    part = ((band[left].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    part = ((band[left] >> np.uint64(32 - BAND_REST)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     lists = [(part, band[left], key[left], None), (np.arange(len(some)) * parts // max(1, len(some)), band[some], key[some], head)]
     found = []
     for at, *columns in lists:
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        edges = pa.array(np.append(starts, len(at)).astype(np.int32))
-        arrays = [pa.ListArray.from_arrays(edges, pa.array(c)) if c is not None else pa.nulls(len(starts), pa.list_(pa.int64())) for c in columns]
+        edges = np.append(starts, len(at))
+        arrays = [packed(narrow(c), edges) if c is not None else pa.nulls(len(starts), pa.binary()) for c in columns]
         found.append(pa.RecordBatch.from_arrays([pa.array(at[starts]), *arrays], names=["part", "band", "key", "head"]))
     return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if len(band) else found[0]
 
@@ -83,11 +112,10 @@ def bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """band, a, b: each member a of a bucket of two or more items, and a lesser one, b; table: rows of BANDED of one part."""
     known = pa.compute.is_valid(table.column("head"))
     settled, open_ = table.filter(known), table.filter(pa.compute.invert(known))
-    flat = lambda t, c: np.asarray(pa.compute.list_flatten(t.column(c)))
-    band, key = flat(open_, "band"), flat(open_, "key")
+    band, key = widened(open_.column("band")), widened(open_.column("key"))
     some, head = heads(band, key, np.argsort(band))
-    columns = [(band[some], flat(settled, "band")), (key[some], flat(settled, "key")), (head, flat(settled, "head"))]
-    return tuple(np.concatenate(c).astype(np.int64) for c in columns)
+    columns = [(band[some] << BAND_REST, widened(settled.column("band")) << BAND_REST), (key[some], widened(settled.column("key"))), (head, widened(settled.column("head")))]
+    return tuple(np.concatenate(c) for c in columns)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -171,12 +199,12 @@ def alike(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: float
     small, large = np.minimum(sizes[one], sizes[two]), np.maximum(sizes[one], sizes[two])
     good = np.zeros(len(one), bool)
     open_ = np.flatnonzero(small >= least * large - 1e-9)
-    for some in np.array_split(open_, max(1, -(-int((small + large)[open_].sum()) // (1 << 20)))):
+    for some in np.array_split(open_, max(1, -(-int((small + large)[open_].sum()) // SORTED))):
         # an element that both sets of a pair hold comes twice with the number of the pair
         both = [x for p in some for x in (sets[one[p]], sets[two[p]])]
         if both:
             pair = np.repeat(np.arange(len(some), dtype=np.uint64), (small + large)[some]) << np.uint64(ELEMENT_BITS)
-            every = np.sort(np.concatenate(both).view(np.uint64) & ELEMENT | pair)
+            every = np.sort(np.concatenate(both).view(np.uint64) & ELEMENT | pair, kind="stable")  # sorted sets are merged
             shared = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(ELEMENT_BITS)).astype(np.int64), minlength=len(some))
             good[some] = shared >= least * (small[some] + large[some] - shared) - 1e-9
     return good
